@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Credential-like text, replaced in this order.  ``(?U)`` makes ``\\s`` and ``\\S``
-#: follow Unicode white space, and ``(?u)`` case folding, as the scripts that log the text do.
+#: Unicode white space, written out because ``\\s`` alone means ASCII in Java.
+_SPACE = (r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+          r"\x{205f}\x{3000}")
+
+#: Credential-like text, replaced in this order.
 CREDENTIAL_PATTERNS = (
-    r"(?iuU)(key|secret|token|password|credential|authorization)[=:]\s*\S+(\s+\S+)?",
+    rf"(?iu)(key|secret|token|password|credential|authorization)[=:][{_SPACE}]*[^{_SPACE}]+"
+    rf"([{_SPACE}]+[^{_SPACE}]+)?",
     r"AKIA[0-9A-Z]{16}",
-    r"(?iuU)Bearer\s+\S+",
+    rf"(?iu)Bearer[{_SPACE}]+[^{_SPACE}]+",
 )
 REDACTED = "[REDACTED]"
 
