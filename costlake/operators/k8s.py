@@ -93,9 +93,9 @@ def label_costs(
 ) -> DataFrame:
     """Cost per value of any label; series without it count as ``unlabeled``."""
     hours = hours_of(window)
-    value = F.coalesce(F.nullif(label(name), F.lit("")), F.lit("unlabeled"))
-    rows = usage(samples, as_of, hours, {"value": value})
-    priced = _priced(rows, ["value"], hours, False)
+    owner = F.coalesce(F.nullif(label(name), F.lit("")), F.lit("unlabeled"))
+    rows = usage(samples, as_of, hours, {"owner": owner})
+    priced = _priced(rows, ["owner"], hours, False).withColumnRenamed("owner", "value")
     return priced.select(F.lit(name).alias("label"), "*").orderBy(F.desc("cost"), "value")
 
 

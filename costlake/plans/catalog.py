@@ -18,6 +18,7 @@ _SPARK = {
     "n": lambda c: c.cast("bigint"),
     "m": lambda c: F.round(c.cast("double"), 4) + F.lit(0.0),
     "c": lambda c: F.round(c.cast("double"), 2) + F.lit(0.0),
+    "p": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0),
     "d": lambda c: F.date_format(c, "yyyy-MM-dd"),
     "t": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
     "b": lambda c: c.cast("string"),
@@ -27,6 +28,7 @@ _SQL = {
     "n": "CAST({0} AS BIGINT)",
     "m": "round(CAST({0} AS DOUBLE), 4) + 0.0",
     "c": "round(CAST({0} AS DOUBLE), 2) + 0.0",
+    "p": "round(CAST({0} AS DOUBLE), 6) + 0.0",
     "d": "strftime({0}, '%Y-%m-%d')",
     "t": "strftime({0}, '%Y-%m-%d %H:%M:%S')",
     "b": "CAST({0} AS VARCHAR)",
@@ -41,7 +43,7 @@ def query(shape: str, sql: str | None = None, views: str = "") -> Callable[[Buil
     """Register a query under the function's name.
 
     ``shape`` lists ``column:kind``; both sides are cut to these columns and types (s text,
-    n integer, m four and c two decimals, d date, t time, b boolean), so equal values compare equal.
+    n integer, c two, m four and p six decimals, d date, t time, b boolean), so equal values compare equal.
     ``views`` names the shared SQL views the twin builds on.
     """
     pairs = _columns(shape)

@@ -142,9 +142,10 @@ _BUCKET = """CASE WHEN service IN ('AWS Lambda', 'Azure Functions') THEN 'server
 
 
 @query("resource_id:s scenario:s day_index:n adjusted:m events:s", f"""
-SELECT resource_id, scenario, d AS day_index, round(amount * m1 * m2 * m3, 4) AS adjusted,
-  concat_ws(',', e1, e2, e3) AS events
-FROM (SELECT *,
+SELECT resource_id, scenario, d AS day_index, concat_ws(',', e1, e2, e3) AS events,
+  sign(micros) * (abs(micros) // 100 + CASE WHEN abs(micros) % 100 > 50 OR (abs(micros) % 100 = 50 AND abs(micros) // 100 % 2 = 1)
+    THEN 1 ELSE 0 END) / 10000.0 AS adjusted
+FROM (SELECT *, CAST(round(CAST(amount AS DOUBLE) * 100) AS BIGINT) * CAST(round(m1 * m2 * m3 * 10000) AS BIGINT) AS micros FROM (SELECT *,
   CASE WHEN scenario = 'saas' AND d >= 1278 AND b = 'storage' THEN 1.18 WHEN scenario = 'startup' AND d >= 1278 AND b = 'serverless' THEN 1.35
     WHEN scenario = 'startup' AND d >= 1278 AND b = 'compute' THEN 0.78 WHEN scenario = 'enterprise' AND d >= 1687 AND b = 'database' THEN 1.18
     WHEN scenario = 'incident' AND d BETWEEN 1585 AND 1591 AND b = 'delivery' THEN 3.60
@@ -162,7 +163,7 @@ FROM (SELECT *,
   CASE WHEN scenario = 'startup' AND d % 21 = 0 AND b IN ('compute', 'serverless') THEN 1.25 ELSE 1.0 END AS m3,
   CASE WHEN scenario = 'startup' AND d % 21 = 0 AND b IN ('compute', 'serverless') THEN 'release_spike' END AS e3
   FROM (SELECT resource_id, amount, {_BUCKET} AS b, {one_of(("saas", "startup", "enterprise", "incident"), "CAST(cloud_account_id AS BIGINT)")} AS scenario,
-    date_diff('day', DATE '1995-01-01', ds) AS d FROM cost_records))""", "cost_records")
+    date_diff('day', DATE '1995-01-01', ds) AS d FROM cost_records)))""", "cost_records")
 def scenario_mix_shift(spark, sf):
     names = ("saas", "startup", "enterprise", "incident")
     records = retail.cost_records(spark, sf).select(

@@ -10,6 +10,7 @@ from costlake.operators import alerts, anomaly, costs as c, forecast as fc, fore
 from costlake.operators.joins import join_dimension
 from costlake.plans.catalog import query
 from costlake.plans.cost_queries import scoped
+from costlake.session import scratch_path
 from costlake.sources import retail
 from costlake.sources.retail import AS_OF
 
@@ -38,8 +39,8 @@ def dense(spark, sf):
 
 
 @query("organization_id:s service:s ds:d amount:m day_of_week:n day_of_month:n is_weekend:n is_month_end:n "
-       "cost_change:m cost_change_pct:c rolling_mean_7d:m rolling_std_7d:c rolling_mean_30d:m "
-       "deviation_from_mean:c", "SELECT * FROM features", "features")
+       "cost_change:m cost_change_pct:p rolling_mean_7d:p rolling_std_7d:m rolling_mean_30d:p "
+       "deviation_from_mean:m", "SELECT * FROM features", "features")
 def anomaly_features(spark, sf):
     return features(spark, sf)
 
@@ -104,8 +105,10 @@ def anomaly_counts(spark, sf):
 @query("organization_id:s service:s ds:d amount:m label:n")
 def isolation_forest(spark, sf):
     """Trained and applied over the daily features of every series."""
-    rows = features(spark, sf)
-    detector = forest.iforest_fit(rows, [*SERIES, "ds"], "medium")
+    path = scratch_path(spark, "features")
+    features(spark, sf).write.parquet(path)  # read by three jobs, computed by one
+    rows = spark.read.parquet(path)
+    detector = forest.iforest_fit(rows, [*SERIES, "ds"], "medium", path=scratch_path(spark, "forest"))
     return forest.iforest_score(rows, detector)
 
 
@@ -205,18 +208,21 @@ def budget_status(spark, sf):
 
 
 @query("id:s current_spend:m forecast_end_of_period:c", """
-SELECT b.id, b.current_spend, CAST(b.current_spend AS DOUBLE) + coalesce(sum(greatest(0, p.level)), 0) AS forecast_end_of_period
-FROM (SELECT s.id, s.organization_id, sum(CASE WHEN c.ds <= DATE '2000-11-15' THEN c.amount ELSE 0 END) AS current_spend, s.last_day
-  FROM (SELECT id, organization_id, f_service, f_region, since_at, last_day FROM budgets
-        JOIN (VALUES ('monthly', DATE '2000-11-01', DATE '2000-11-30'), ('quarterly', DATE '2000-10-01', DATE '2000-12-31'),
-          ('yearly', DATE '2000-01-01', DATE '2000-12-31')) AS e(kind, since_at, last_day) ON e.kind = budgets.period) s
-  LEFT JOIN costs c ON c.organization_id = s.organization_id AND c.ds >= s.since_at AND c.ds <= DATE '2000-11-15'
+SELECT b.id, b.current_spend, CAST(b.current_spend AS DOUBLE) + coalesce(f.rest, 0) AS forecast_end_of_period
+FROM (
+  SELECT s.id, coalesce(sum(c.amount), 0) AS current_spend
+  FROM (SELECT * FROM budgets JOIN spans ON kind = period) s
+  LEFT JOIN costs c ON c.organization_id = s.organization_id AND c.ds BETWEEN s.since_at AND DATE '2000-11-15'
     AND (s.f_service IS NULL OR s.f_service = c.service) AND (s.f_region IS NULL OR s.f_region = c.region)
-  GROUP BY ALL) b
-LEFT JOIN (SELECT organization_id, isodow(ds) AS dow, quantile_cont(CAST(amount AS DOUBLE), 0.5) AS level
-  FROM org_days WHERE ds BETWEEN DATE '2000-08-18' AND DATE '2000-11-15' GROUP BY ALL) p ON p.organization_id = b.organization_id
-LEFT JOIN calendar d ON d.ds > DATE '2000-11-15' AND d.ds <= b.last_day AND isodow(d.ds) = p.dow
-WHERE d.ds IS NOT NULL GROUP BY ALL""", "budgets costs org_days calendar")
+  GROUP BY s.id) b
+LEFT JOIN (
+  SELECT s.id, sum(greatest(0, p.level)) AS rest
+  FROM (SELECT * FROM budgets JOIN spans ON kind = period) s
+  JOIN calendar d ON d.ds > DATE '2000-11-15' AND d.ds <= s.last_day
+  JOIN (SELECT organization_id, isodow(ds) AS dow, quantile_cont(CAST(amount AS DOUBLE), 0.5) AS level
+        FROM org_days WHERE ds BETWEEN DATE '2000-08-18' AND DATE '2000-11-15' GROUP BY ALL) p
+    ON p.organization_id = s.organization_id AND p.dow = isodow(d.ds)
+  GROUP BY s.id) f ON f.id = b.id""", "budgets spans costs org_days calendar")
 def budget_forecast(spark, sf):
     as_of = dt.datetime(2000, 11, 15, 23, 59, 59)
     costs = scoped(spark, sf)

@@ -218,6 +218,10 @@ VIEWS = {
     ('yearly', 200000000.0, NULL, NULL, DATE '2000-01-01'))
     AS t(period, amount, f_service, f_region, since)
   WHERE r_regionkey <> 4""",
+    "spans": """
+  SELECT * FROM (VALUES ('monthly', DATE '2000-11-01', DATE '2000-11-30'),
+    ('quarterly', DATE '2000-10-01', DATE '2000-12-31'), ('yearly', DATE '2000-01-01', DATE '2000-12-31'))
+    AS e(kind, since_at, last_day)""",
     "budget_state": """
   SELECT *, CAST(current_spend AS DOUBLE) / amount * 100 AS usage_percent,
     amount - CAST(current_spend AS DOUBLE) AS remaining FROM (
