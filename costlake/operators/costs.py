@@ -202,12 +202,12 @@ def cost_summary(
     data appear with 0.
     """
     start, end = resolve_window(as_of, days)
-    inside = in_window(costs, start, end)
-    facts = inside.select(
-        *by, F.to_date("date").alias("ds"), "service", "region", F.col("amount"), "currency"
-    )
     keys = [F.col(k) for k in by]
-    grouped = facts.groupingSets(
+    # grouping sets copy every input row once per set, so what they get is already aggregated
+    cells = in_window(costs, start, end).groupBy(
+        *keys, F.to_date("date").alias("ds"), "service", "region"
+    ).agg(F.sum("amount").alias("amount"), F.min("currency").alias("currency"))
+    grouped = cells.groupingSets(
         [keys, [*keys, F.col("service")], [*keys, F.col("region")], [*keys, F.col("ds")]],
         *keys, F.col("service"), F.col("region"), F.col("ds"),
     ).agg(
@@ -219,33 +219,41 @@ def cost_summary(
         F.when(F.col("_s") == 0, "service").when(F.col("_r") == 0, "region")
         .when(F.col("_d") == 0, "day").otherwise("total")
     )
-    shaped = grouped.withColumn("section", section).select(
-        *by, "section",
+    money = "decimal(38,8)"
+
+    def line(section: Column, item: Column, amount: Column, currency: Column) -> Column:
+        return F.struct(section.alias("section"), item.alias("item"),
+                        amount.cast(money).alias("amount"), currency.alias("currency"))
+
+    # the total of a key also brings a zero for every day of the window
+    no_text, zero = F.lit(None).cast("string"), F.lit(0)
+    calendar_days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    zeros = F.transform(
+        calendar_days, lambda d: line(F.lit("day"), d.cast("string"), zero, no_text)
+    )
+    own = F.array(line(
+        F.col("section"),
         F.when(F.col("section") == "service", F.col("service"))
         .when(F.col("section") == "region", F.col("region"))
-        .when(F.col("section") == "day", F.col("ds").cast("string")).alias("item"),
-        F.coalesce("amount", F.lit(0)).alias("amount"), "currency",
+        .when(F.col("section") == "day", F.col("ds").cast("string")),
+        F.col("amount"), F.col("currency"),
+    ))
+    lines = grouped.withColumn("section", section).select(
+        *by, F.when(F.col("section") == "total", F.concat(own, zeros)).otherwise(own).alias("lines")
     )
-    kept = shaped.filter(
+    if not by:  # a tenant without any charge still gets its zeros
+        nothing = F.array(line(F.lit("total"), no_text, zero, no_text))
+        lines = lines.unionByName(
+            costs.sparkSession.range(1).select(F.concat(nothing, zeros).alias("lines")))
+    rows = lines.select(*by, F.inline("lines")).filter(
         (F.col("section") == "total") | (F.col("item").isNotNull() & (F.col("item") != ""))
     )
-    # zero rows for the total and for every day, merged with the tiny grouped result
-    seeds = kept.filter(F.col("section") == "total").select(*by) if by else costs.sparkSession.range(1)
-    days_seen = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    items = F.concat(F.array(F.lit(None).cast("string")), days_seen.cast("array<string>"))
-    zeros = seeds.select(*by, F.explode(items).alias("item")).select(
-        *by, F.when(F.col("item").isNull(), "total").otherwise("day").alias("section"), "item",
-        F.lit(0).cast("decimal(28,8)").alias("amount"), F.lit(None).cast("string").alias("currency"),
-    )
-    return (
-        kept.unionByName(zeros).groupBy(*by, "section", "item")
-        .agg(F.sum("amount").alias("amount"), F.min("currency").alias("currency"))
-        .select(
-            *by, "section", "item", "amount",
-            F.coalesce("currency", F.lit("USD")).alias("currency"),
-            F.lit(start).cast("timestamp").alias("period_start"),
-            F.lit(end).cast("timestamp").alias("period_end"),
-        )
+    return rows.groupBy(*by, "section", "item").agg(
+        F.sum("amount").alias("amount"), F.min("currency").alias("currency")
+    ).select(
+        *by, "section", "item", "amount", F.coalesce("currency", F.lit("USD")).alias("currency"),
+        F.lit(start).cast("timestamp").alias("period_start"),
+        F.lit(end).cast("timestamp").alias("period_end"),
     )
 
 
@@ -360,17 +368,20 @@ def context_summary(
 ) -> DataFrame:
     """One row per tenant with the figures an assistant would quote.
 
-    One scan feeds total, services and days through grouping sets.  Only the five largest services
+    One scan and aggregation feeds total, services and days through grouping sets.  Only the five largest services
     and the seven latest days with data are ever gathered into a row.
     """
     start, end = resolve_window(as_of, days)
     costs = context_filters(records, accounts, organization_id, keys, start, end)
     org = F.col("organization_id")
     ds = F.col("ds")
-    grouped = costs.withColumn("ds", F.to_date("date")).groupingSets(
+    cells = costs.groupBy(org, "service", F.to_date("date").alias("ds")).agg(
+        F.sum("amount").alias("amount"), F.count("*").alias("n")
+    )
+    grouped = cells.groupingSets(
         [[org], [org, F.col("service")], [org, ds]], org, F.col("service"), ds
     ).agg(
-        F.sum("amount").alias("amount"), F.count("*").alias("n"),
+        F.sum("amount").alias("amount"), F.sum("n").alias("n"),
         F.grouping("service").alias("_s"), F.grouping("ds").alias("_d"),
     )
     section = F.when(F.col("_s") == 0, "service").when(F.col("_d") == 0, "day").otherwise("total")

@@ -99,31 +99,34 @@ def fit_nodes(
 
 
 def _scorer(nodes: pd.DataFrame, columns: Sequence[str], sample_size: float):
-    """Vectorized scoring: every tree walks its node arrays one level at a time."""
-    trees = []
-    for _, part in nodes.groupby("tree"):
-        size = int(part["node"].max()) + 1
-        feature = np.full(size, -1, dtype=np.int32)
-        threshold, length = np.zeros(size), np.zeros(size)
-        at = part["node"].to_numpy()
-        feature[at], threshold[at] = part["feature"], part["threshold"]
-        length[at] = part["path_length"]
-        trees.append((feature, threshold, length))
+    """Vectorized scoring: all rows walk all trees together, one level at a time.
+
+    The trees lie behind one another in flat arrays; a leaf points to itself.
+    """
+    flat = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
+    tree, node = flat["tree"].to_numpy(np.int64), flat["node"].to_numpy(np.int64)
+    width = int(node.max()) * 2 + 3
+    position = {key: i for i, key in enumerate(tree * width + node)}
+    leaf = flat["feature"].to_numpy() < 0
+    own = np.arange(len(flat))
+
+    def child(side: int) -> np.ndarray:
+        keys = tree * width + 2 * node + side
+        return np.array([i if leaf[i] else position[keys[i]] for i in own], dtype=np.int64)
+
+    left, right = child(1), child(2)
+    feature = np.where(leaf, 0, flat["feature"].to_numpy())
+    threshold, length = flat["threshold"].to_numpy(), flat["path_length"].to_numpy()
+    roots = np.flatnonzero(node == 0)
+    depth = int(np.ceil(np.log2(node.max() + 2)))
     scale = _average_path(sample_size) or 1.0
 
     def score(values: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(values))
-        for feature, threshold, length in trees:
-            node = np.zeros(len(values), dtype=np.int64)
-            while True:
-                inner = np.flatnonzero(feature[node] >= 0)
-                if len(inner) == 0:
-                    break
-                here = node[inner]
-                right = values[inner, feature[here]] > threshold[here]
-                node[inner] = 2 * here + 1 + right
-            total += length[node]
-        return -np.power(2.0, -total / max(1, len(trees)) / scale)
+        rows = np.arange(len(values))[:, None]
+        at = np.broadcast_to(roots, (len(values), len(roots)))
+        for _ in range(depth):
+            at = np.where(values[rows, feature[at]] > threshold[at], right[at], left[at])
+        return -np.power(2.0, -length[at].mean(axis=1) / scale)
 
     return score
 
@@ -140,7 +143,10 @@ def raw_scores(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = _scorer(table.value, columns, sample_size)
         for batch in batches:
-            batch["raw_score"] = score(batch[columns].to_numpy(dtype=float))
+            values = batch[columns].to_numpy(dtype=float)
+            # rows x trees cells at a time, so that a batch of any length fits
+            parts = [score(values[i:i + 2_000]) for i in range(0, len(values), 2_000)]
+            batch["raw_score"] = np.concatenate(parts) if parts else []
             yield batch
 
     schema = T.StructType(features.schema.fields + [T.StructField("raw_score", T.DoubleType())])

@@ -83,7 +83,7 @@ def explode_plans(
             F.coalesce("c.change.before", empty).alias("before"),
             F.coalesce("c.change.after", empty).alias("after"),
         )
-        .filter(F.to_json("actions") != '["no-op"]')
+        .filter(F.col("actions") != F.array(F.lit("no-op")))
     )
 
 
@@ -91,7 +91,7 @@ def _rate(values: Column) -> Column:
     """Monthly rate of one side of a change, from the joined price-list columns."""
     size = F.substring_index(F.element_at(values, F.col("size_key")), "/", -1)
     priced = F.when(F.map_contains_key(values, F.col("size_key")), F.element_at("rates", size))
-    return F.round(F.coalesce(priced, F.col("default_rate")), 2)
+    return F.coalesce(priced, F.col("default_rate"))
 
 
 def resource_cost(resources: DataFrame, rates: DataFrame, values: str = "after") -> DataFrame:
@@ -102,8 +102,11 @@ def resource_cost(resources: DataFrame, rates: DataFrame, values: str = "after")
 
 
 def _with_rates(resources: DataFrame, rates: DataFrame) -> DataFrame:
-    # the price list is a constant of this module or a table of that kind: one row per resource type
-    prices = rates.select(F.col("resource_type").alias("type"), "size_key", "default_rate", "rates")
+    prices = rates.select(
+        F.col("resource_type").alias("type"), "size_key",
+        F.round("default_rate", 2).alias("default_rate"),
+        F.transform_values("rates", lambda _, rate: F.round(rate, 2)).alias("rates"),
+    )
     return join_dimension(resources, prices, "type", "left", max_rows=10_000)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A dimension is broadcast only if it was counted and holds no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -38,17 +38,29 @@ def densify(
 ) -> DataFrame:
     """Exactly one row per key and day of the window; days without data hold 0.
 
-    ``daily`` is already aggregated to one row per key and day, so the shuffle here moves
-    aggregates, never raw records.
+    ``daily`` is already aggregated to one row per key and day, so only aggregates move here, never
+    raw records.  With keys, every day fills the gap up to the next one (the first also back to the
+    start of the window), which reads ``daily`` once; a key's window partition is at most as long as
+    the calendar.
     """
-    if by:
-        days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-        spine = daily.select(*by).distinct().withColumn(ds, F.explode(days))
-    else:
+    zero = F.lit(0).cast(daily.schema[value].dataType)
+    amount = F.coalesce(F.col(value), zero)
+    if not by:
         spine = calendar(daily.sparkSession, start, end, ds)
-    kind = daily.schema[value].dataType
-    filled = spine.join(daily, [*by, ds], "left")
-    return filled.select(*by, ds, F.coalesce(F.col(value), F.lit(0).cast(kind)).alias(value))
+        return spine.join(daily, ds, "left").select(ds, amount.alias(value))
+    first, last = (F.lit(edge).cast("date") for edge in (start, end))
+    order = Window.partitionBy(*by).orderBy(ds)
+    inside = daily.filter(F.col(ds).between(first, last))
+    reach = inside.select(
+        *by, ds, value,
+        F.when(F.lag(ds).over(order).isNull(), first).otherwise(F.col(ds)).alias("_from"),
+        F.coalesce(F.date_sub(F.lead(ds).over(order), 1), last).alias("_to"),
+    )
+    days = reach.withColumn("_day", F.explode(F.sequence("_from", "_to")))
+    return days.select(
+        *by, F.col("_day").alias(ds),
+        F.when(F.col("_day") == F.col(ds), amount).otherwise(zero).alias(value),
+    )
 
 
 def merge_metrics(

@@ -392,5 +392,6 @@ def _redaction(column: str) -> str:
 SELECT doc_id, CASE WHEN length(t) > 500 THEN substring(t, 1, 500) || '…' ELSE t END AS redacted
 FROM (SELECT doc_id, {_redaction("text")} AS t FROM documents)""")
 def redact_text(spark, sf):
-    return retail.table(spark, sf, "documents").select(
+    documents = retail.spread(retail.table(spark, sf, "documents"), "doc_id")
+    return documents.select(
         "doc_id", text.redact_text("text").alias("redacted"))

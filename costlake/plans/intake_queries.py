@@ -7,11 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from costlake.operators import anomaly, logs, scenario, sync
-from costlake.operators.costs import daily_totals
 from costlake.plans.catalog import query
-from costlake.plans.cost_queries import scoped
 from costlake.plans.views import one_of
-from costlake.sources import billing, retail
+from costlake.session import scratch_path
+from costlake.sources import billing, retail, tables
 from costlake.sources.retail import SERVICES
 from costlake.streaming import alerting, ingest, limits
 
@@ -112,7 +111,9 @@ SELECT cloud_account_id, granularity, currency, count(*) AS records, sum(amount)
 GROUP BY ALL""", "cost_records")
 def replace_windows(spark, sf):
     start, end = dt.datetime(1997, 1, 1), dt.datetime(1999, 12, 31, 23, 59, 59)
-    pulled = aws_records(spark, sf).filter(F.col("date").between(F.lit(start), F.lit(end)))
+    landed = scratch_path(spark, "pull")  # parsed once, read for its accounts and for its rows
+    aws_records(spark, sf).filter(F.col("date").between(F.lit(start), F.lit(end))).write.parquet(landed)
+    pulled = spark.read.parquet(landed)
     after = sync.replace_windows(retail.cost_records(spark, sf), pulled, start, end)
     return after.groupBy("cloud_account_id", "granularity", "currency").agg(
         F.count("*").alias("records"), F.sum("amount").alias("amount"))
@@ -288,9 +289,6 @@ SELECT organization_id, action, count(*) AS events, min(created_at) AS first, ma
 GROUP BY ALL""", "audit_logs")
 def audit_trail(spark, sf):
     """Written to the append-only log and read back."""
-    from costlake.session import scratch_path
-    from costlake.sources import tables
-
     path = scratch_path(spark, "audit")
     tables.write_audit(retail.audit_logs(spark, sf), path)
     return tables.read_audit(spark, path).groupBy("organization_id", "action").agg(

@@ -107,7 +107,7 @@ def isolation_forest(spark, sf):
     """Trained and applied over the daily features of every series."""
     path = scratch_path(spark, "features")
     features(spark, sf).write.parquet(path)  # read by three jobs, computed by one
-    rows = spark.read.parquet(path)
+    rows = retail.spread(spark.read.parquet(path), "ds")
     detector = forest.iforest_fit(rows, [*SERIES, "ds"], "medium", path=scratch_path(spark, "forest"))
     return forest.iforest_score(rows, detector)
 

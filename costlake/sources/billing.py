@@ -24,14 +24,14 @@ def aws_normalize(raw: DataFrame, payload: str = "payload", keep: tuple[str, ...
     groups = (
         raw.select(*keep, F.from_json(payload, AWS_PAGE).alias("page"))
         .select(*keep, F.explode("page.ResultsByTime").alias("period"))
-        .select(*keep, F.col("period.TimePeriod.Start").alias("start"),
+        .select(*keep, F.col("period.TimePeriod.Start").cast("date").alias("start"),
                 F.explode("period.Groups").alias("group"))
     )
     cost = F.col("group.Metrics.UnblendedCost")
     usage = F.col("group.Metrics.UsageQuantity.Amount")
     return groups.select(
         *keep,
-        F.to_timestamp("start", "yyyy-MM-dd").alias("date"),
+        F.col("start").cast("timestamp").alias("date"),
         F.coalesce(F.get("group.Keys", F.lit(0)), F.lit("Unknown")).alias("service"),
         F.lit(None).cast("string").alias("region"),
         F.coalesce(cost["Amount"], F.lit("0")).try_cast(MONEY).alias("amount"),

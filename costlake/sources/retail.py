@@ -42,7 +42,6 @@ _SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table under its written schema; time stamps are UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -50,6 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Deal rows out over the cores if the scan alone would leave most of them idle.
+
+    For heavy per-row work, such as JSON: a file with one row group is read by one task, however
+    many cores there are.  A table of many splits comes back unchanged, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() * 2 > cores else rows.repartition(cores, key)
+
+
 def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), (number % len(values)).cast("int"))
 
@@ -139,7 +148,7 @@ def aws_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("TimePeriod"),
         F.array(cost_group, tax_group).alias("Groups"),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_suppkey").cast("string").alias("cloud_account_id"),
         F.to_json(F.struct(F.array(period).alias("ResultsByTime"))).alias("payload"),
     )
@@ -171,7 +180,7 @@ def azure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                    pick(SERVICES, F.col("l_partkey")),
                    F.coalesce("l_returnflag", F.lit("")), F.lit("EUR"))
     cells = F.when(F.col("l_linenumber") == 1, 3).when(F.col("l_linenumber") == 2, 4).otherwise(5)
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_suppkey").cast("string").alias("cloud_account_id"), F.slice(full, F.lit(1), cells).alias("row")
     )
 
@@ -281,7 +290,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         change(second, F.array(F.lit("create")), none, none),
         change(F.lit("aws_s3_bucket"), F.array(F.when(F.col("l_tax") == 0, "read").otherwise("no-op")), none, none),
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("plan_id"),
         F.col("l_suppkey").cast("string").alias("cloud_account_id"),
         F.to_json(F.struct(changes.alias("resource_changes"))).alias("document"),
