@@ -68,10 +68,11 @@ def budget_status(
     )
     for key in tags:
         matches = matches & allows(key, F.col(f"`{key}`"))
-    budget_columns = [*budgets.columns, "period_start"]
-    spend = active.join(daily, matches, "left").groupBy("id").agg(F.sum("_amount").alias("_spend"))
-    spend = spend.withColumn("_spend", F.coalesce("_spend", F.lit(0)).cast("decimal(28,8)"))
-    with_spend = active.join(spend, "id").select(*budget_columns, F.col("_spend").alias("current_spend"))
+    spend = join_dimension(daily, active, matches).groupBy("id").agg(F.sum("_amount").alias("_spend"))
+    current = F.coalesce("_spend", F.lit(0)).cast("decimal(28,8)")
+    with_spend = active.join(spend, "id", "left").select(
+        *budgets.columns, "period_start", current.alias("current_spend")
+    )
     percent = F.try_divide(F.col("current_spend").cast("double"), F.col("amount").cast("double")) * 100
     thresholds = F.coalesce("alert_thresholds", F.array(*[F.lit(t) for t in DEFAULT_THRESHOLDS]))
     return with_spend.withColumn("usage_percent", percent).withColumn(
@@ -90,20 +91,17 @@ def budget_forecast(
         "organization_id", F.to_date("date").alias("ds"), "amount"
     )
     series = prepare_series(history, ["organization_id"])
-    horizon = seasonal_forecast(series, 366, ["organization_id"]).select(
-        F.col("organization_id").alias("_org"), F.col("ds").alias("_ds"), "predicted_cost"
-    )
-    end = _period_end(F.col("period"), as_of)
-    ahead = (
-        (F.col("organization_id") == F.col("_org"))
-        & (F.col("_ds") > F.lit(as_of).cast("date")) & (F.col("_ds") <= end)
-    )
-    rest = status.join(horizon, ahead, "left").groupBy("id").agg(
-        F.coalesce(F.sum("predicted_cost"), F.lit(0.0)).alias("_rest")
-    )
-    return status.join(rest, "id").select(
+    # the end of a period depends on its kind alone: three sums per tenant serve all its budgets
+    today = F.lit(as_of).cast("date")
+    ahead = seasonal_forecast(series, 366, ["organization_id"]).filter(F.col("ds") > today)
+    rest = ahead.groupBy("organization_id").agg(*[
+        F.sum(F.when(F.col("ds") <= _period_end(F.lit(p), as_of), F.col("predicted_cost"))).alias(f"_{p}")
+        for p in PERIODS
+    ])
+    expected = F.coalesce(*[F.when(F.col("period") == p, F.col(f"_{p}")) for p in PERIODS], F.lit(0.0))
+    return status.join(rest, "organization_id", "left").select(
         *status.columns,
-        (F.col("current_spend").cast("double") + F.col("_rest")).alias("forecast_end_of_period"),
+        (F.col("current_spend").cast("double") + expected).alias("forecast_end_of_period"),
     )
 
 

@@ -71,10 +71,6 @@ def weekday_profile(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ).filter(F.col("history_days") >= MIN_HISTORY_DAYS)
 
 
-def _horizon(horizon: int) -> Column:
-    return F.sequence(F.date_add("last_day", 1), F.date_add("last_day", horizon))
-
-
 def seasonal_forecast(series: DataFrame, horizon: int, by: Sequence[str] = ()) -> DataFrame:
     """``horizon`` days after the last day of each series; shorter histories give no forecast.
 
@@ -82,7 +78,8 @@ def seasonal_forecast(series: DataFrame, horizon: int, by: Sequence[str] = ()) -
     """
     if horizon < 1:
         raise ValueError("horizon must be at least 1 day")
-    days = F.filter(_horizon(horizon), lambda d: F.weekday(d) == F.col("weekday"))
+    future = F.sequence(F.date_add("last_day", 1), F.date_add("last_day", horizon))
+    days = F.filter(future, lambda d: F.weekday(d) == F.col("weekday"))
     return weekday_profile(series, by).select("*", F.explode(days).alias("ds")).select(
         *by, "ds", _clipped(F.col("level")).alias("predicted_cost"),
         _clipped(F.col("low")).alias("lower_bound"), _clipped(F.col("high")).alias("upper_bound"),
@@ -101,26 +98,29 @@ def join_horizon(calendar: DataFrame, profile: DataFrame, by: Sequence[str] = ()
 def bootstrap_paths(
     series: DataFrame, horizon: int, by: Sequence[str] = (), n: int = SAMPLE_PATHS, seed: int = 42
 ) -> DataFrame:
-    """Deterministic sample paths: weekday level plus a residual of the history chosen by hash."""
-    profile = weekday_profile(series, by)
-    weekday = F.weekday("ds").alias("weekday")
-    residuals = (
-        series.withColumn("weekday", weekday)
-        .join(profile.select(*by, "weekday", "level"), [*by, "weekday"])
-        .groupBy(*by)
-        # one value per calendar day of a series, in day order
-        .agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("ds", (F.col("amount") - F.col("level")).alias("r")))),
-            lambda e: e["r"],
-        ).alias("residuals"))
+    """Deterministic sample paths: weekday level plus a residual of the history chosen by hash.
+
+    One pass: the history of a series, one value per calendar day, travels in its weekday rows.
+    """
+    entry = F.struct("ds", F.col("amount").alias("amount"))
+    weekdays = series.groupBy(*by, F.weekday("ds").alias("weekday")).agg(
+        F.percentile("amount", 0.5).alias("level"), F.collect_list(entry).alias("days"),
     )
-    days = F.filter(_horizon(horizon), lambda d: F.weekday(d) == F.col("weekday"))
-    steps = profile.select(*by, "level", F.explode(days).alias("ds"))
-    joined = steps.join(residuals, list(by)) if by else steps.withColumn("residuals", residuals.scalar())
-    drawn = joined.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pick = F.pmod(F.xxhash64(*by, "ds", "path", F.lit(seed)), F.size("residuals")).cast("int")
-    return drawn.select(
-        *by, "ds", "path", (F.col("level") + F.get("residuals", pick)).alias("value")
+    residual = F.transform("days", lambda d: F.struct(
+        d["ds"].alias("ds"), (d["amount"] - F.col("level")).alias("r")))
+    models = weekdays.select(*by, "weekday", "level", residual.alias("rs")).groupBy(*by).agg(
+        F.collect_list(F.struct("weekday", "level")).alias("levels"),
+        F.array_sort(F.flatten(F.collect_list("rs"))).alias("rs"),
+    ).filter(F.size("rs") >= MIN_HISTORY_DAYS)
+    last = F.element_at("rs", -1)["ds"]
+    future = F.sequence(F.date_add(last, 1), F.date_add(last, horizon))
+    steps = models.withColumn("ds", F.explode(future)).withColumn(
+        "level", F.filter("levels", lambda w: w["weekday"] == F.weekday("ds"))
+    )
+    drawn = steps.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pick = F.pmod(F.xxhash64(*by, "ds", "path", F.lit(seed)), F.size("rs")).cast("int")
+    return drawn.filter(F.size("level") > 0).select(
+        *by, "ds", "path", (F.get("level", F.lit(0))["level"] + F.get("rs", pick)["r"]).alias("value")
     )
 
 
@@ -141,17 +141,26 @@ def band_half_width(forecast: DataFrame) -> DataFrame:
 
 
 def forecast_accuracy(series: DataFrame, holdout: int, by: Sequence[str] = ()) -> DataFrame:
-    """Back-test on the last ``holdout`` days: absolute and percentage error, share within band."""
-    last = F.max("ds").over(Window.partitionBy(*by))
-    split = series.withColumn("_cut", F.date_sub(last, holdout))
-    train = split.filter(F.col("ds") <= F.col("_cut")).drop("_cut")
-    actual = split.filter(F.col("ds") > F.col("_cut")).drop("_cut")
-    both = actual.join(seasonal_forecast(train, holdout, by), [*by, "ds"])
-    error = F.abs(F.col("amount") - F.col("predicted_cost"))
-    covered = F.col("amount").between(F.col("lower_bound"), F.col("upper_bound"))
-    return both.groupBy(*by).agg(
+    """Back-test on the last ``holdout`` days: absolute and percentage error, share within band.
+
+    The weekday profile of the days before is a window over the same series, so the history is read
+    once; a window partition is one series of calendar days.
+    """
+    whole = Window.partitionBy(*by)
+    split = series.withColumn("_cut", F.date_sub(F.max("ds").over(whole), holdout))
+    known = F.col("ds") <= F.col("_cut")
+    past = F.percentile(F.when(known, F.col("amount")), [0.5, 0.1, 0.9])
+    judged = (
+        split.withColumn("_n", F.count_if(known).over(whole))
+        .withColumn("_p", past.over(Window.partitionBy(*by, F.weekday("ds"))))
+        .filter((F.col("ds") > F.col("_cut")) & (F.col("_n") >= MIN_HISTORY_DAYS)
+                & F.col("_p").isNotNull())
+    )
+    predicted, low, high = (_clipped(F.col("_p")[i]) for i in range(3))
+    error = F.abs(F.col("amount") - predicted)
+    return judged.groupBy(*by).agg(
         F.avg(error).alias("mae"),
         F.avg(F.when(F.col("amount") != 0, error / F.abs("amount") * 100)).alias("mape"),
-        (F.count_if(covered) / F.count("*")).alias("band_coverage"),
+        (F.count_if(F.col("amount").between(low, high)) / F.count("*")).alias("band_coverage"),
         F.count("*").alias("days"),
     )

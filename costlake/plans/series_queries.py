@@ -207,7 +207,7 @@ def budget_status(spark, sf):
         "triggered", F.array_join(F.transform("alerts_triggered", lambda t: t.cast("string")), ","))
 
 
-@query("id:s current_spend:m forecast_end_of_period:c", """
+@query("id:s current_spend:m forecast_end_of_period:m", """
 SELECT b.id, b.current_spend, CAST(b.current_spend AS DOUBLE) + coalesce(f.rest, 0) AS forecast_end_of_period
 FROM (
   SELECT s.id, coalesce(sum(c.amount), 0) AS current_spend

@@ -2,10 +2,10 @@
 
 Whether a hit is accepted depends on which earlier hits were, so a limiter is a small state machine
 per key.  In batch a key's hits are first cut wherever it stayed silent for longer than the window:
-the state is empty there, so the pieces are independent and run in parallel.  Pieces with no more
-hits than the limit are accepted without leaving the JVM.  The rest is sorted by Spark and streamed
-through the state machine in Arrow batches; memory per key is at most ``limit`` time stamps.  What
-stays serial is one key that overruns its limit and never pauses.
+the state is empty there, so the pieces are independent and run in parallel.  Spark sorts the pieces
+and streams them through the state machine in Arrow batches; pieces with no more hits than the limit
+are accepted a batch at a time.  Memory per piece is at most ``limit`` time stamps.  What stays
+serial is one key that never pauses for a whole window.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -94,32 +95,36 @@ def quiet_pieces(hits: DataFrame, key: str, gap_micros: int) -> DataFrame:
 
 
 def _run(hits: DataFrame, key: str, limit: int, seconds: int, machine) -> DataFrame:
-    """``hits`` with ``accepted``; equal time stamps are served in no particular order."""
+    """``hits`` with ``accepted``; equal time stamps are served in the order of their other columns."""
     columns = hits.columns
     micros = seconds * 1_000_000
     # a sliding log keeps a hit that is exactly one window old, a counter does not
     gap = micros if machine is SlidingLog else micros - 1
-    pieces = quiet_pieces(hits, key, gap)
-    sizes = pieces.groupBy(key, "_piece").agg(F.count("*").alias("_size"))
-    sized = pieces.join(sizes, [key, "_piece"])
-    calm = sized.filter(F.col("_size") <= limit).select(*columns, F.lit(True).alias("accepted"))
-    busy = sized.filter(F.col("_size") > limit).select(*columns, "_piece", "_us")
-    order = [key, "_piece", "_us", *[c for c in columns if c not in (key, "ts")]]
+    order = ["_us", *[c for c in columns if c not in (key, "ts")]]
+    piece = Window.partitionBy(key, "_piece").orderBy(*order)
+    whole = piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = (
+        quiet_pieces(hits, key, gap).withColumn("_size", F.count("*").over(whole))
+        .select(*columns, "_piece", "_us", "_size")
+        .sortWithinPartitions(key, "_piece", *order)  # already so after the window: no second sort
+    )
     schema = T.StructType(hits.schema.fields + [T.StructField("accepted", T.BooleanType())])
 
     def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            verdicts = []
-            for who, piece, at in zip(batch[key], batch["_piece"], batch["_us"]):
+            accepted = np.ones(len(batch), dtype=bool)
+            # only pieces with more hits than the limit need the state machine
+            busy = np.flatnonzero(batch["_size"].to_numpy() > limit)
+            rows = batch.iloc[busy]
+            for i, who, piece, at in zip(busy, rows[key], rows["_piece"], rows["_us"]):
                 if (who, piece) != current:
                     current, state = (who, piece), machine(limit, micros)
-                verdicts.append(state.hit(int(at)))
-            batch["accepted"] = verdicts
+                accepted[i] = state.hit(at)
+            batch["accepted"] = accepted
             yield batch[[*columns, "accepted"]]
 
-    served = busy.repartition(key, "_piece").sortWithinPartitions(*order).mapInPandas(serve, schema)
-    return calm.unionByName(served)
+    return sized.mapInPandas(serve, schema)
 
 
 def burst_windows(
