@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costlake.functions.dates import in_window
+from costlake.functions.dates import in_window, resolve_window
 from costlake.functions.text import format_currency, severity_color
-from costlake.operators.forecast import prepare_series, seasonal_forecast
-from costlake.operators.joins import join_dimension
+from costlake.operators.forecast import seasonal_forecast
+from costlake.operators.joins import densify, join_dimension
 
 #: Thresholds of a budget that names none, and the periods a budget can have.
 DEFAULT_THRESHOLDS = (50, 80, 100)
@@ -54,9 +54,11 @@ def budget_status(
         F.col("service").alias("_service"), F.col("region").alias("_region"),
         *[c.alias(k) for k, c in tags.items()],
     ).agg(F.sum("amount").alias("_amount"))
-    active = budgets.filter("is_active").withColumn(
-        "period_start", _period_start(F.col("period"), as_of)
-    )
+    known = F.array(*[F.lit(k) for k in ("service", "region", *tag_keys)])
+    foreign = F.size(F.array_except(F.map_keys("filters"), known)) > 0
+    refusal = F.raise_error(F.concat(F.lit("name the tag keys of budget "), "id", F.lit(" in tag_keys")))
+    start = F.when(foreign, refusal.cast("date")).otherwise(_period_start(F.col("period"), as_of))
+    active = budgets.filter("is_active").withColumn("period_start", start)
 
     def allows(key: str, column: Column) -> Column:
         wanted = F.element_at("filters", key)
@@ -66,14 +68,14 @@ def budget_status(
         (F.col("organization_id") == F.col("_org")) & (F.col("_ds") >= F.col("period_start"))
         & allows("service", F.col("_service")) & allows("region", F.col("_region"))
     )
-    for key in tags:
-        matches = matches & allows(key, F.col(f"`{key}`"))
+    for key in tag_keys:
+        matches = matches & allows(key, F.col(f"`tag:{key}`"))
     spend = join_dimension(daily, active, matches).groupBy("id").agg(F.sum("_amount").alias("_spend"))
     current = F.coalesce("_spend", F.lit(0)).cast("decimal(28,8)")
     with_spend = active.join(spend, "id", "left").select(
         *budgets.columns, "period_start", current.alias("current_spend")
     )
-    percent = F.try_divide(F.col("current_spend").cast("double"), F.col("amount").cast("double")) * 100
+    percent = F.try_divide(F.col("current_spend").cast("double") * 100, F.col("amount").cast("double"))
     thresholds = F.coalesce("alert_thresholds", F.array(*[F.lit(t) for t in DEFAULT_THRESHOLDS]))
     return with_spend.withColumn("usage_percent", percent).withColumn(
         "remaining", F.col("amount") - F.col("current_spend")
@@ -86,11 +88,12 @@ def budget_forecast(
     status: DataFrame, costs: DataFrame, as_of: dt.datetime, history_days: int = 90
 ) -> DataFrame:
     """Add ``forecast_end_of_period``: spend so far plus the forecast to the end of the period."""
-    start = as_of - dt.timedelta(days=history_days)
-    history = in_window(costs, start, as_of).select(
-        "organization_id", F.to_date("date").alias("ds"), "amount"
-    )
-    series = prepare_series(history, ["organization_id"])
+    start, end = resolve_window(as_of, history_days)
+    daily = in_window(costs, start, end).groupBy(
+        "organization_id", F.to_date("date").alias("ds")
+    ).agg(F.sum("amount").cast("double").alias("amount"))
+    # the days up to as_of count as known, with 0 where nothing was charged
+    series = densify(daily, start, end, ["organization_id"])
     # the end of a period depends on its kind alone: three sums per tenant serve all its budgets
     today = F.lit(as_of).cast("date")
     ahead = seasonal_forecast(series, 366, ["organization_id"]).filter(F.col("ds") > today)

@@ -183,16 +183,16 @@ def account_coverage(spark, sf):
 @query("organization_id:s period:s provider_scope:s account_scope:s account_name:s service_scope:s "
        "total_cost:c records_found:n services:s days:s no_records:b", """
 SELECT o.organization_id, 'Last 2557 Days' AS period, 'AWS' AS provider_scope, 'all' AS account_scope,
-  'All Accounts' AS account_name, 'all' AS service_scope, t.total_cost, t.records_found, s.services, d.days,
-  false AS no_records
+  'All Accounts' AS account_name, 'all' AS service_scope, coalesce(t.total_cost, 0) AS total_cost,
+  coalesce(t.records_found, 0) AS records_found, s.services, d.days, t.records_found IS NULL AS no_records
 FROM (SELECT DISTINCT organization_id FROM cloud_accounts) o
-JOIN (SELECT organization_id, sum(amount) AS total_cost, count(*) AS records_found FROM costs
+LEFT JOIN (SELECT organization_id, sum(amount) AS total_cost, count(*) AS records_found FROM costs
       WHERE provider = 'aws' GROUP BY ALL) t USING (organization_id)
-JOIN (SELECT organization_id, string_agg(service || '=' || printf('%.2f', CAST(amount AS DOUBLE)), ';' ORDER BY rk) AS services
+LEFT JOIN (SELECT organization_id, string_agg(service || '=' || printf('%.2f', CAST(amount AS DOUBLE)), ';' ORDER BY rk) AS services
       FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY amount DESC, service) AS rk
             FROM (SELECT organization_id, service, sum(amount) AS amount FROM costs WHERE provider = 'aws' GROUP BY ALL))
       WHERE rk <= 5 AND service <> '' GROUP BY ALL) s USING (organization_id)
-JOIN (SELECT organization_id, string_agg(CAST(ds AS VARCHAR) || '=' || printf('%.2f', CAST(amount AS DOUBLE)), ';' ORDER BY ds) AS days
+LEFT JOIN (SELECT organization_id, string_agg(CAST(ds AS VARCHAR) || '=' || printf('%.2f', CAST(amount AS DOUBLE)), ';' ORDER BY ds) AS days
       FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY ds DESC) AS rk
             FROM (SELECT organization_id, ds, sum(amount) AS amount FROM costs WHERE provider = 'aws' GROUP BY ALL))
       WHERE rk <= 7 GROUP BY ALL) d USING (organization_id)""", "cloud_accounts costs")

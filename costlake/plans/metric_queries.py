@@ -12,7 +12,10 @@ from costlake.sources.retail import EVENT_HOURS, EVENTS_AS_OF
 from costlake.streaming import alerting
 
 WINDOW = "30d"
-NAMESPACE = {"namespace": metrics.label("namespace")}
+
+
+def by_label(name):
+    return {name: metrics.label(name)}
 
 
 @query("namespace:s value:m", """
@@ -20,7 +23,7 @@ SELECT namespace, sum(increase) / 2592000.0 * 1000 AS value FROM metric_series W
        "metric_series")
 def counter_rate(spark, sf):
     """In thousandths of a core, so that four decimals tell rates apart."""
-    rate = metrics.counter_rate(retail.metric_samples(spark, sf), k8s.CPU, EVENTS_AS_OF, EVENT_HOURS, NAMESPACE)
+    rate = metrics.counter_rate(retail.metric_samples(spark, sf), k8s.CPU, EVENTS_AS_OF, EVENT_HOURS, by_label("namespace"))
     return rate.withColumn("value", F.col("value") * 1000)
 
 
@@ -28,7 +31,7 @@ def counter_rate(spark, sf):
 SELECT namespace, sum(average) / 1024 AS value FROM metric_series WHERE metric = 'memory' GROUP BY namespace""",
        "metric_series")
 def gauge_avg(spark, sf):
-    average = metrics.gauge_avg(retail.metric_samples(spark, sf), k8s.MEMORY, EVENTS_AS_OF, EVENT_HOURS, NAMESPACE)
+    average = metrics.gauge_avg(retail.metric_samples(spark, sf), k8s.MEMORY, EVENTS_AS_OF, EVENT_HOURS, by_label("namespace"))
     return average.withColumn("value", F.col("value") / 1024)
 
 
@@ -41,7 +44,7 @@ FROM metric_series GROUP BY namespace HAVING count(*) FILTER (WHERE metric IN ('
        "metric_series")
 def merge_metrics(spark, sf):
     samples = retail.metric_samples(spark, sf)
-    window = (EVENTS_AS_OF, EVENT_HOURS, NAMESPACE)
+    window = (EVENTS_AS_OF, EVENT_HOURS, by_label("namespace"))
     both = merged(
         metrics.counter_rate(samples, k8s.CPU, *window), metrics.gauge_avg(samples, k8s.MEMORY, *window),
         metrics.counter_rate(samples, k8s.RECEIVED, *window), metrics.counter_rate(samples, k8s.SENT, *window),
@@ -131,7 +134,7 @@ def trend_pivot(spark, sf):
 @query("job:s value:m", """
 SELECT job, cum * 1000 AS value FROM bucket_rates WHERE bound = CAST('inf' AS DOUBLE)""", "bucket_rates")
 def request_rate(spark, sf):
-    rate = metrics.request_rate(retail.request_samples(spark, sf), EVENTS_AS_OF, {"job": metrics.label("job")},
+    rate = metrics.request_rate(retail.request_samples(spark, sf), EVENTS_AS_OF, by_label("job"),
                                 minutes=EVENT_HOURS * 60)
     return rate.withColumn("value", F.col("value") * 1000)
 
@@ -154,7 +157,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY bound) AS rk
   WHERE cum >= total * 0.9) WHERE rk = 1""", "bucket_rates")
 def bucket_quantile(spark, sf):
     return metrics.bucket_quantile(
-        retail.request_samples(spark, sf), 0.9, EVENTS_AS_OF, EVENT_HOURS, {"job": metrics.label("job")},
+        retail.request_samples(spark, sf), 0.9, EVENTS_AS_OF, EVENT_HOURS, by_label("job"),
         "http_request_duration_seconds_bucket")
 
 

@@ -223,7 +223,7 @@ VIEWS = {
     ('quarterly', DATE '2000-10-01', DATE '2000-12-31'), ('yearly', DATE '2000-01-01', DATE '2000-12-31'))
     AS e(kind, since_at, last_day)""",
     "budget_state": """
-  SELECT *, CAST(current_spend AS DOUBLE) / amount * 100 AS usage_percent,
+  SELECT *, CAST(current_spend AS DOUBLE) * 100 / amount AS usage_percent,
     amount - CAST(current_spend AS DOUBLE) AS remaining FROM (
     SELECT b.id, b.organization_id, b.name, b.period, b.amount, b.thresholds,
       coalesce(sum(c.amount), 0) AS current_spend
