@@ -67,74 +67,92 @@ def supported_resources(rates: DataFrame) -> DataFrame:
     )
 
 
+_EMPTY = "map<string,string>"
+
+
+def _changes(document: Column) -> Column:
+    """The planned changes of a parsed document with their defaults; pure no-ops are dropped."""
+    def filled(c: Column) -> Column:
+        kind, name = (F.coalesce(c[field], F.lit("")) for field in ("type", "name"))
+        empty = F.create_map().cast(_EMPTY)
+        return F.struct(
+            F.coalesce(c["address"], F.concat(kind, F.lit("."), name)).alias("address"),
+            kind.alias("type"), name.alias("name"),
+            F.coalesce(c["change"]["actions"], F.array().cast("array<string>")).alias("actions"),
+            F.coalesce(c["change"]["before"], empty).alias("before"),
+            F.coalesce(c["change"]["after"], empty).alias("after"),
+        )
+
+    planned = F.transform(document["resource_changes"], filled)
+    return F.filter(planned, lambda c: c["actions"] != F.array(F.lit("no-op")))
+
+
 def explode_plans(
     plans: DataFrame, keep: Sequence[str] = ("plan_id",), document: str = "document"
 ) -> DataFrame:
     """One row per planned change of a JSON plan; pure no-ops are dropped."""
-    empty = F.create_map().cast("map<string,string>")
-    actions = F.coalesce("c.change.actions", F.array().cast("array<string>"))
-    kind, name = (F.coalesce(f"c.{field}", F.lit("")) for field in ("type", "name"))
-    return (
-        plans.select(*keep, F.from_json(document, PLAN_DOCUMENT).alias("p"))
-        .select(*keep, F.explode("p.resource_changes").alias("c"))
-        .select(
-            *keep, F.coalesce("c.address", F.concat(kind, F.lit("."), name)).alias("address"),
-            kind.alias("type"), name.alias("name"), actions.alias("actions"),
-            F.coalesce("c.change.before", empty).alias("before"),
-            F.coalesce("c.change.after", empty).alias("after"),
-        )
-        .filter(F.col("actions") != F.array(F.lit("no-op")))
+    parsed = plans.select(*keep, F.from_json(document, PLAN_DOCUMENT).alias("p"))
+    return parsed.select(*keep, F.inline(_changes(F.col("p"))))
+
+
+def _rate(values: Column, price: Column) -> Column:
+    """Monthly rate of one side of a change, from its entry of the price list (null if none)."""
+    size = F.substring_index(F.element_at(values, price["size_key"]), "/", -1)
+    priced = F.when(
+        F.map_contains_key(values, price["size_key"]), F.element_at(price["rates"], size)
     )
+    return F.coalesce(priced, price["default_rate"])
 
 
-def _rate(values: Column) -> Column:
-    """Monthly rate of one side of a change, from the joined price-list columns."""
-    size = F.substring_index(F.element_at(values, F.col("size_key")), "/", -1)
-    priced = F.when(F.map_contains_key(values, F.col("size_key")), F.element_at("rates", size))
-    return F.coalesce(priced, F.col("default_rate"))
+def _prices(rates: DataFrame) -> DataFrame:
+    """Price list as (type, price), rounded to cents."""
+    return rates.select(
+        F.col("resource_type").alias("type"),
+        F.struct(
+            "size_key", F.round("default_rate", 2).alias("default_rate"),
+            F.transform_values("rates", lambda _, rate: F.round(rate, 2)).alias("rates"),
+        ).alias("price"),
+    )
 
 
-def resource_cost(resources: DataFrame, rates: DataFrame, values: str = "after") -> DataFrame:
-    """Add ``monthly_cost`` for the attributes in ``values``; null for an unknown type."""
-    return _with_rates(resources, rates).withColumn(
-        "monthly_cost", _rate(F.col(values))
-    ).select(*resources.columns, "monthly_cost")
+def _with_prices(resources: DataFrame, rates: DataFrame) -> DataFrame:
+    return join_dimension(resources, _prices(rates), "type", "left", max_rows=10_000)
 
 
-def _with_rates(resources: DataFrame, rates: DataFrame) -> DataFrame:
-    prices = rates.select(
-        F.col("resource_type").alias("type"), "size_key",
-        F.round("default_rate", 2).alias("default_rate"),
-        F.transform_values("rates", lambda _, rate: F.round(rate, 2)).alias("rates"),
-    )
-    return join_dimension(resources, prices, "type", "left", max_rows=10_000)
+def resource_cost(resources: DataFrame, rates: DataFrame, values: str = "after") -> DataFrame:
+    """Add ``monthly_cost`` for the attributes in ``values``; null for an unknown type."""
+    priced = _with_prices(resources, rates)
+    return priced.select(*resources.columns, _rate(F.col(values), F.col("price")).alias("monthly_cost"))
 
 
-def plan_estimates(
-    changes: DataFrame, rates: DataFrame, replace_mode: str = "create"
-) -> DataFrame:
-    """Cost before and after each change (output of :func:`explode_plans`).
+def _monthly(actions: Column, after: Column, before: Column, replace_mode: str) -> tuple[Column, Column]:
+    """Cost after and before a change.
 
-    A replacement (delete and create) counts as a creation whose old cost is 0; with
-    ``replace_mode="delta"`` its old cost is taken into account.
+    A replacement (delete and create) counts as a creation whose old cost is 0; with the mode
+    ``delta`` its old cost is taken into account.
     """
     if replace_mode not in ("create", "delta"):
         raise ValueError("replace_mode is 'create' or 'delta'")
-    sides = _with_rates(changes, rates).select(
-        *changes.columns, _rate(F.col("after")).alias("_after"), _rate(F.col("before")).alias("_before")
-    )
     zero = F.lit(0.0)
-    after, before = F.coalesce("_after", zero), F.coalesce("_before", zero)
-
-    def does(action: str) -> Column:
-        return F.array_contains("actions", action)
-
-    creates, deletes, updates = does("create"), does("delete"), does("update")
+    after, before = F.coalesce(after, zero), F.coalesce(before, zero)
+    creates, deletes, updates = (F.array_contains(actions, a) for a in ("create", "delete", "update"))
     monthly = F.when(creates, after).when(deletes, zero).when(updates, after)
-    previous = F.when(creates, zero).when(deletes, before).when(updates, before)
+    previous = F.when(creates, zero).when(deletes | updates, before)
     if replace_mode == "delta":
-        both = creates & deletes
-        previous = F.when(both, before).when(creates, zero).when(deletes | updates, before)
+        previous = F.when(creates & ~deletes, zero).when(creates | deletes | updates, before)
+    return monthly, previous
+
+
+def plan_estimates(
+    changes: DataFrame, rates: DataFrame, replace_mode: str = "create"
+) -> DataFrame:
+    """Cost before and after each change (output of :func:`explode_plans`)."""
+    price = F.col("price")
+    sides = _with_prices(changes, rates).select(
+        *changes.columns, _rate(F.col("after"), price).alias("_after"),
+        _rate(F.col("before"), price).alias("_before"),
+    )
+    monthly, previous = _monthly(F.col("actions"), F.col("_after"), F.col("_before"), replace_mode)
     kept = [c for c in changes.columns if c not in ("actions", "before", "after")]
     return sides.select(
         *kept, F.array_join("actions", "+").alias("action"),
@@ -143,23 +161,68 @@ def plan_estimates(
     )
 
 
+def _delta(monthly: Column, previous: Column) -> Column:
+    return F.coalesce(monthly - previous, F.lit(0.0))
+
+
 def plan_summary(
-    estimates: DataFrame, keys: Sequence[str] = ("plan_id",), addresses: bool = True
+    plans: DataFrame, rates: DataFrame, keep: Sequence[str] = ("plan_id",),
+    document: str = "document", replace_mode: str = "create",
 ) -> DataFrame:
-    """Counts and monthly deltas per plan.
+    """Counts, monthly deltas and unsupported addresses of each plan document.
 
-    Sums combine before the shuffle.  The list of unsupported addresses is as long as its plan
-    document has such resources; leave it out when ``keys`` group many plans together.
+    A document is one row and stays one: its changes are priced inside the row, so nothing is
+    shuffled and no list grows past its document.  The price list arrives as one small map.
     """
-    delta = F.coalesce(F.col("monthly_cost") - F.col("previous_cost"), F.lit(0.0))
+    entries = F.map_from_entries(F.collect_list(F.struct("type", "price")))
+    catalog = _prices(rates).agg(entries.alias("catalog")).scalar()
+    parsed = plans.select(
+        *keep, _changes(F.from_json(document, PLAN_DOCUMENT)).alias("_changes"),
+        catalog.alias("_catalog"),
+    )
+
+    def sides(c: Column) -> Column:
+        price = F.element_at(F.col("_catalog"), c["type"])
+        return F.struct(
+            c["address"].alias("address"), c["actions"].alias("actions"),
+            _rate(c["after"], price).alias("after"), _rate(c["before"], price).alias("before"),
+        )
+
+    def outcome(c: Column) -> Column:
+        return F.struct(
+            c["address"].alias("address"),
+            (c["after"].isNull() & c["before"].isNull()).alias("unsupported"),
+            _delta(*_monthly(c["actions"], c["after"], c["before"], replace_mode)).alias("delta"),
+        )
+
+    def total(of) -> Column:
+        return F.aggregate("_done", F.lit(0.0), lambda sum_, c: sum_ + of(c["delta"]))
+
+    priced = parsed.select(
+        *keep, F.transform(F.transform("_changes", sides), outcome).alias("_done")
+    ).filter(F.col("_done").isNotNull())
+    missing = F.filter("_done", lambda c: c["unsupported"])
+    up = total(lambda d: F.greatest(d, F.lit(0.0)))
+    down = total(lambda d: F.greatest(-d, F.lit(0.0)))
+    return priced.select(
+        *keep, F.size("_done").alias("total_resources"),
+        F.round(up, 2).alias("estimated_monthly_increase"),
+        F.round(down, 2).alias("estimated_monthly_decrease"),
+        F.round(up - down, 2).alias("net_monthly_delta"),
+        F.size(missing).alias("unsupported_count"),
+        F.transform(missing, lambda c: c["address"]).alias("unsupported_resources"),
+    )
+
+
+def estimate_totals(estimates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts and monthly deltas over the plans of each key; sums combine before the shuffle."""
+    delta = _delta(F.col("monthly_cost"), F.col("previous_cost"))
     up = F.sum(F.greatest(delta, F.lit(0.0)))
     down = F.sum(F.greatest(-delta, F.lit(0.0)))
-    listed = F.array_sort(F.collect_list(F.when(F.col("unsupported"), F.col("address"))))
     return estimates.groupBy(*keys).agg(
         F.count("*").alias("total_resources"),
         F.round(up, 2).alias("estimated_monthly_increase"),
         F.round(down, 2).alias("estimated_monthly_decrease"),
         F.round(up - down, 2).alias("net_monthly_delta"),
         F.count_if("unsupported").alias("unsupported_count"),
-        *([listed.alias("unsupported_resources")] if addresses else []),
     )

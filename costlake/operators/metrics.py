@@ -1,9 +1,9 @@
 """Counter rates and gauge averages over metric samples.
 
 A series is a metric with one full label set.  Counter steps need the sample before, so series are
-ordered; the order is cut into hours first.  Each (series, hour) is one window group, and the hours
-are stitched through a table with one row per series and hour.  A series that owns a third of all
-samples is thus spread over many tasks, and the result is the same as ordering it whole.
+ordered; the order is cut into slices of time first.  Each (series, slice) is one window group, and
+the slices are stitched through a table with one row per series and slice.  A series that owns a
+third of all samples is thus spread over many tasks, and the result is that of ordering it whole.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE_SECONDS = 3600
+SLICE_SECONDS = 600
 
 
 def series_id(labels: Column | str = "labels") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlake.schemas import COST_RECORDS
 from costlake.sources.billing import SUPPORTED_PROVIDERS
-from costlake.sources.tables import read_costs
+from costlake.sources.tables import day_files, read_costs
 
 
 def _as_daily(incoming: DataFrame, account_id: str | None) -> DataFrame:
@@ -87,13 +87,8 @@ def import_window(
     affected = read_costs(spark, path).filter(F.col("usage_date").isin(touched))
     after = replace_window(affected, incoming, account_id, start, end)
     emptied = _days(affected) - _days(after)
-    (
-        after.withColumn("usage_date", F.to_date("date"))
-        .repartition("usage_date", "cloud_account_id")
-        .sortWithinPartitions("usage_date", "cloud_account_id", "service")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("usage_date").parquet(path)
-    )
+    writer = day_files(after).write.mode("overwrite").partitionBy("usage_date")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
     for day in emptied:
         nothing = spark.createDataFrame([], COST_RECORDS)
         nothing.write.mode("overwrite").parquet(f"{path.rstrip('/')}/usage_date={day}")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from costlake.operators import infra, k8s, metrics
 from costlake.operators.joins import merge_metrics as merged
 from costlake.plans.catalog import query
+from costlake.plans.views import one_of
 from costlake.sources import retail
-from costlake.sources.retail import EVENT_HOURS, EVENTS_AS_OF
+from costlake.sources.retail import EVENT_HOURS, EVENTS_AS_OF, INSTANCE_SIZES
 from costlake.streaming import alerting
 
 WINDOW = "30d"
@@ -207,28 +208,39 @@ def plan_estimates(spark, sf):
     return estimates(spark, sf)
 
 
-_SUMMARY = """
-SELECT {key}, count(*) AS total_resources,
-  coalesce(sum(greatest(monthly_cost - previous_cost, 0)), 0) AS estimated_monthly_increase,
-  coalesce(sum(greatest(previous_cost - monthly_cost, 0)), 0) AS estimated_monthly_decrease,
-  coalesce(sum(monthly_cost - previous_cost), 0) AS net_monthly_delta,
-  count(*) FILTER (WHERE unsupported) AS unsupported_count{more}
-FROM plan_costs GROUP BY {key}"""
+_INSTANCE = "CASE {size} WHEN 't3.micro' THEN 7.59 WHEN 't3.large' THEN 60.74 WHEN 'm5.large' THEN 69.12 " \
+    "WHEN 'zones/a/r5.large' THEN 90.72 ELSE 30.0 END"
 
 
 @query("plan_id:s total_resources:n estimated_monthly_increase:c estimated_monthly_decrease:c net_monthly_delta:c "
-       "unsupported_count:n unsupported:s",
-       _SUMMARY.format(key="plan_id", more=""", coalesce(string_agg(address, ',') FILTER (WHERE unsupported), '')
-  AS unsupported"""), "plan_costs")
+       "unsupported_count:n unsupported:s", f"""
+SELECT plan_id, CASE WHEN action = 'no-op' THEN 1 ELSE 2 END + CASE WHEN l_tax = 0 THEN 1 ELSE 0 END AS total_resources,
+  greatest(instance, 0) + second AS estimated_monthly_increase, greatest(-instance, 0) AS estimated_monthly_decrease,
+  instance + second AS net_monthly_delta, CASE WHEN second = 0 THEN 1 ELSE 0 END AS unsupported_count,
+  CASE WHEN second = 0 THEN 'aws_iam_role.main' ELSE '' END AS unsupported
+FROM (SELECT *, CASE action WHEN 'create' THEN after_cost WHEN 'delete+create' THEN after_cost WHEN 'delete' THEN -before_cost
+    WHEN 'update' THEN after_cost - before_cost ELSE 0 END AS instance
+  FROM (SELECT *, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS plan_id,
+      CASE WHEN l_returnflag = 'A' THEN 'create' WHEN l_returnflag = 'R' THEN 'delete' WHEN l_linestatus = 'F' THEN 'update'
+        WHEN l_linenumber = 1 THEN 'delete+create' ELSE 'no-op' END AS action,
+      {_INSTANCE.format(size=one_of(INSTANCE_SIZES, "l_partkey"))} AS before_cost,
+      {_INSTANCE.format(size=one_of(INSTANCE_SIZES, "l_partkey + l_linenumber"))} AS after_cost,
+      CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE 50.0 END AS second FROM lineitem))""")
 def plan_summary(spark, sf):
-    return infra.plan_summary(estimates(spark, sf)).withColumn(
+    return infra.plan_summary(retail.plans(spark, sf), infra.rate_table(spark)).withColumn(
         "unsupported", F.array_join("unsupported_resources", ","))
 
 
 @query("cloud_account_id:s total_resources:n estimated_monthly_increase:c estimated_monthly_decrease:c "
-       "net_monthly_delta:c unsupported_count:n", _SUMMARY.format(key="cloud_account_id", more=""), "plan_costs")
-def account_plan_summary(spark, sf):
-    return infra.plan_summary(estimates(spark, sf), ["cloud_account_id"], addresses=False)
+       "net_monthly_delta:c unsupported_count:n", """
+SELECT cloud_account_id, count(*) AS total_resources,
+  coalesce(sum(greatest(monthly_cost - previous_cost, 0)), 0) AS estimated_monthly_increase,
+  coalesce(sum(greatest(previous_cost - monthly_cost, 0)), 0) AS estimated_monthly_decrease,
+  coalesce(sum(monthly_cost - previous_cost), 0) AS net_monthly_delta,
+  count(*) FILTER (WHERE unsupported) AS unsupported_count
+FROM plan_costs GROUP BY cloud_account_id""", "plan_costs")
+def account_plan_totals(spark, sf):
+    return infra.estimate_totals(estimates(spark, sf), ["cloud_account_id"])
 
 
 @query("type:s provider:s has_size_rates:b resources:n", """

@@ -63,6 +63,30 @@ def pick(values: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), (number % len(values)).cast("int"))
 
 
+def _daily_running(
+    events: DataFrame, keys: list[str], values: dict[str, Column]
+) -> DataFrame:
+    """Running sums since midnight per key, in the order of time and event.
+
+    Ten-minute slices are summed on their own and then offset by the slices before them, so that a
+    busy key's day is shared by many tasks.
+    """
+    names = list(values)
+    rows = events.withColumns({
+        **values, "_day": F.to_date("ts"), "_slice": F.floor(F.unix_seconds("ts") / 600),
+    })
+    slice_ = [*keys, "_day", "_slice"]
+    ordered = Window.partitionBy(*slice_).orderBy("ts", "event_id")
+    before = Window.partitionBy(*keys, "_day").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*slice_).agg(*[F.sum(n).alias(n) for n in names]).select(
+        *slice_, *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"_{n}") for n in names]
+    )
+    summed = rows.withColumns({n: F.sum(n).over(ordered) for n in names})
+    return summed.join(offsets, slice_).withColumns(
+        {n: F.col(n) + F.col(f"_{n}") for n in names}
+    ).drop("_day", "_slice", *[f"_{n}" for n in names])
+
+
 def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name")
@@ -201,19 +225,16 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", "container_network_transmit_bytes_total")
     )
     hidden = ((group == 10) & (kind != "view")) | ((group == 9) & kind.isin("click", "view"))
-    # a group is one pod, metric and day
-    running = F.sum("value").over(
-        Window.partitionBy("user_id", "event_type", F.to_date("ts")).orderBy("ts", "event_id")
-    )
     namespace = F.when(group == 11, F.lit("")).otherwise(F.concat(F.lit("ns-"), group.cast("string")))
     app = F.when(user % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("app-"), (user % 7).cast("string")))
     labels = F.map_from_arrays(
         F.array(F.lit("namespace"), F.lit("pod"), F.lit("app")),
         F.array(namespace, F.concat(F.lit("pod-"), user.cast("string")), app),
     )
-    return events.filter(~hidden).select(
+    counted = _daily_running(events.filter(~hidden), ["user_id", "event_type"], {"running": F.col("value")})
+    return counted.select(
         "ts", metric.alias("metric"), labels.alias("labels"),
-        F.when(kind == "view", F.col("value") * 1024 * 1024).otherwise(running).alias("value"),
+        F.when(kind == "view", F.col("value") * 1024 * 1024).otherwise(F.col("running")).alias("value"),
     )
 
 
@@ -222,24 +243,22 @@ HISTOGRAM_BOUNDS = (10.0, 50.0, 100.0, 200.0)
 
 def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request counter, duration buckets and ``up`` samples of each user's process, from events."""
-    events = table(spark, sf_dir, "events")
-    day = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    one = {f"upto_{i}": F.when(F.col("value") <= b, 1.0).otherwise(0.0)
+           for i, b in enumerate(HISTOGRAM_BOUNDS)}
+    counted = _daily_running(
+        table(spark, sf_dir, "events"), ["user_id"], {**one, "upto_all": F.lit(1.0)}
+    )
+    bucket, total = F.lit("http_request_duration_seconds_bucket"), F.col("upto_all")
 
-    def so_far(condition: Column) -> Column:
-        return F.sum(F.when(condition, 1.0).otherwise(0.0)).over(day)
+    def entry(metric: Column, le: str, value: Column) -> Column:
+        return F.struct(metric.alias("metric"), F.lit(le).alias("le"), value.alias("value"))
 
-    counted = events.select(
-        "ts", "user_id", "event_type",
+    counted = counted.select(
+        "ts", "user_id",
         F.array(
-            *[F.struct(F.lit("http_request_duration_seconds_bucket").alias("metric"),
-                       F.lit(str(b)).alias("le"), so_far(F.col("value") <= b).alias("value"))
-              for b in HISTOGRAM_BOUNDS],
-            F.struct(F.lit("http_request_duration_seconds_bucket").alias("metric"),
-                     F.lit("+Inf").alias("le"), so_far(F.lit(True)).alias("value")),
-            F.struct(F.lit("http_requests_total").alias("metric"), F.lit("").alias("le"),
-                     so_far(F.lit(True)).alias("value")),
-            F.struct(F.lit("up").alias("metric"), F.lit("").alias("le"),
-                     F.when(F.col("event_type") == "error", 0.0).otherwise(1.0).alias("value")),
+            *[entry(bucket, str(b), F.col(f"upto_{i}")) for i, b in enumerate(HISTOGRAM_BOUNDS)],
+            entry(bucket, "+Inf", total), entry(F.lit("http_requests_total"), "", total),
+            entry(F.lit("up"), "", F.when(F.col("event_type") == "error", 0.0).otherwise(1.0)),
         ).alias("samples"),
     )
     return counted.select("ts", "user_id", F.explode("samples").alias("s")).select(

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from costlake.schemas import AUDIT_LOGS, COST_RECORDS
-from pyspark.sql import types as T
 
 
 def write_costs(records: DataFrame, path: str, mode: str = "append") -> None:
     """Write cost records partitioned by day.
 
-    Rows are spread by day *and* account so that a heavy day is written by many tasks; within a
-    file they are ordered by account and service, which keeps row-group statistics selective.
+    Within a file rows are ordered by account and service, which keeps row-group statistics
+    selective.
     """
-    (
-        records.withColumn("usage_date", F.to_date("date"))
-        .repartition("usage_date", "cloud_account_id")
+    day_files(records).write.mode(mode).partitionBy("usage_date").parquet(path)
+
+
+def day_files(records: DataFrame) -> DataFrame:
+    """Records gathered by day for writing, with their ``usage_date``.
+
+    The rebalance lets adaptive execution size the partitions: small days share a task, and a day
+    that holds much of the data is split over many.
+    """
+    return (
+        records.withColumn("usage_date", F.to_date("date")).hint("rebalance", "usage_date")
         .sortWithinPartitions("usage_date", "cloud_account_id", "service")
-        .write.mode(mode).partitionBy("usage_date").parquet(path)
     )
 
 

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from costlake.operators.quantiles import exact_quantile
+
 #: Alert limits and floors.
 ERROR_LIMIT, RATE_FLOOR = 0.05, 0.001
 SYNC_LATENCY_LIMIT, PREDICTION_LATENCY_LIMIT = 60.0, 10.0
@@ -52,15 +54,23 @@ def latency_p95(
     requests: DataFrame, by: Sequence[str], limit: float = SYNC_LATENCY_LIMIT, minutes: int = 10,
     slide: int = 1, lateness: str = "10 minutes", q: float = 0.95,
 ) -> DataFrame:
-    """95th percentile of the duration per key in a sliding window; exact in batch."""
+    """95th percentile of the duration per key in a sliding window.
+
+    Exact in batch: equal durations of a minute are counted together before they are spread over
+    the windows, and no window's values are gathered in one place.  A stream keeps a sketch.
+    """
     if requests.isStreaming:
         rows = requests.withWatermark("ts", lateness)
-        value = F.percentile_approx("seconds", q, 10_000)
+        grouped = rows.groupBy(*by, _sliding(rows, F.col("ts"), minutes, slide).alias("w")).agg(
+            F.percentile_approx("seconds", q, 10_000).cast("double").alias("p95")
+        )
     else:
-        rows, value = requests, F.percentile("seconds", q)
-    grouped = rows.groupBy(*by, _sliding(rows, F.col("ts"), minutes, slide).alias("w")).agg(
-        value.cast("double").alias("p95")
-    )
+        panes = requests.groupBy(
+            *by, F.window("ts", f"{slide} minutes").start.alias("_pane"),
+            F.col("seconds").cast("double").alias("value"),
+        ).agg(F.count("*").alias("n"))
+        cells = panes.select(*by, "value", "n", _sliding(panes, F.col("_pane"), minutes, slide).alias("w"))
+        grouped = exact_quantile(cells, [*by, "w"], q, out="p95")
     return grouped.select(
         *by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "p95",
         (F.col("p95") > limit).alias("firing"),

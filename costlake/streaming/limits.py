@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Fixed values: (hits, seconds) of the default and the sign-in policy.
 DEFAULT_POLICY, AUTH_POLICY = (100, 60), (10, 300)
 
-_SLICE_MICROS = 3_600_000_000
+_SLICE_MICROS = 600_000_000
 
 
 class SlidingLog:
@@ -66,7 +66,7 @@ class FixedCounter:
 def quiet_pieces(hits: DataFrame, key: str, gap_micros: int) -> DataFrame:
     """Add ``_piece``: the start of the stretch of hits without a pause above ``gap_micros``.
 
-    Works on slices of an hour per key, stitched through one row per key and slice, so that no task
+    Works on slices of ten minutes per key, stitched through one row per key and slice, so that no task
     has to order the whole history of a hot key.
     """
     rows = hits.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))

@@ -140,8 +140,13 @@ def change(kind, actions, before=None, after=None, **extra):
 def price(spark):
     def run(*changes, **options):
         df = spark.createDataFrame([("p", json.dumps({"resource_changes": changes}))], "plan_id string, document string")
-        estimates = infra.plan_estimates(infra.explode_plans(df), infra.rate_table(spark), **options)
-        return estimates.collect(), infra.plan_summary(estimates).first()
+        rates = infra.rate_table(spark)
+        estimates = infra.plan_estimates(infra.explode_plans(df), rates, **options)
+        summary = infra.plan_summary(df, rates, **options).first()
+        grouped = infra.estimate_totals(estimates, ["plan_id"]).first()
+        if grouped is not None:  # pricing inside the row and after exploding agree
+            assert all(summary[c] == grouped[c] for c in grouped.asDict())
+        return estimates.collect(), summary
     return run
 
 
@@ -167,7 +172,7 @@ def test_updated(price):
 
 def test_no_op_and_empty(price):
     rows, total = price(change("aws_instance", ["no-op"], MICRO, MICRO))
-    assert rows == [] and total is None
+    assert rows == [] and total.total_resources == 0 and total.unsupported_resources == []
 
 
 def test_unsupported(price):
