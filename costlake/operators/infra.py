@@ -83,8 +83,11 @@ def _changes(document: Column) -> Column:
             F.coalesce(c["change"]["after"], empty).alias("after"),
         )
 
-    planned = F.transform(document["resource_changes"], filled)
-    return F.filter(planned, lambda c: c["actions"] != F.array(F.lit("no-op")))
+    planned = F.filter(
+        document["resource_changes"],
+        lambda c: F.coalesce(c["change"]["actions"] != F.array(F.lit("no-op")), F.lit(True)),
+    )
+    return F.coalesce(F.transform(planned, filled), F.array())
 
 
 def explode_plans(
@@ -200,7 +203,7 @@ def plan_summary(
 
     priced = parsed.select(
         *keep, F.transform(F.transform("_changes", sides), outcome).alias("_done")
-    ).filter(F.col("_done").isNotNull())
+    )
     missing = F.filter("_done", lambda c: c["unsupported"])
     up = total(lambda d: F.greatest(d, F.lit(0.0)))
     down = total(lambda d: F.greatest(-d, F.lit(0.0)))

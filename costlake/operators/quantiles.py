@@ -40,7 +40,9 @@ def exact_quantile(
     )
     # usually one bin per group, two if the ranks straddle a border
     inside = Window.partitionBy(*keys, "_bin").orderBy(value)
-    values = binned.groupBy(*keys, "_bin", value).agg(F.sum(n).alias("_n")).join(wanted, [*keys, "_bin"])
+    values = binned.join(wanted, [*keys, "_bin"]).groupBy(*keys, "_bin", value, "_start", "_at").agg(
+        F.sum(n).alias("_n")
+    )
     placed = values.withColumn("_end", F.col("_start") + F.sum("_n").over(inside)).withColumn(
         "_begin", F.col("_end") - F.col("_n")
     )
