@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from costlake.functions.dates import in_window, resolve_window
 from costlake.functions.text import format_currency, severity_color
 from costlake.operators.forecast import seasonal_forecast
-from costlake.operators.joins import densify, join_dimension
+from costlake.operators.joins import densify, fits_broadcast, join_dimension
 
 #: Thresholds of a budget that names none, and the periods a budget can have.
 DEFAULT_THRESHOLDS = (50, 80, 100)
@@ -43,17 +43,18 @@ def budget_status(
 ) -> DataFrame:
     """Spend of each active budget since the start of its period, and the thresholds it crossed.
 
-    ``costs`` carry ``organization_id``.  They are summed per tenant, day, service, region and the
-    tag keys budgets may filter on *before* they meet the budgets, so raw charges are never
-    multiplied by the number of budgets.
+    ``costs`` carry ``organization_id``.  A short budget list is broadcast, and charges are summed per
+    budget inside each task.  A list beyond the bound meets the charges in a shuffled join; there they
+    are first summed per tenant, day, service, region and the tag keys budgets may filter on, so that
+    raw charges are neither moved nor multiplied by the number of budgets.
     """
     year_start = dt.datetime(as_of.year, 1, 1)
     tags = {f"tag:{k}": F.element_at("tags", k) for k in tag_keys}
-    daily = in_window(costs, year_start, as_of).groupBy(
+    charges = in_window(costs, year_start, as_of).select(
         F.col("organization_id").alias("_org"), F.to_date("date").alias("_ds"),
         F.col("service").alias("_service"), F.col("region").alias("_region"),
-        *[c.alias(k) for k, c in tags.items()],
-    ).agg(F.sum("amount").alias("_amount"))
+        *[c.alias(k) for k, c in tags.items()], F.col("amount").alias("_amount"),
+    )
     known = F.array(*[F.lit(k) for k in ("service", "region", *tag_keys)])
     foreign = F.size(F.array_except(F.map_keys("filters"), known)) > 0
     refusal = F.raise_error(F.concat(F.lit("name the tag keys of budget "), "id", F.lit(" in tag_keys")))
@@ -70,7 +71,12 @@ def budget_status(
     )
     for key in tag_keys:
         matches = matches & allows(key, F.col(f"`tag:{key}`"))
-    spend = join_dimension(daily, active, matches).groupBy("id").agg(F.sum("_amount").alias("_spend"))
+    if fits_broadcast(active):
+        matched = charges.join(F.broadcast(active), matches)
+    else:
+        cells = [f"`{c}`" for c in charges.columns if c != "_amount"]
+        matched = charges.groupBy(*cells).agg(F.sum("_amount").alias("_amount")).join(active, matches)
+    spend = matched.groupBy("id").agg(F.sum("_amount").alias("_spend"))
     current = F.coalesce("_spend", F.lit(0)).cast("decimal(28,8)")
     with_spend = active.join(spend, "id", "left").select(
         *budgets.columns, "period_start", current.alias("current_spend")

@@ -203,11 +203,9 @@ def cost_summary(
     """
     start, end = resolve_window(as_of, days)
     keys = [F.col(k) for k in by]
-    # grouping sets copy every input row once per set, so what they get is already aggregated
-    cells = in_window(costs, start, end).groupBy(
-        *keys, F.to_date("date").alias("ds"), "service", "region"
-    ).agg(F.sum("amount").alias("amount"), F.min("currency").alias("currency"))
-    grouped = cells.groupingSets(
+    inside = in_window(costs, start, end).withColumn("ds", F.to_date("date"))
+    # the copies per set are combined inside each task: only totals, items and days are shuffled
+    grouped = inside.groupingSets(
         [keys, [*keys, F.col("service")], [*keys, F.col("region")], [*keys, F.col("ds")]],
         *keys, F.col("service"), F.col("region"), F.col("ds"),
     ).agg(
@@ -368,20 +366,17 @@ def context_summary(
 ) -> DataFrame:
     """One row per tenant with the figures an assistant would quote.
 
-    One scan and aggregation feeds total, services and days through grouping sets.  Only the five largest services
+    One scan feeds total, services and days through grouping sets.  Only the five largest services
     and the seven latest days with data are ever gathered into a row.
     """
     start, end = resolve_window(as_of, days)
     costs = context_filters(records, accounts, organization_id, keys, start, end)
     org = F.col("organization_id")
     ds = F.col("ds")
-    cells = costs.groupBy(org, "service", F.to_date("date").alias("ds")).agg(
-        F.sum("amount").alias("amount"), F.count("*").alias("n")
-    )
-    grouped = cells.groupingSets(
+    grouped = costs.withColumn("ds", F.to_date("date")).groupingSets(
         [[org], [org, F.col("service")], [org, ds]], org, F.col("service"), ds
     ).agg(
-        F.sum("amount").alias("amount"), F.sum("n").alias("n"),
+        F.sum("amount").alias("amount"), F.count("*").alias("n"),
         F.grouping("service").alias("_s"), F.grouping("ds").alias("_d"),
     )
     section = F.when(F.col("_s") == 0, "service").when(F.col("_d") == 0, "day").otherwise("total")

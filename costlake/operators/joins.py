@@ -19,14 +19,18 @@ def join_dimension(
 ) -> DataFrame:
     """Join a fact table to a dimension.
 
-    The (already filtered) dimension is counted first, reading at most ``max_rows + 1`` of its
-    rows.  Within the bound it is broadcast and the fact table is not shuffled.  Beyond it the join
+    The (already filtered) dimension is counted first.  Within the bound it is broadcast and the fact table is not shuffled.  Beyond it the join
     is left to Spark: a shuffled join whose hot keys adaptive execution splits.
     """
-    small = dimension.limit(max_rows + 1).count() <= max_rows
+    small = fits_broadcast(dimension, max_rows)
     return fact.join(F.broadcast(dimension) if small else dimension, on, how)
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Count a frame, reading no more than ``max_rows + 1`` of its rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def calendar(spark: SparkSession, start, end, column: str = "ds") -> DataFrame:
     """One row per day from ``start`` to ``end``, both included."""
     days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
