@@ -101,6 +101,8 @@ def run_to_table(result: DataFrame, keys: list[str] | None = None, mode: str = "
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}")
 
+    # an input without rows runs no batch: the table exists all the same
+    spark.createDataFrame([], result.schema).write.parquet(f"{data}/batch_id=-1")
     query = (
         result.writeStream.outputMode(mode).foreachBatch(store)
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()

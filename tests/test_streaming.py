@@ -85,6 +85,13 @@ def test_zscore_stream_equals_batch(requests, stream_of):
     assert same(anomaly.zscore_check(rows, base, ["key"]), live)
 
 
+def test_stream_without_rows(spark, requests, tmp_path):
+    path = str(tmp_path / "nothing")
+    requests.filter("false").write.parquet(path)
+    live = spark.readStream.schema(requests.schema).parquet(path)
+    assert ingest.run_to_table(alerting.error_ratio(live, ["key"]), ["key", "window_start"]).count() == 0
+
+
 def test_tasks(spark, accounts):
     messages = spark.createDataFrame([
         ('{"type": "sync_account", "account_id": "a3"}',), ('{"type": "sync_all", "organization_id": "org", "days": 7}',),
