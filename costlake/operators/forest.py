@@ -76,9 +76,10 @@ def fit_nodes(
     columns = list(columns)
 
     def draws(tree):
-        return F.pmod(F.xxhash64(*key, tree, F.lit(seed)), F.lit(_HASH_SPACE)) < cut
+        return F.pmod(F.xxhash64("_row", tree, F.lit(seed)), F.lit(_HASH_SPACE)) < cut
 
-    sampled = features.select(
+    # the key is hashed once per row, and that hash once per tree
+    sampled = features.select(*key, *columns, F.xxhash64(*key).alias("_row")).select(
         *key, *columns,
         F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), draws)).alias("tree"),
     )
