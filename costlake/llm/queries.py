@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlake.llm import simhash
-from costlake.llm.common import read_table
+from costlake.llm import attribution, bpe_reuse, langid, packing, quality, simhash
+from costlake.llm.common import crc_mod, read_table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path(name: str) -> str:
+    """The installed public tokenizer file of that name."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(build):
     QUERIES[build.__name__] = build
     return build
@@ -22,3 +31,45 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs, radius=4, words_per_shingle=4)
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, crc_mod(docs.doc_id, 5) == 0, threshold=0.3)
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, crc_mod(docs.doc_id, 4) == 2)
+
+
+@query
+def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    cut = packing.cut_documents(docs, tokenizer_path("byte_bpe_50k.json"), 1024, packing.crc_of, "bigint")
+    return packing.pack(cut, 1024).withColumnRenamed("value", "ids_crc32")
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return attribution.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), rule="start")
+
+
+@query
+def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+
+    names = [str(i) for i in range(1 << 16)]
+
+    def digests(parts, ids):
+        return {
+            "n_tokens": [len(i) for i in ids],
+            "ids_sha256": [sha256(" ".join([names[j] for j in i.tolist()]).encode()).hexdigest() for i in ids],
+            "decoded_sha256": [sha256(bpe_reuse.decode_ids(path, i)).hexdigest() for i in ids],
+        }
+
+    return bpe_reuse.encode_texts(read_table(spark, sf_dir, "documents"), path, digests,
+                                  "n_tokens long, ids_sha256 string, decoded_sha256 string")
