@@ -6,7 +6,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlake.llm import attribution, bpe_reuse, langid, packing, quality, simhash
+from costlake.llm import attribution, bpe_reuse, langid, native_queries, packing, quality, simhash
 from costlake.llm.common import crc_mod, read_table
 
 QUERIES = {}
@@ -73,3 +73,7 @@ def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return bpe_reuse.encode_texts(read_table(spark, sf_dir, "documents"), path, digests,
                                   "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+QUERIES.update(native_queries.QUERIES)
+ORACLES.update(native_queries.ORACLES)
