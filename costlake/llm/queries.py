@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from hashlib import sha256
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlake.llm import attribution, bpe_reuse, langid, native_queries, packing, quality, simhash
+from costlake.llm import attribution, bpe_reuse, langid, native_queries, packing, quality, simhash, substrings
 from costlake.llm.common import crc_mod, read_table
 
 QUERIES = {}
@@ -75,5 +76,17 @@ def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+@query
+def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(doc_id, raw, keep):
+        cut = np.diff(np.concatenate([[1], keep.astype(np.int8)]))
+        kept = raw if keep.all() else np.frombuffer(raw, np.uint8)[keep].tobytes()
+        return doc_id, len(raw), int(len(raw) - keep.sum()), int((cut == -1).sum()), sha256(kept).hexdigest()
+
+    return substrings.remove_repeats(
+        read_table(spark, sf_dir, "documents"), digest,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 QUERIES.update(native_queries.QUERIES)
 ORACLES.update(native_queries.ORACLES)
