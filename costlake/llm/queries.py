@@ -7,7 +7,7 @@ from hashlib import sha256
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlake.llm import attribution, bpe_reuse, langid, native_queries, packing, quality, simhash, substrings
+from costlake.llm import attribution, bpe_reuse, langid, native_queries, neighbours, packing, quality, simhash, substrings
 from costlake.llm.common import crc_mod, read_table
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def query(build):
     return build
 
 
+@query
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
