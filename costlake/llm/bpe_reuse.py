@@ -15,6 +15,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from costlake.llm import tokens
@@ -105,6 +106,15 @@ def encode_texts(docs: DataFrame, path: str, finish: Finish, finish_schema: str,
                     [part.column("id"), part.column("text_key"), pa.array(keys, pa.list_(pa.binary()))],
                     names=["id", "text_key", "chunks"])
 
+    def compress(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                small = [pack(t.encode("utf-8", "replace")) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("text_key"), pa.array(small, pa.binary())],
+                    names=["id", "text_key", "text"])
+
     rows = written(base.mapInArrow(find_chunks, "id long, text_key binary, chunks array<binary>"), "chunks")
     texts = rows.groupBy("text_key").agg(F.min("id").alias("keeper"), F.first("chunks").alias("chunks"))
     spots = written(texts.select("text_key", "keeper", F.posexplode("chunks").alias("no", "chunk")), "spots")
@@ -115,24 +125,27 @@ def encode_texts(docs: DataFrame, path: str, finish: Finish, finish_schema: str,
         .otherwise(_TAKEN).cast("tinyint").alias("role")).alias("role"))
     marks = roles.groupBy("text_key").agg(F.collect_list("role").alias("roles"))
     keepers = texts.select("text_key", "keeper").join(marks, "text_key", "left").withColumnRenamed("text_key", "key")
-    chosen = base.join(keepers, (base.text_key == keepers.key) & base.id.eqNullSafe(keepers.keeper)).select(
+    small = base.mapInArrow(compress, "id long, text_key binary, text binary")  # as it moves once, whole
+    chosen = small.join(keepers, (small.text_key == keepers.key) & small.id.eqNullSafe(keepers.keeper)).select(
         "text_key", "text", "roles")
 
     def encode(batches):
         own = tokens.encoder(path, "dropped")
+        unpack = zstandard.ZstdDecompressor().decompress
         done: set[bytes] = set()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 keys, whole, split = [], [], []
-                for key, text, roles in zip(*(part.column(c).to_pylist() for c in ("text_key", "text", "roles"))):
+                for key, small, roles in zip(*(part.column(c).to_pylist() for c in ("text_key", "text", "roles"))):
                     if key in done:
                         continue
                     done.add(key)
+                    raw = unpack(small)
                     if roles:
-                        split.append((key, text.encode("utf-8", "replace"), {r["no"]: r for r in roles}))
+                        split.append((key, raw, {r["no"]: r for r in roles}))
                     else:
                         keys.append(key)
-                        whole.append(text)
+                        whole.append(raw.decode())
                 raws = own.encode(whole)
                 out = finish([[r] for r in raws], [np.frombuffer(r, own.dtype) for r in raws])
                 none = [None] * len(split)
@@ -192,7 +205,7 @@ def encode_texts(docs: DataFrame, path: str, finish: Finish, finish_schema: str,
 
     results = encoded.where("parts is null").select("text_key", *names).unionByName(
         whole.mapInArrow(assemble, f"text_key binary, {finish_schema}"))
-    results = results.groupBy("text_key").agg(*[F.first(n).alias(n) for n in names])
+    results = written(results.groupBy("text_key").agg(*[F.first(n).alias(n) for n in names]), "results")
     return rows.select(F.col("id").alias(id_col), "text_key").join(results, "text_key").drop("text_key")
 
 

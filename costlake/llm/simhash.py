@@ -12,6 +12,7 @@ at most g - 1 links per prefix instead of g * g pairs.  Components follow by alt
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,29 +23,49 @@ from pyspark.sql import DataFrame, functions as F
 from costlake.llm.common import slices, text_of, written
 
 _BITS = 64
-_ONE = np.uint64(1)
+#: Whether the fingerprints at two lists of row numbers are near.
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def fingerprint_of(text: str, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """The majority bits of the shingles' XXH64 values; zero for a text without words."""
+def shingle_hashes(text: str, words_per_shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: only A-Z change, \x20 and \x09-\x0D split
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) for w in words]) + np.arange(len(words))
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends.tolist()
     k = min(words_per_shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[s:e], seed) for s, e in zip(starts, ends[k - 1:])), np.uint64, len(words) - k + 1
-    )
+    return np.fromiter(
+        (digest(joined[s:e], seed) for s, e in zip(starts, ends[k - 1:])), np.uint64, len(words) - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(_BITS, np.int64)
     for part in range(0, len(hashes), 65536):
         octets = hashes[part:part + 65536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    set_bits = np.nonzero(2 * ones > len(hashes))[0]
-    return sum(1 << int(b) for b in set_bits)
+    return sum(1 << int(b) for b in np.nonzero(2 * ones > len(hashes))[0])
+
+
+def fingerprint_of(text: str, words_per_shingle: int = 4, seed: int = 42) -> int:
+    """The majority bits of the shingles' XXH64 values; zero for a text without words."""
+    return majority(shingle_hashes(text, words_per_shingle, seed))
+
+
+def long_fingerprint(text: str, words_per_shingle: int, longs: int) -> list[int]:
+    """``longs`` fingerprints of 64 bits, each of the shingles' hashes mixed in another way."""
+    hashes = shingle_hashes(text, words_per_shingle)
+    found = []
+    for i in range(longs):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        found.append(majority(mixed ^ (mixed >> np.uint64(32))))
+    return found
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id",
@@ -91,12 +112,13 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in list(parent) if top(x) != x]
 
 
-def meet(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int, radius: int,
+def meet(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int, near: Near, labels: np.ndarray,
          most: int = 4_000_000) -> list[tuple[int, int]]:
-    """Links among fingerprints that were sent to one prefix after ``spent`` flips of it.
+    """Links, by ``labels``, among fingerprints that were sent to one prefix after ``spent`` flips of it.
 
     Variants are made a slice of the low-bit space at a time: the slice of a variant is given by its
-    value, so equal variants share one, and a slice holds about ``most`` variants.
+    value, so equal variants share one, and a slice holds about ``most`` variants.  Neighbours in the order
+    of the variants that have the same one are verified by ``near`` of their row numbers.
     """
     masks = [_masks(low_bits, half - s) for s in range(half + 1)]
     low = np.uint64((1 << low_bits) - 1)
@@ -110,33 +132,26 @@ def meet(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int, radius
     for slice_no in range(1 << cut_bits):
         variants, owners = [], []
         for s, rows in of.items():
-            if not len(rows):
-                continue
-            if cut_bits:
-                mask_top = masks[s] >> top_shift
-                row_top = (prints[rows] & low) >> top_shift
-                for pattern in np.unique(mask_top):
-                    chosen = rows[row_top == (pattern ^ np.uint64(slice_no))]
-                    if len(chosen):
-                        some = masks[s][mask_top == pattern]
-                        variants.append(((prints[chosen] & low)[:, None] ^ some).ravel())
-                        owners.append(np.repeat(chosen.astype(np.int32), len(some)))
-            else:
-                variants.append(((prints[rows] & low)[:, None] ^ masks[s]).ravel())
-                owners.append(np.repeat(rows.astype(np.int32), len(masks[s])))
+            mask_top = masks[s] >> top_shift
+            row_top = (prints[rows] & low) >> top_shift
+            for pattern in np.unique(mask_top):
+                chosen = rows[row_top == (pattern ^ np.uint64(slice_no))]
+                if len(chosen):
+                    some = masks[s][mask_top == pattern]
+                    variants.append(((prints[chosen] & low)[:, None] ^ some).ravel())
+                    owners.append(np.repeat(chosen.astype(np.int32), len(some)))
         if not variants:
             continue
         variants, owners = np.concatenate(variants), np.concatenate(owners)
         order = np.argsort(variants)
         variants, owners = variants[order], owners[order]
         equal = variants[1:] == variants[:-1]
-        if not equal.any():
-            continue
-        left, right = prints[owners[1:][equal]], prints[owners[:-1][equal]]
-        near = np.bitwise_count(left ^ right) <= radius
-        pairs = np.unique(np.stack([left[near], right[near]], axis=1), axis=0)
-        links.extend(_forest(pairs[:, 0], pairs[:, 1]))
-    return _forest(*np.array(links, np.uint64).T) if links else []
+        left, right = owners[1:][equal], owners[:-1][equal]
+        good = near(left, right)
+        if good.any():
+            pairs = np.unique(np.stack([labels[left[good]], labels[right[good]]], axis=1), axis=0)
+            links.extend(_forest(pairs[:, 0], pairs[:, 1]))
+    return _forest(*np.array(links, labels.dtype).T) if links else []
 
 
 def prefix_bits_for(n: int, per_prefix: int = 1024) -> int:
@@ -165,8 +180,9 @@ def ball_links(prints: DataFrame, radius: int = 4, prefix_bits: int | None = Non
     )
 
     def collide(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = meet(pdf["fingerprint"].to_numpy(np.int64).view(np.uint64),
-                     pdf["spent"].to_numpy(), low_bits, half, radius)
+        prints = pdf["fingerprint"].to_numpy(np.int64).view(np.uint64)
+        found = meet(prints, pdf["spent"].to_numpy(), low_bits, half,
+                     lambda i, j: np.bitwise_count(prints[i] ^ prints[j]) <= radius, prints)
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -217,3 +233,56 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.join(named, "root").select("fingerprint", "component_id")
     return prints.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def similar_documents(docs: DataFrame, words_per_shingle: int = 5, tables: int = 6, bits: int = 32, longs: int = 4,
+                      share: float = 0.18, per_prefix: int = 65_536, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """(id, ``component_id``) with links at a shingle similarity of about 0.8 and more.
+
+    Texts that share 0.8 of their shingles differ in about 15 % of the bits of a fingerprint, too many for one
+    ball of radius 4 around 64 bits.  So ``tables`` short fingerprints of ``bits`` bits are ball-hashed each on its
+    own, and what collides in any is verified on the whole ``64 * longs`` bits, of which ``share`` may differ
+    (0.18: a similarity of 0.75 by the cosine law; unrelated texts differ in half).  Texts without words
+    are one group.  Null ids must be replaced before; repeated rows stay repeated; an empty table gives none.
+    """
+    names = [f"f{i}" for i in range(longs)]
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                rows = [long_fingerprint(t, words_per_shingle, longs) for t in part.column("text").to_pylist()]
+                signed = np.array(rows, np.uint64).reshape(-1, longs).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), *(pa.array(signed[:, i]) for i in range(longs))], names=["id", *names])
+
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    prints = written(rows.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    distinct = written(prints.groupBy(*names).agg(F.min("id").alias("node")), "nodes")
+    prefix_bits = prefix_bits_for(distinct.count(), per_prefix)
+    half, low_bits = 2, bits - prefix_bits
+    most = int(share * _BITS * longs)
+    patterns = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(n).cast("int").alias("spent"))
+                         for p, n in _reachable(prefix_bits, half)])
+    per_long = _BITS // bits
+    shorts = F.array(*[
+        F.shiftrightunsigned(names[(t // per_long) % longs], bits * (t % per_long)).bitwiseAND(F.lit((1 << bits) - 1))
+        for t in range(tables)])
+    sent = distinct.select("node", *names, F.posexplode(shorts).alias("table", "short")).select(
+        "node", *names, "table", "short", F.explode(patterns).alias("to")).select(
+        "node", *names, "table", "short", F.col("to.spent").alias("spent"),
+        F.shiftrightunsigned("short", low_bits).bitwiseXOR(F.col("to.p")).alias("prefix"))
+
+    def collide(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = pdf[names].to_numpy(np.int64).view(np.uint64)
+        found = meet(pdf["short"].to_numpy(np.int64).view(np.uint64), pdf["spent"].to_numpy(), low_bits, half,
+                     lambda i, j: np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1) <= most,
+                     pdf["node"].to_numpy(np.int64))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    links = sent.groupBy("table", "prefix").applyInPandas(collide, "a long, b long").distinct()
+    roots = components(links)
+    of = written(distinct.join(roots, distinct.node == roots.node, "left").select(
+        *names, F.coalesce(roots.root, distinct.node).alias("component_id")), "components")
+    return prints.join(of, names).select(F.col("id").alias(id_col), "component_id")

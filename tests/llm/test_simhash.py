@@ -108,5 +108,24 @@ def test_slices_of_variants_find_the_same():
     base = rng.getrandbits(64)
     prints = np.array(sorted({base ^ (1 << i) ^ (1 << j) for i in range(0, 40, 3) for j in range(0, 20)}), np.uint64)
     spent = np.zeros(len(prints), int)
-    nodes = [sorted(simhash.meet(prints, spent, 62, 2, 4, most)) for most in (10**9, 5000)]
+    near = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]) <= 4
+    nodes = [sorted(simhash.meet(prints, spent, 62, 2, near, prints, most)) for most in (10**9, 5000)]
     assert {n for n, _ in nodes[0]} == {n for n, _ in nodes[1]} and {r for _, r in nodes[0]} == {r for _, r in nodes[1]}
+
+
+def test_similar_documents_take_similarity_not_equality(spark):
+    rng = random.Random(8)
+    rows, group = [], {}
+    for g in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        for c in range(4):
+            words = list(base)
+            for _ in range(4 * c):  # four changed words of 400 take 20 of 396 shingles
+                words[rng.randrange(400)] = f"v{rng.randrange(10**6)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(simhash.similar_documents(docs).collect())
+    assert all(group[i] == group[c] for i, c in found.items())
+    close = [i for i in found if i % 4 < 3]  # similarities of 0.9 and 0.8 to the first
+    assert sum(found[i] == 4 * (i // 4) for i in close) >= 0.95 * len(close)
