@@ -7,13 +7,14 @@ labelled rows is binned and boosted on the driver; the trees become flat arrays
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from costlake.llm.common import slices, text_of, written
+from costlake.llm.common import slices, text_of
 
 FEATURES = (
     "chars", "words", "mean_word", "long_words", "short_words", "word_spread", "upper", "digits",
@@ -78,22 +79,29 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``features`` array<float> of every row."""
-    rows = docs.select(*keep, text_of(docs, text_col).alias("__text"))
-    kept = [f for f in rows.schema.fields if f.name != "__text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+def _with_statistics(rows: DataFrame, text_col: str, use: Callable[[np.ndarray], pa.Array], name: str,
+                     kind: str) -> DataFrame:
+    """``rows`` with one more column: ``use`` of the statistics of each text."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text", 8 << 20):
-                table = np.array([statistics(t) for t in part.column("__text").to_pylist()], np.float32)
-                offsets = np.arange(0, table.size + 1, len(FEATURES), dtype=np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))
-                columns = [part.column(f.name) for f in kept]
-                yield pa.RecordBatch.from_arrays([*columns, values], names=[*(f.name for f in kept), "features"])
+            for part in slices(batch, text_col, 8 << 20):
+                table = np.array([statistics(t or "") for t in part.column(text_col).to_pylist()], np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in range(len(names))), use(table)], names=[*names, name])
 
-    return rows.mapInArrow(run, f"{fields}, features array<float>")
+    return rows.mapInArrow(run, schema)
+
+
+def features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns, the text and ``features`` array<float> of every row."""
+    def lists(table: np.ndarray) -> pa.Array:
+        offsets = np.arange(0, table.size + 1, len(FEATURES), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))
+
+    return _with_statistics(docs.select(*keep, text_col), text_col, lists, "features", "array<float>")
 
 
 @dataclass
@@ -176,52 +184,49 @@ def boost(table: np.ndarray, labels: np.ndarray, trees: int = 120, depth: int =
     return Trees(*grown, start, depth)
 
 
-def fit(labelled: DataFrame, most_rows: int = 40_000, **how) -> Trees | None:
-    """Trees from rows (``features``, ``label`` 0/1, ``key``); at most ``most_rows`` of them, those whose
-    keys hash smallest.  None where there is no labelled row."""
-    sample = (labelled.where("label is not null").select("features", "label", F.xxhash64("key").alias("at"))
-              .orderBy("at", "features").limit(most_rows).toPandas())
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, most_rows: int = 40_000, id_col: str = "doc_id",
+        text_col: str = "text", label_col: str = "quality", **how) -> Trees | None:
+    """Trees from at most ``most_rows`` labels, those whose ids hash smallest, and the texts of their documents
+    for which ``held_out`` is not true.  None where no labelled document is left."""
+    marks = labels.where(labels[label_col].isin(0, 1)).select(
+        labels[id_col].cast("long").alias("id"), labels[label_col].cast("double").alias("label"))
+    marks = marks.where("id is not null").orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
+    taught = docs.where(~F.coalesce(held_out, F.lit(False))).select(
+        docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
+    known = taught.join(F.broadcast(marks), "id")  # most_rows rows of two numbers
+    sample = features(known, ["id", "label"]).drop("text").orderBy("id", "label", "features").toPandas()
     if not len(sample):
         return None
-    table = np.array(sample["features"].tolist(), np.float32)
-    return boost(table, sample["label"].to_numpy(float), **how)
+    return boost(np.array(sample["features"].tolist(), np.float32), sample["label"].to_numpy(float), **how)
 
 
-def score(rows: DataFrame, trees: Trees | None, passed: list[str]) -> DataFrame:
-    """``passed`` columns and ``score`` of rows with ``features``; without trees every score is 0.5."""
-    fields = [rows.schema[c] for c in passed]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
+def scored(rows: DataFrame, trees: Trees | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``rows`` with ``score_col``; without trees every score is 0.5."""
     shared = rows.sparkSession.sparkContext.broadcast(trees)
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.asarray(batch.column("features").flatten()).reshape(batch.num_rows, -1)
-            model = shared.value
-            scores = np.full(len(table), 0.5) if model is None else model.score(table)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in passed), pa.array(scores)], names=[*passed, "score"])
+    def score(table: np.ndarray) -> pa.Array:
+        return pa.array(np.full(len(table), 0.5) if shared.value is None else shared.value.score(table))
 
-    return rows.select(*passed, "features").mapInArrow(run, schema)
+    return _with_statistics(rows, text_col, score, score_col, "double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3,
-             id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-             most_rows: int = 40_000, **how) -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(id, ``held_out``, ``score``, ``predicted``) of every row of ``docs``, by trees from the labels.
 
     ``held_out`` is a condition on ``docs``; its true rows teach nothing.  A label other than 0 and 1, a
     null label and a null id teach nothing; repeated labels of an id count each.  A null or empty text is
     scored by its (zero) statistics, a null id keeps its row with ``held_out`` false.  No labels: 0.5.
     """
-    keep = [docs[id_col].cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out")]
-    rows = written(features(docs, keep, text_col), "statistics")
-    marks = labels.where(labels[label_col].isin(0, 1)).select(
-        labels[id_col].cast("long").alias("id"), labels[label_col].cast("double").alias("label"))
-    known = rows.where(~F.col("held_out")).join(marks, "id").select("features", "label", F.col("id").alias("key"))
-    trees = fit(known, most_rows, **how)
-    scored = score(rows, trees, ["id", "held_out"])
-    return scored.select(
+    trees = fit(docs, labels, held_out, id_col=id_col, text_col=text_col, **how)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+                       text_of(docs, text_col).alias("text"))
+    return scored(rows, trees).select(
         F.col("id").alias(id_col), "held_out", "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, **how) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns; see ``classify``."""
+    trees = fit(docs, labels, held_out, **how)
+    return scored(docs, trees, score_col="__score").where(F.col("__score") >= threshold).select(*docs.columns)

@@ -34,32 +34,34 @@ _BYTE = np.random.default_rng(10).integers(0, 2**64, 256, np.uint64)
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def block_rows(docs: DataFrame, block_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """(``block``, ``ids``, ``named``, ``sizes``, ``payload``): whole texts in runs of about ``block_bytes``, compressed."""
+def block_rows(docs: DataFrame, block_bytes: int, id_col: str, text_col: str, tag_col: str | None) -> DataFrame:
+    """(``block``, ``ids``, ``tags``, ``sizes``, ``payload``): whole texts in runs of about ``block_bytes``, compressed."""
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        ids, raws, held = [], [], 0
+        ids, tags, raws, held = [], [], [], 0
 
         def row():
             return pa.RecordBatch.from_arrays(
                 [pa.array([[_LATEST if i is None else i for i in ids]], pa.list_(pa.int64())),
-                 pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())),
+                 pa.array(["".join("\n" if t is None else f"{t}\n" for t in tags)], pa.string()),
                  pa.array([[len(r) for r in raws]], pa.list_(pa.int64())),
-                 pa.array([pack.compress(b"".join(raws))], pa.binary())], names=["ids", "named", "sizes", "payload"])
+                 pa.array([pack.compress(b"".join(raws))], pa.binary())], names=["ids", "tags", "sizes", "payload"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text"))):
                 ids.append(doc_id)
+                tags.append(tag)
                 raws.append(text.encode("utf-8", "replace"))
                 held += len(raws[-1]) + 16
                 if held >= block_bytes:
                     yield row()
-                    ids, raws, held = [], [], 0
+                    ids, tags, raws, held = [], [], [], 0
         if ids:
             yield row()
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    made = rows.mapInArrow(run, "ids array<long>, named array<boolean>, sizes array<long>, payload binary")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[tag_col or id_col].cast("long").alias("tag"),
+                       text_of(docs, text_col).alias("text"))
+    made = rows.mapInArrow(run, "ids array<long>, tags string, sizes array<long>, payload binary")
     return written(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -280,14 +282,14 @@ def mark(blocks: DataFrame, known: DataFrame, width: int, finish: Callable, sche
                 if owner < ids[text]:
                     upto = froms[i + 1] if i + 1 < len(froms) else stop - first
                     spans.setdefault(text, []).append((first + froms[i], first + upto + width - 1))
-        rows = []
+        rows, tags = [], left["tags"].iloc[0].split("\n")
         for no, raw in enumerate(raws):
             edges = np.zeros(len(raw) + 1, np.int32)
             for a, b in spans.get(no, ()):
                 edges[a] += 1
                 edges[b] -= 1
             keep = np.cumsum(edges[:-1]) == 0
-            rows.append(finish(ids[no] if left["named"].iloc[0][no] else None, raw, keep))
+            rows.append(finish(int(tags[no]) if tags[no] else None, raw, keep))
         columns = zip(*rows) if rows else [()] * len(names)
         return pd.DataFrame({n: pd.array(list(c), "Int64") if kind == "long" else list(c)
                              for (n, kind), c in zip(fields, columns)})
@@ -295,16 +297,29 @@ def mark(blocks: DataFrame, known: DataFrame, width: int, finish: Callable, sche
     return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(marked, schema)
 
 
+def without(raw: bytes, keep: np.ndarray) -> str:
+    """The text of the kept bytes; a character that loses a byte goes whole."""
+    if keep.all():
+        return raw.decode("utf-8", "replace")
+    octets = np.frombuffer(raw, np.uint8)
+    char = np.cumsum((octets & 0xC0) != 0x80) - 1
+    whole = np.ones(char[-1] + 1, bool)
+    whole[char[~keep]] = False
+    return octets[whole[char]].tobytes().decode("utf-8", "replace")
+
+
 def remove_repeats(docs: DataFrame, finish: Callable, schema: str, width: int = 50, block_bytes: int = 4 << 20,
                    bucket_bytes: int = 3 << 20, hot: int = 20_000, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """One row per document: ``finish(id, text in bytes, mask of kept bytes)`` as ``schema`` says.
 
+    With ``tag_col``, a long column that tells rows apart, ``finish`` gets its value instead of the id.
+
     A byte is removed if it lies in a ``width``-byte string that also starts in a document with a smaller id, as
     the input is.  Null texts are empty.  Rows of one id do not remove each other's bytes; a null id comes after
     all others.  An empty table gives none.
     """
-    blocks = block_rows(docs, block_bytes, id_col, text_col)
+    blocks = block_rows(docs, block_bytes, id_col, text_col, tag_col)
     size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(4, int(size // (16 << 20)) + 1)
     shared = shared_minimizers(blocks, width, buckets)
