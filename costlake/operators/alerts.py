@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costlake.functions.dates import in_window, resolve_window
-from costlake.functions.text import format_currency, severity_color
+from costlake.functions.text import severity_color
 from costlake.operators.forecast import seasonal_forecast
-from costlake.operators.joins import densify, fits_broadcast, join_dimension
+from costlake.operators.joins import densify, join_dimension
 
 #: Thresholds of a budget that names none, and the periods a budget can have.
 DEFAULT_THRESHOLDS = (50, 80, 100)
@@ -43,10 +43,9 @@ def budget_status(
 ) -> DataFrame:
     """Spend of each active budget since the start of its period, and the thresholds it crossed.
 
-    ``costs`` carry ``organization_id``.  A short budget list is broadcast, and charges are summed per
-    budget inside each task.  A list beyond the bound meets the charges in a shuffled join; there they
-    are first summed per tenant, day, service, region and the tag keys budgets may filter on, so that
-    raw charges are neither moved nor multiplied by the number of budgets.
+    ``costs`` carry ``organization_id``.  Charges are first summed per tenant, day, service, region and the
+    tag keys budgets may filter on, so that raw charges are neither moved nor multiplied by the
+    number of budgets.
     """
     year_start = dt.datetime(as_of.year, 1, 1)
     tags = {f"tag:{k}": F.element_at("tags", k) for k in tag_keys}
@@ -71,11 +70,8 @@ def budget_status(
     )
     for key in tag_keys:
         matches = matches & allows(key, F.col(f"`tag:{key}`"))
-    if fits_broadcast(active):
-        matched = charges.join(F.broadcast(active), matches)
-    else:
-        cells = [f"`{c}`" for c in charges.columns if c != "_amount"]
-        matched = charges.groupBy(*cells).agg(F.sum("_amount").alias("_amount")).join(active, matches)
+    cells = [f"`{c}`" for c in charges.columns if c != "_amount"]
+    matched = charges.groupBy(*cells).agg(F.sum("_amount").alias("_amount")).join(active, matches)
     spend = matched.groupBy("id").agg(F.sum("_amount").alias("_spend"))
     current = F.coalesce("_spend", F.lit(0)).cast("decimal(28,8)")
     with_spend = active.join(spend, "id", "left").select(
@@ -117,6 +113,11 @@ def budget_forecast(
 # ---- alert payloads --------------------------------------------------------------------------
 
 
+def _dollars(amount: Column) -> Column:
+    """``$1,234.50``; in alerts the minus sign follows the dollar sign: ``$-1,234.50``."""
+    return F.concat(F.lit("$"), F.format_number(amount.cast("double"), 2))
+
+
 def _fields(*pairs: tuple[str, Column]) -> Column:
     """Ordered label/value list of an alert."""
     return F.array(*[
@@ -141,8 +142,8 @@ def budget_alerts(status: DataFrame) -> DataFrame:
         severity.alias("severity"),
         _fields(
             ("Budget", name),
-            ("Current Spend", format_currency(F.col("current_spend").cast("double"))),
-            ("Budget Limit", format_currency(F.col("amount").cast("double"))),
+            ("Current Spend", _dollars(F.col("current_spend"))),
+            ("Budget Limit", _dollars(F.col("amount"))),
             ("Usage", F.format_string("%.1f%%", F.round(percent, 1))),
             ("Threshold Crossed", F.concat(F.col("threshold").cast("string"), F.lit("%"))),
         ).alias("fields"),
@@ -170,8 +171,8 @@ def anomaly_alerts(anomalies: DataFrame) -> DataFrame:
         severity.alias("severity"),
         _fields(
             ("Service", service), ("Account", F.coalesce(F.nullif(account, F.lit("")), F.lit("N/A"))),
-            ("Actual Cost", format_currency(figure("actual"))),
-            ("Expected Cost", format_currency(figure("expected"))),
+            ("Actual Cost", _dollars(figure("actual"))),
+            ("Expected Cost", _dollars(figure("expected"))),
             ("Deviation", F.format_string("%+.1f%%", F.round(F.coalesce("deviation_percent", F.lit(0.0)), 1))),
             ("Severity", F.initcap(severity)),
         ).alias("fields"),

@@ -52,7 +52,7 @@ def anomaly_features(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def baseline_stats(series: DataFrame, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Mean, sample deviation, median and 95th percentile of each series.
 
-    Exact percentiles hold a group's distinct values in memory: right for daily series.  Pass
+    Decimal amounts are averaged as decimals, so that a tie rounds the same way on every run.  Exact percentiles hold a group's distinct values in memory: right for daily series.  Pass
     ``exact=False`` for groups without such a bound.
     """
     amount = F.col("amount").cast("double")
@@ -61,7 +61,7 @@ def baseline_stats(series: DataFrame, by: Sequence[str] = (), exact: bool = True
         return F.percentile(amount, q) if exact else F.percentile_approx(amount, q, 100_000)
 
     return series.groupBy(*by).agg(
-        F.avg(amount).alias("mean_cost"), F.stddev_samp(amount).alias("std_cost"),
+        F.avg("amount").alias("mean_cost"), F.stddev_samp(amount).alias("std_cost"),
         at(0.5).alias("median_cost"), at(0.95).alias("p95_cost"),
         F.count("*").alias("samples"),
     )
@@ -116,7 +116,7 @@ def zscore_check(rows: DataFrame, baseline: DataFrame, on: Sequence[str]) -> Dat
     """
     stats = baseline.select(*on, "mean_cost", "std_cost")
     joined = rows.join(stats, list(on), "left")
-    mean = F.coalesce("mean_cost", F.lit(0.0))
+    mean = F.coalesce(F.col("mean_cost").cast("double"), F.lit(0.0))
     spread = F.coalesce("std_cost", F.lit(1.0))
     z = F.when(spread > 0, (F.col("amount").cast("double") - mean) / spread).otherwise(F.lit(0.0))
     size = F.abs(F.col("_z"))

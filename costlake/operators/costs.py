@@ -204,8 +204,9 @@ def cost_summary(
     start, end = resolve_window(as_of, days)
     keys = [F.col(k) for k in by]
     inside = in_window(costs, start, end).withColumn("ds", F.to_date("date"))
-    # the copies per set are combined inside each task: only totals, items and days are shuffled
-    grouped = inside.groupingSets(
+    # raw rows are summed by hash once; the sets, and the smallest currency, are taken from those cells
+    cells = inside.groupBy(*keys, "service", "region", "ds", "currency").agg(F.sum("amount").alias("amount"))
+    grouped = cells.groupingSets(
         [keys, [*keys, F.col("service")], [*keys, F.col("region")], [*keys, F.col("ds")]],
         *keys, F.col("service"), F.col("region"), F.col("ds"),
     ).agg(
@@ -343,10 +344,13 @@ def reconcile(
 
 def account_coverage(records: DataFrame, accounts: DataFrame) -> DataFrame:
     """What has been imported for each account, including accounts without a single record."""
-    seen = records.groupBy("cloud_account_id").agg(
-        F.count("*").alias("total_records"),
-        F.min("date").alias("coverage_start"),
-        F.max("date").alias("coverage_end"),
+    # raw rows are combined by hash; the text aggregates see one row per service and currency
+    cells = records.groupBy("cloud_account_id", "service", "currency").agg(
+        F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+    seen = cells.groupBy("cloud_account_id").agg(
+        F.sum("n").alias("total_records"),
+        F.min("first").alias("coverage_start"),
+        F.max("last").alias("coverage_end"),
         F.count_distinct("service").alias("services_detected"),
         F.min("currency").alias("currency"),
     )

@@ -119,7 +119,7 @@ def _prices(rates: DataFrame) -> DataFrame:
 
 
 def _with_prices(resources: DataFrame, rates: DataFrame) -> DataFrame:
-    return join_dimension(resources, _prices(rates), "type", "left", max_rows=10_000)
+    return join_dimension(resources, _prices(rates), "type", "left")
 
 
 def resource_cost(resources: DataFrame, rates: DataFrame, values: str = "after") -> DataFrame:

@@ -6,29 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: A dimension is broadcast only if it was counted and holds no more rows than this.
-BROADCAST_ROWS = 200_000
-
-
 def join_dimension(
-    fact: DataFrame,
-    dimension: DataFrame,
-    on: Column | str | list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    fact: DataFrame, dimension: DataFrame, on: Column | str | list[str], how: str = "inner"
 ) -> DataFrame:
     """Join a fact table to a dimension.
 
-    The (already filtered) dimension is counted first.  Within the bound it is broadcast and the fact table is not shuffled.  Beyond it the join
-    is left to Spark: a shuffled join whose hot keys adaptive execution splits.
+    No hint and no count: Spark broadcasts a dimension whose size in bytes is below its own limit, by
+    statistics or at run time, and else shuffles both sides and splits hot keys.
     """
-    small = fits_broadcast(dimension, max_rows)
-    return fact.join(F.broadcast(dimension) if small else dimension, on, how)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count a frame, reading no more than ``max_rows + 1`` of its rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    return fact.join(dimension, on, how)
 
 
 def calendar(spark: SparkSession, start, end, column: str = "ds") -> DataFrame:

@@ -42,7 +42,8 @@ def conversation_list(
         asked = asked.filter(F.col("user_id") == user_id)
     found = asked.groupBy("user_id", "conversation_id").agg(
         F.count("*").alias("message_count"), F.max("created_at").alias("last_message_at"),
-        F.coalesce(F.substring(F.min("content"), 1, PREVIEW), F.lit("")).alias("preview"),
+        # the smallest prefix is the prefix of the smallest text, and carries less
+        F.coalesce(F.min(F.substring("content", 1, PREVIEW)), F.lit("")).alias("preview"),
     )
     order = [F.desc("last_message_at"), F.col("conversation_id")]
     if user_id is not None:

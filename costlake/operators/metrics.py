@@ -109,9 +109,9 @@ def target_up(samples: DataFrame, as_of: dt.datetime | None = None) -> DataFrame
     rows = samples.filter(F.col("metric") == "up")
     if as_of is not None:
         rows = rows.filter(F.col("ts") <= F.lit(as_of).cast(samples.schema["ts"].dataType))
-    return rows.groupBy(label("job").alias("job")).agg(
-        F.max_by("value", F.struct("ts", "value")).alias("up"), F.max("ts").alias("last_seen")
-    )
+    newest = Window.partitionBy("job").orderBy(F.desc("ts"), F.desc("value"))
+    latest = rows.select(label("job").alias("job"), "ts", "value").withColumn("_rank", F.row_number().over(newest))
+    return latest.filter(F.col("_rank") == 1).select("job", F.col("value").alias("up"), F.col("ts").alias("last_seen"))
 
 
 def bucket_quantile(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from costlake.schemas import COST_RECORDS
 from costlake.sources.billing import SUPPORTED_PROVIDERS
@@ -101,12 +101,9 @@ def _days(records: DataFrame) -> set[dt.date]:
 
 def sync_telemetry(accounts: DataFrame, results: DataFrame) -> DataFrame:
     """Latest sync state of each account; accounts never synced say so."""
-    latest = results.groupBy("cloud_account_id").agg(
-        F.max_by(
-            F.struct("status", "records_imported", "error", "finished_at"),
-            F.struct("finished_at", "status"),
-        ).alias("s")
-    )
+    newest = Window.partitionBy("cloud_account_id").orderBy(F.desc("finished_at"), F.desc("status"))
+    latest = results.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).select(
+        "cloud_account_id", F.struct("status", "records_imported", "error", "finished_at").alias("s"))
     s = F.col("s")
     known = s["status"].isin("queued", "syncing", "ready", "error")
     status = F.when(s.isNull(), "never_synced").when(known, s["status"]).otherwise("error")

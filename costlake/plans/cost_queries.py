@@ -230,7 +230,7 @@ FROM (SELECT organization_id, service, CASE WHEN rk = 1 THEN amount END AS last,
   WHERE rk <= 2) GROUP BY ALL""", "service_daily")
 def latest_change(spark, sf):
     keys = [*ORG, "service"]
-    return c.latest_change(c.daily_totals(scoped(spark, sf).filter("service <> ''"), keys), keys)
+    return c.latest_change(c.daily_totals(scoped(spark, sf), keys), keys)
 
 
 @query("organization_id:s ds:d amount:m", """

@@ -303,7 +303,20 @@ def _hits(spark, sf):
 BURST = {"limit": 2, "seconds": 6 * 3600}
 
 
-@query("event_id:n key:s accepted:b")
+#: The log of accepted hits is carried along each key's hits.
+_SLIDING = f"""
+WITH RECURSIVE hits AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rk FROM events),
+run AS (
+  SELECT key, event_id, ts, rk, [ts] AS log, true AS accepted FROM hits WHERE rk = 1
+  UNION ALL
+  SELECT key, event_id, ts, rk, CASE WHEN len(live) < {BURST['limit']} THEN list_append(live, ts) ELSE live END,
+    len(live) < {BURST['limit']}
+  FROM (SELECT h.*, list_filter(r.log, lambda x: x >= h.ts - INTERVAL 6 HOUR) AS live
+    FROM run r JOIN hits h ON h.key = r.key AND h.rk = r.rk + 1))"""
+
+
+@query("event_id:n key:s accepted:b", _SLIDING + " SELECT event_id, key, accepted FROM run")
 def burst_windows(spark, sf):
     return limits.burst_windows(_hits(spark, sf), **BURST)
 
@@ -357,7 +370,7 @@ def stream_zscore(spark, sf):
     return ingest.run_to_table(ingest.stream_zscore(arriving, baseline, ["key"]), mode="append")
 
 
-@query("key:s ts:t accepted:b")
+@query("key:s ts:t accepted:b", _SLIDING + " SELECT key, ts, accepted FROM run")
 def stream_bursts(spark, sf):
     hits = retail.requests(spark, sf, _stream(spark, sf, "events")).select("key", "ts")
     return ingest.run_to_table(limits.stream_burst_windows(hits, **BURST), mode="append")

@@ -39,8 +39,8 @@ def gauge_avg(spark, sf):
 @query("namespace:s cpu:m memory:m received:m sent:m", """
 SELECT namespace, coalesce(sum(increase) FILTER (WHERE metric = 'cpu'), 0) / 2592.0 AS cpu,
   coalesce(sum(average) FILTER (WHERE metric = 'memory'), 0) / 1048576 AS memory,
-  coalesce(sum(increase) FILTER (WHERE metric = 'received'), 0) / 2592.0 AS received,
-  coalesce(sum(increase) FILTER (WHERE metric = 'sent'), 0) / 2592.0 AS sent
+  coalesce(sum(increase) FILTER (WHERE metric = 'received'), 0) / 2592.0 / 1048576 AS received,
+  coalesce(sum(increase) FILTER (WHERE metric = 'sent'), 0) / 2592.0 / 1048576 AS sent
 FROM metric_series GROUP BY namespace HAVING count(*) FILTER (WHERE metric IN ('cpu', 'memory')) > 0""",
        "metric_series")
 def merge_metrics(spark, sf):
@@ -52,7 +52,7 @@ def merge_metrics(spark, sf):
         ["namespace"])
     return both.withColumns({
         "cpu": F.col("cpu") * 1000, "memory": F.col("memory") / 1048576,
-        "received": F.col("received") * 1000, "sent": F.col("sent") * 1000})
+        "received": F.col("received") * 1000 / 1048576, "sent": F.col("sent") * 1000 / 1048576})
 
 
 def _costs_sql(keys: str, network: bool = False) -> str:
@@ -118,7 +118,7 @@ def k8s_totals(spark, sf):
     return k8s.k8s_totals(namespace_costs(spark, sf))
 
 
-_PIVOTED = ("ns-0", "ns-1", "ns-2", "ns-10")
+_PIVOTED = (*(f"ns-{i}" for i in range(11)), "unknown")
 
 
 @query("date:d " + " ".join(f"{n.replace('-', '_')}:m" for n in _PIVOTED), f"""

@@ -22,7 +22,7 @@ SENT_AT = dt.datetime(2024, 1, 31, 12, 0)
 
 
 def daily(spark, sf):
-    return c.daily_totals(scoped(spark, sf).filter("service <> ''"), SERIES)
+    return c.daily_totals(scoped(spark, sf), SERIES)
 
 
 def features(spark, sf):
@@ -34,7 +34,7 @@ def flagged(spark, sf):
 
 
 def dense(spark, sf):
-    rows = scoped(spark, sf).filter("service <> ''").select(*SERIES, F.col("date").alias("ds"), "amount")
+    rows = scoped(spark, sf).select(*SERIES, F.col("date").alias("ds"), "amount")
     return fc.prepare_series(rows, SERIES)
 
 
@@ -46,11 +46,18 @@ def anomaly_features(spark, sf):
 
 
 @query("organization_id:s service:s mean_cost:m std_cost:m median_cost:m p95_cost:m samples:n", """
-SELECT organization_id, service, avg(amount) AS mean_cost, stddev_samp(amount) AS std_cost,
-  quantile_cont(amount, 0.5) AS median_cost, quantile_cont(amount, 0.95) AS p95_cost, count(*) AS samples
-FROM service_daily GROUP BY ALL""", "service_daily")
+SELECT organization_id, service, mean_cost, std_cost, median_cost, p95_cost, samples
+FROM (SELECT organization_id, service, stddev_samp(amount) AS std_cost,
+    quantile_cont(amount, 0.5) AS median_cost, quantile_cont(amount, 0.95) AS p95_cost, count(*) AS samples
+  FROM service_daily GROUP BY ALL)
+JOIN (SELECT organization_id, service,
+    -- the exact quotient of whole units of 1e-8, its half rounded away from zero at the fourth decimal
+    sign(units) * ((abs(units) * 2 + n * 10000) // (n * 20000)) / 10000.0 AS mean_cost
+  FROM (SELECT organization_id, service, CAST(sum(amount) * 100000000 AS HUGEINT) AS units, count(DISTINCT ds) AS n
+    FROM costs GROUP BY ALL)) USING (organization_id, service)""", "service_daily costs")
 def baseline_stats(spark, sf):
-    return anomaly.baseline_stats(daily(spark, sf), SERIES)
+    stats = anomaly.baseline_stats(daily(spark, sf), SERIES)
+    return stats.withColumn("mean_cost", F.round("mean_cost", 4))
 
 
 @query("organization_id:s service:s ds:d is_anomaly:b", "SELECT * FROM flagged", "flagged")
@@ -107,7 +114,7 @@ def isolation_forest(spark, sf):
     """Trained and applied over the daily features of every series."""
     path = scratch_path(spark, "features")
     features(spark, sf).write.parquet(path)  # read by three jobs, computed by one
-    rows = retail.spread(spark.read.parquet(path), "ds")
+    rows = spark.read.parquet(path)
     detector = forest.iforest_fit(rows, [*SERIES, "ds"], "medium", path=scratch_path(spark, "forest"))
     return forest.iforest_score(rows, detector)
 
@@ -239,8 +246,8 @@ _BUDGET_ALERTS = """
 SELECT 'budget' AS event, organization_id, 'Budget Alert — ' || name AS title,
   'Budget *' || name || '* has reached *' || printf('%.0f', round_even(usage_percent, 0)) || '%* of its limit.' AS message,
   CASE WHEN threshold >= 100 THEN 'critical' WHEN threshold >= 80 THEN 'high' ELSE 'medium' END AS severity,
-  'Budget=' || name || '; Current Spend=' || CASE WHEN current_spend < 0 THEN '-$' ELSE '$' END
-  || format('{:,.2f}', abs(CAST(current_spend AS DOUBLE)))
+  'Budget=' || name || '; Current Spend=$'
+  || format('{:,.2f}', CAST(current_spend AS DOUBLE))
   || '; Budget Limit=$' || format('{:,.2f}', CAST(amount AS DOUBLE)) || '; Usage=' || printf('%.1f', round(usage_percent, 1))
   || '%; Threshold Crossed=' || CAST(threshold AS VARCHAR) || '%' AS details
 FROM (SELECT *, unnest(list_filter(thresholds, lambda t: t <= usage_percent)) AS threshold FROM budget_state)"""
@@ -255,8 +262,8 @@ _ANOMALY_ALERTS = """
 SELECT 'anomaly' AS event, organization_id, 'Cost Anomaly Detected — ' || upper(severity) AS title,
   'Unusual spending detected on *' || service || '* in account *' || organization_id || '*.' AS message, severity,
   'Service=' || service || '; Account=' || organization_id
-  || '; Actual Cost=' || CASE WHEN actual_cost < 0 THEN '-$' ELSE '$' END || format('{:,.2f}', abs(round(actual_cost, 2)))
-  || '; Expected Cost=' || CASE WHEN expected_cost < 0 THEN '-$' ELSE '$' END || format('{:,.2f}', abs(round(expected_cost, 2)))
+  || '; Actual Cost=$' || format('{:,.2f}', round(actual_cost, 2))
+  || '; Expected Cost=$' || format('{:,.2f}', round(expected_cost, 2))
   || '; Deviation=' || printf('%+.1f', round(deviation_percent, 1)) || '%; Severity='
   || upper(severity[1]) || severity[2:] AS details
 FROM anomalies"""

@@ -49,7 +49,7 @@ VIEWS = {
   LEFT JOIN org_daily d ON d.organization_id = o.organization_id AND d.ds = c.ds""",
     "service_daily": """
   SELECT organization_id, service, ds, CAST(sum(amount) AS DOUBLE) AS amount
-  FROM costs WHERE service <> '' GROUP BY ALL""",
+  FROM costs GROUP BY ALL""",
     "features": """
   SELECT *, (amount - rolling_mean_7d) / (rolling_std_7d + 0.01) AS deviation_from_mean FROM (
     SELECT organization_id, service, ds, amount, isodow(ds) - 1 AS day_of_week,
@@ -97,17 +97,16 @@ VIEWS = {
   SELECT * FROM (
     SELECT ts, event_id, user_id,
       CASE event_type WHEN 'click' THEN 'cpu' WHEN 'view' THEN 'memory'
-           WHEN 'purchase' THEN 'received' ELSE 'sent' END AS metric,
+           WHEN 'purchase' THEN 'received' WHEN 'error' THEN 'errors' ELSE 'sent' END AS kind,
+      CASE WHEN (user_id % 12 = 10 AND event_type <> 'view') OR (user_id % 12 = 9 AND event_type IN ('click', 'view'))
+           THEN 'unscheduled_' || kind ELSE kind END AS metric,
       CASE WHEN user_id % 12 = 11 THEN '' ELSE 'ns-' || CAST(user_id % 12 AS VARCHAR) END AS namespace,
       'pod-' || CAST(user_id AS VARCHAR) AS pod,
       CASE WHEN user_id % 7 = 0 THEN '' ELSE 'app-' || CAST(user_id % 7 AS VARCHAR) END AS app,
       CASE WHEN event_type = 'view' THEN value * 1024 * 1024
-           ELSE sum(value) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id)
+           ELSE CASE WHEN event_type IN ('purchase', 'signup') THEN 1048576 ELSE 1 END * sum(value) OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id)
       END AS value
-    FROM events
-    WHERE event_type <> 'error'
-      AND NOT (user_id % 12 = 10 AND event_type <> 'view')
-      AND NOT (user_id % 12 = 9 AND event_type IN ('click', 'view')))
+    FROM events)
   WHERE ts > TIMESTAMP '2024-01-01 00:00:00' AND ts <= TIMESTAMP '2024-01-31 00:00:00'""",
     "metric_steps": """
   SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS step

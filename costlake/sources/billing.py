@@ -45,7 +45,7 @@ def gcp_billing_aggregate(
 ) -> DataFrame:
     """Daily totals per service and place over the half-open window ``[start, end)``."""
     place = F.col("location")
-    return (
+    cells = (
         _export_window(export, start, end)
         .groupBy(
             *keep,
@@ -53,9 +53,14 @@ def gcp_billing_aggregate(
             F.coalesce(F.col("service.description"), F.lit("Unknown")).alias("service_name"),
             F.coalesce(place["region"], place["location"], place["zone"], F.lit("global"))
             .alias("region_name"),
+            "currency",
         )
-        # min() is one of the values any_value() may return, and always the same one
-        .agg(F.sum("cost").alias("total_cost"), F.min("currency").alias("currency"))
+        .agg(F.sum("cost").alias("total_cost"))
+    )
+    # raw rows are summed by hash per currency; min() then takes a value that any_value() may return
+    return (
+        cells.groupBy(*keep, "usage_date", "service_name", "region_name")
+        .agg(F.sum("total_cost").alias("total_cost"), F.min("currency").alias("currency"))
     )
 
 

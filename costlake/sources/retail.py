@@ -213,16 +213,18 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container metrics from events.
 
     A user is a pod.  Clicks, purchases and sign-ups drive counters that restart every day; views
-    are memory gauges.  Namespace 10 has memory only, 9 network only, and 11 has no name.
+    are memory gauges; network counters are in units of a MB.  Namespace 10 has memory only, 9 network only (their
+    other events have metrics of their own, as errors do), and 11 has no name.
     """
-    events = table(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    events = table(spark, sf_dir, "events")
     user, kind = F.col("user_id"), F.col("event_type")
     group = user % 12
     metric = (
         F.when(kind == "click", "container_cpu_usage_seconds_total")
         .when(kind == "view", "container_memory_working_set_bytes")
         .when(kind == "purchase", "container_network_receive_bytes_total")
-        .when(kind == "signup", "container_network_transmit_bytes_total")
+        .when(kind == "error", "container_errors_total")
+        .otherwise("container_network_transmit_bytes_total")
     )
     hidden = ((group == 10) & (kind != "view")) | ((group == 9) & kind.isin("click", "view"))
     namespace = F.when(group == 11, F.lit("")).otherwise(F.concat(F.lit("ns-"), group.cast("string")))
@@ -231,10 +233,12 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("namespace"), F.lit("pod"), F.lit("app")),
         F.array(namespace, F.concat(F.lit("pod-"), user.cast("string")), app),
     )
-    counted = _daily_running(events.filter(~hidden), ["user_id", "event_type"], {"running": F.col("value")})
+    counted = _daily_running(events, ["user_id", "event_type"], {"running": F.col("value")})
     return counted.select(
-        "ts", metric.alias("metric"), labels.alias("labels"),
-        F.when(kind == "view", F.col("value") * 1024 * 1024).otherwise(F.col("running")).alias("value"),
+        "ts", F.when(hidden, F.concat(F.lit("unscheduled_"), metric)).otherwise(metric).alias("metric"),
+        labels.alias("labels"),
+        F.when(kind == "view", F.col("value") * 1024 * 1024)
+        .when(kind.isin("purchase", "signup"), F.col("running") * 1048576).otherwise(F.col("running")).alias("value"),
     )
 
 

@@ -10,7 +10,6 @@ serial is one key that never pauses for a whole window.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +24,29 @@ _SLICE_MICROS = 600_000_000
 
 
 class SlidingLog:
-    """Accepted hits of the window; rejected hits are not recorded.
+    """A ring of the last ``limit`` accepted hits; rejected hits are not recorded.
 
-    A hit exactly one window old still counts.
+    Only the oldest of them matters: a hit passes if that one is older than the window, and takes its
+    place.  A hit exactly one window old still counts.
     """
 
     def __init__(self, limit: int, micros: int, saved: tuple = ()) -> None:
-        self.limit, self.micros = limit, micros
-        self.accepted = deque(saved)
+        self.micros = micros
+        self.ring = [None] * (limit - len(saved)) + list(saved)
+        self.oldest = 0
 
     def hit(self, at: int) -> bool:
-        while self.accepted and self.accepted[0] < at - self.micros:
-            self.accepted.popleft()
-        if len(self.accepted) >= self.limit:
+        if not self.ring:
+            return False
+        last = self.ring[self.oldest]
+        if last is not None and last >= at - self.micros:
             return False
-        self.accepted.append(at)
+        self.ring[self.oldest] = at
+        self.oldest = (self.oldest + 1) % len(self.ring)
         return True
 
     def state(self) -> list[int]:
-        return list(self.accepted)
+        return [at for at in self.ring[self.oldest:] + self.ring[:self.oldest] if at is not None]
 
 
 class FixedCounter:

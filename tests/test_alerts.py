@@ -39,15 +39,13 @@ def test_budget_status(status):
     assert got["b5"].current_spend == 20
 
 
-def test_a_long_budget_list_gives_the_same(status, make_costs, accounts, budgets, monkeypatch):
-    expected = sorted((r.id, r.current_spend) for r in status.collect())
-    costs = c.with_accounts(make_costs(
-        ("a1", 0, "EC2", "r", "850"), ("a1", 1, "S3", "r", "20", "daily", {"team": "x"}),
-        ("a2", 30, "S3", None, "150"), ("a1", 100, "S3", None, "7", "daily", {"team": "x"}), ("a3", 500, "S3", None, "9")),
-        accounts)
-    monkeypatch.setattr(alerts, "fits_broadcast", lambda df: False)
-    shuffled = alerts.budget_status(budgets, costs, NOW, tag_keys=["team"])
-    assert sorted((r.id, r.current_spend) for r in shuffled.collect()) == expected
+def test_amounts_below_zero_keep_the_dollar_in_front(spark):
+    found = spark.createDataFrame(
+        [("o", "low", "EC2", "acct", -1234.5, 10.0, -5.0)],
+        "organization_id string, severity string, service string, account_name string, actual_cost double, "
+        "expected_cost double, deviation_percent double")
+    fields = {f.label: f.value for f in alerts.anomaly_alerts(found).first().fields}
+    assert fields["Actual Cost"] == "$-1,234.50" and fields["Expected Cost"] == "$10.00"
 
 
 def test_unnamed_tag_filters_are_refused(make_costs, accounts, budgets):

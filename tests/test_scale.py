@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_points
 from costlake import schemas
 from costlake.functions.dates import resolve_window
 from costlake.operators import costs as c, joins, logs, metrics
@@ -49,19 +50,30 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert text.count("Exchange") - text.count("BroadcastExchange") <= 1
 
 
-def test_a_dimension_beyond_the_bound_is_not_broadcast(spark):
+def test_the_size_limit_of_spark_decides_on_a_broadcast(spark):
     fact = spark.range(100).withColumn("k", F.col("id") % 10)
     dim = spark.range(10).select(F.col("id").alias("k"))
     assert "Broadcast" in plan(joins.join_dimension(fact, dim, "k"))
     was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        big = joins.join_dimension(fact, dim, "k", max_rows=9)
+        big = joins.join_dimension(fact, dim, "k")
         assert "SortMergeJoin" in plan(big) and big.count() == 100
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
+@pytest.mark.parametrize("name", ["cost_summary", "account_coverage", "gcp_billing_aggregate", "total_cost", "top_services"])
+def test_raw_rows_are_not_sorted_for_an_aggregate(spark, name):
+    lines = plan(entry_points.queries()[name](spark, SF)).splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "SortAggregate" in line:
+            below = [x for x, d in zip(lines[i + 1:], depth[i + 1:]) if d > depth[i]]
+            first = next(x for x in below if "Exchange" in x or "Scan" in x or "HashAggregate" in x)
+            assert "Scan" not in first, (line, first)
+
+
 def test_newest_messages_are_limited_before_the_shuffle(spark):
     text = plan(logs.conversation_history(retail.chat_messages(spark, SF)))
     assert "WindowGroupLimit" in text and "Partial" in text
