@@ -48,7 +48,8 @@ def line_sections(raw: bytes) -> list[tuple[str, int]]:
 
 
 def token_counts(docs: DataFrame, path: str, sections: Callable[[bytes], list[tuple[str, int]]] = line_sections,
-                 rule: str = "start", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 rule: str = "start", ranks: str | None = None, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
     """(id, ``section_no``, ``section``, ``start``, ``length``, ``n_tokens``, ``n_crossing``) per section.
 
     ``path`` names a byte-level tokenizer.  ``start`` and ``length`` are in code points.  The counts of a document
@@ -60,7 +61,7 @@ def token_counts(docs: DataFrame, path: str, sections: Callable[[bytes], list[tu
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
 
     def run(batches):
-        own = tokens.encoder(path, "leading")
+        own = tokens.encoder(path, "leading", ranks)
         sizes = tokens.byte_lengths(path)
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):

@@ -51,14 +51,17 @@ def ids_of(ids: np.ndarray) -> list[int]:
 
 
 def cut_documents(docs: DataFrame, path: str, window: int, value: Callable[[np.ndarray], object],
-                  value_type: str, end_id: int = 0, blanks: str = "leading", id_col: str = "doc_id",
+                  value_type: str, end_id: int = 0, ranks: str | None = None, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(``doc_id``, ``doc_tokens``, ``pieces``): the ids of each whole text and ``end_id``, cut every way that
-    packing may ask for, each piece with ``value`` of its ids."""
+    packing may ask for, each piece with ``value`` of its ids.
+
+    ``path`` names a byte-level tokenizer, ``ranks`` may name the same vocabulary as ranks.  A null text is empty.
+    """
     piece = f"struct<kind:tinyint,start:bigint,length:bigint,value:{value_type}>"
 
     def run(batches):
-        own = tokens.encoder(path, blanks)
+        own = tokens.encoder(path, "leading", ranks)
         end = np.array([end_id], own.dtype)
         arrow = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("length", pa.int64()),
                                     ("value", pa.list_(pa.int32()) if value_type.startswith("array") else pa.int64())]))

@@ -54,14 +54,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    cut = packing.cut_documents(docs, tokenizer_path("byte_bpe_50k.json"), 1024, packing.crc_of, "bigint")
+    cut = packing.cut_documents(docs, tokenizer_path("byte_bpe_50k.json"), 1024, packing.crc_of, "bigint",
+                                ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
     return packing.pack(cut, 1024).withColumnRenamed("value", "ids_crc32")
 
 
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return attribution.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), rule="start")
+    return attribution.token_counts(docs, tokenizer_path("byte_bpe_50k.json"), rule="start",
+                                    ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 @query

@@ -16,10 +16,11 @@ ALPHABET = ["a", "B", "\u00e9", "e\u0301", "\u0301", "\u00df", "\u0130", "\u03a3
             "<|startoftext|>", " the", "\x00", "x" * 70]
 
 
-@pytest.fixture(scope="module", params=list(FILES))
+@pytest.fixture(scope="module", params=[("byte_bpe_50k.json", None), ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"),
+                                        ("word_bpe_49k.json", None)])
 def pair(request):
-    path = P.path(request.param)
-    return tokens.Encoder(path, FILES[request.param]), Tokenizer.from_file(path)
+    name, ranks = request.param
+    return tokens.Encoder(P.path(name), FILES[name], ranks and P.path(ranks)), Tokenizer.from_file(P.path(name))
 
 
 def check(pair, texts):
@@ -40,6 +41,12 @@ def test_any_text(pair, texts):
     check(pair, [t.encode("utf-8", "replace").decode() for t in texts])
 
 
+def test_every_plain_character_beside_others(pair):
+    plain = [chr(c) for c in range(33, 256) if tokens._PLAIN.fullmatch(chr(c).encode())]
+    rng = random.Random(4)
+    check(pair, [f"q {a}{b} {a}x{b}\n{b} {a}{a}'s{b}" for a in plain for b in rng.sample(plain, 12)])
+
+
 def test_tables(pair):
     own, library = pair
     rows = __import__("pyarrow.parquet").parquet.read_table("/root/testdata/sf0.001/documents.parquet")
