@@ -69,7 +69,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, in windows of 1,024: one row per piece, with its ids and its place."""
-    cut = packing.cut_documents(docs, tokenizer_path("byte_bpe_50k.json"), 1024, packing.ids_of, "array<int>")
+    cut = packing.cut_documents(docs, tokenizer_path("byte_bpe_50k.json"), 1024, packing.ids_of, "array<int>",
+                                ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
     return packing.pack(cut, 1024).withColumnRenamed("value", "ids")
 
 
