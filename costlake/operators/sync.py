@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from costlake.schemas import COST_RECORDS
 from costlake.sources.billing import SUPPORTED_PROVIDERS
+from costlake.session import scratch_path
 from costlake.sources.tables import day_files, read_costs
 
 
@@ -47,7 +48,7 @@ def replace_window(
         & F.col("date").between(F.lit(start).cast(kind), F.lit(end).cast(kind))
     )
     columns = [f.name for f in COST_RECORDS]
-    return existing.filter(~(stale & arrived)).select(*columns).unionByName(fresh)
+    return existing.filter(~(F.coalesce(stale, F.lit(False)) & arrived)).select(*columns).unionByName(fresh)
 
 
 def replace_windows(existing: DataFrame, incoming: DataFrame, start, end) -> DataFrame:
@@ -62,9 +63,10 @@ def replace_windows(existing: DataFrame, incoming: DataFrame, start, end) -> Dat
         F.lit(start).cast(kind), F.lit(end).cast(kind)
     )
     columns = [f.name for f in COST_RECORDS]
-    outside = existing.filter(~replaceable).select(*columns)
-    kept = existing.filter(replaceable).join(synced, "cloud_account_id", "left_anti")
-    return outside.unionByName(kept.select(*columns)).unionByName(fresh)
+    # one pass: a row goes if it is replaceable, which a null date or granularity is not, and its account synced
+    stale = F.coalesce(replaceable, F.lit(False)) & F.coalesce("_synced", F.lit(False))
+    kept = existing.join(synced, "cloud_account_id", "left").filter(~stale)
+    return kept.select(*columns).unionByName(fresh)
 
 
 def import_window(
@@ -78,6 +80,9 @@ def import_window(
     day that lost its last row is therefore emptied on its own.  Readers that must never see one day
     swapped before the next need a transactional table format underneath.
     """
+    landed = scratch_path(spark, "pull")  # parsed once, read for its days, its rows and their number
+    incoming.write.parquet(landed)
+    incoming = spark.read.schema(incoming.schema).parquet(landed)
     rows = incoming.count()
     if rows == 0:
         return 0
@@ -89,9 +94,10 @@ def import_window(
     emptied = _days(affected) - _days(after)
     writer = day_files(after).write.mode("overwrite").partitionBy("usage_date")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    for day in emptied:
-        nothing = spark.createDataFrame([], COST_RECORDS)
-        nothing.write.mode("overwrite").parquet(f"{path.rstrip('/')}/usage_date={day}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in emptied:  # no job: a partition without rows is dropped
+        files.delete(folder(f"{path.rstrip('/')}/usage_date={day}"), True)
     return rows
 
 

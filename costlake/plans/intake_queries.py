@@ -24,8 +24,10 @@ SELECT * FROM (
     CASE WHEN l_discount <> 0 THEN l_extendedprice ELSE 0 END AS amount,
     CASE WHEN l_linenumber <> 2 THEN 'EUR' ELSE 'USD' END AS currency,
     CASE WHEN l_linenumber <> 4 THEN l_quantity ELSE 0 END AS usage_quantity FROM lineitem
+  WHERE l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0
   UNION ALL
-  SELECT CAST(l_suppkey AS VARCHAR), CAST(l_shipdate AS DATE), 'Tax', round(l_tax * 100, 2), 'USD', 0 FROM lineitem)
+  SELECT CAST(l_suppkey AS VARCHAR), CAST(l_shipdate AS DATE), 'Tax', round(l_tax * 100, 2), 'USD', 0 FROM lineitem
+  WHERE l_orderkey % 97 <> 0)
 WHERE amount > 0"""
 
 
@@ -42,7 +44,7 @@ def aws_normalize(spark, sf):
 _GCP = """
 SELECT CAST(o_orderdate AS DATE) AS usage_date, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderpriority ELSE 'Unknown' END AS service_name,
   CASE o_orderkey % 4 WHEN 0 THEN 'us-central1' WHEN 1 THEN 'eu' WHEN 2 THEN 'asia-a' ELSE 'global' END AS region_name,
-  sum(CASE WHEN o_orderkey % 9 = 0 THEN -CAST(o_totalprice AS DECIMAL(18,2)) WHEN o_orderkey % 7 = 0 THEN 0
+  sum(CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN -CAST(o_totalprice AS DECIMAL(18,2)) WHEN o_orderkey % 7 = 0 THEN 0
       ELSE CAST(o_totalprice AS DECIMAL(18,2)) END) AS total_cost,
   min(CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'USD' END) AS currency
 FROM orders GROUP BY ALL"""
@@ -69,6 +71,20 @@ def gcp_export_row_count(spark, sf):
     return billing.gcp_export_row_count(retail.gcp_export(spark, sf), GCP_START, GCP_END)
 
 
+@query("cloud_account_id:s reason:s items:n", """
+SELECT cloud_account_id, reason, count(*) AS items FROM (
+  SELECT CAST(l_suppkey AS VARCHAR) AS cloud_account_id, CASE WHEN l_orderkey % 97 = 0 THEN 'page' ELSE 'amount' END AS reason
+  FROM lineitem WHERE l_orderkey % 97 = 0 OR l_orderkey % 89 = 0) GROUP BY ALL""")
+def aws_quarantine(spark, sf):
+    lost = billing.aws_quarantine(retail.aws_pages(spark, sf), keep=ACCOUNT)
+    return lost.groupBy("cloud_account_id", "reason").agg(F.count("*").alias("items"))
+
+
+@query("reason:s items:n", "SELECT 'amount' AS reason, count(*) AS items FROM orders WHERE o_orderkey % 13 = 0")
+def gcp_quarantine(spark, sf):
+    return billing.gcp_quarantine(retail.gcp_export(spark, sf)).groupBy("reason").agg(F.count("*").alias("items"))
+
+
 _AZURE = f"""
 SELECT CAST(l_suppkey AS VARCHAR) AS cloud_account_id, CAST(l_shipdate AS DATE) AS date, {one_of(SERVICES, "l_partkey")} AS service,
   l_returnflag AS region, l_extendedprice AS amount, CASE WHEN l_linenumber = 2 THEN 'USD' ELSE 'EUR' END AS currency
@@ -111,14 +127,52 @@ SELECT cloud_account_id, granularity, currency, count(*) AS records, sum(amount)
 GROUP BY ALL""", "cost_records")
 def replace_windows(spark, sf):
     start, end = dt.datetime(1997, 1, 1), dt.datetime(1999, 12, 31, 23, 59, 59)
-    landed = scratch_path(spark, "pull")  # parsed once, read for its accounts and for its rows
-    aws_records(spark, sf).filter(F.col("date").between(F.lit(start), F.lit(end))).write.parquet(landed)
-    pulled = spark.read.parquet(landed)
+    pulled = aws_records(spark, sf).filter(F.col("date").between(F.lit(start), F.lit(end)))
     after = sync.replace_windows(retail.cost_records(spark, sf), pulled, start, end)
     return after.groupBy("cloud_account_id", "granularity", "currency").agg(
         F.count("*").alias("records"), F.sum("amount").alias("amount"))
 
 
+def _replaced(spark, sf, account):
+    start, end = dt.datetime(1997, 1, 1), dt.datetime(1999, 12, 31, 23, 59, 59)
+    pulled = aws_records(spark, sf).filter(
+        (F.col("cloud_account_id") == account) & F.col("date").between(F.lit(start), F.lit(end)))
+    records = retail.cost_records(spark, sf)
+    return records, pulled, start, end
+
+
+@query("cloud_account_id:s granularity:s records:n amount:c", f"""
+SELECT cloud_account_id, granularity, count(*) AS records, sum(amount) AS amount FROM (
+  SELECT cloud_account_id, granularity, CAST(amount AS DOUBLE) AS amount FROM cost_records
+  WHERE NOT (granularity = 'daily' AND date BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '1999-12-31 23:59:59'
+    AND cloud_account_id = '3')
+  UNION ALL SELECT cloud_account_id, 'daily', amount FROM ({_AWS})
+  WHERE cloud_account_id = '3' AND date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31') GROUP BY ALL""", "cost_records")
+def replace_window(spark, sf):
+    """Account 3 is pulled; an account without a single incoming row keeps what it has."""
+    records, pulled, start, end = _replaced(spark, sf, "3")
+    after = sync.replace_window(records, pulled, "3", start, end)
+    after = sync.replace_window(after, pulled.filter(F.col("cloud_account_id") == "none"), "4", start, end)
+    return after.groupBy("cloud_account_id", "granularity").agg(F.count("*").alias("records"), F.sum("amount").alias("amount"))
+
+
+@query("cloud_account_id:s ds:d records:n amount:c", f"""
+SELECT cloud_account_id, ds, count(*) AS records, sum(amount) AS amount FROM (
+  SELECT cloud_account_id, ds, CAST(amount AS DOUBLE) AS amount FROM cost_records
+  WHERE NOT (granularity = 'daily' AND cloud_account_id = '3'
+    AND date BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '1999-12-31 23:59:59')
+  UNION ALL SELECT cloud_account_id, date, amount FROM ({_AWS})
+  WHERE cloud_account_id = '3' AND date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31') GROUP BY ALL""", "cost_records")
+def import_window(spark, sf):
+    """The same on a written table, of which only the days of the window are rewritten; read back."""
+    records, pulled, start, end = _replaced(spark, sf, "3")
+    path = scratch_path(spark, "charges")
+    tables.write_costs(records, path)
+    sync.import_window(spark, path, pulled, "3", start, end)
+    return tables.read_costs(spark, path).groupBy("cloud_account_id", F.to_date("date").alias("ds")).agg(
+        F.count("*").alias("records"), F.sum("amount").alias("amount"))
+
+
 @query("account_id:s last_sync_status:s last_sync_completed_at:t records:s last_sync_error:s", """
 SELECT a.id AS account_id, coalesce(r.status, 'never_synced') AS last_sync_status,
   CASE WHEN r.status IN ('ready', 'error') THEN r.finished_at END AS last_sync_completed_at,

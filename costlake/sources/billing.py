@@ -19,17 +19,23 @@ SUPPORTED_PROVIDERS = ("demo", "aws", "gcp", "azure")
 NORMALIZED = ["date", "service", "region", "amount", "currency", "usage_quantity"]
 
 
-def aws_normalize(raw: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
-    """AWS response pages (JSON text) to records; ``keep`` carries columns of ``raw`` along."""
-    groups = (
+def _aws_groups(raw: DataFrame, payload: str, keep: tuple[str, ...]) -> DataFrame:
+    return (
         raw.select(*keep, F.from_json(payload, AWS_PAGE).alias("page"))
         .select(*keep, F.explode("page.ResultsByTime").alias("period"))
-        .select(*keep, F.col("period.TimePeriod.Start").cast("date").alias("start"),
-                F.explode("period.Groups").alias("group"))
+        .select(*keep, F.col("period.TimePeriod.Start").alias("day"),
+                F.col("period.TimePeriod.Start").try_cast("date").alias("start"), F.explode("period.Groups").alias("group"))
     )
+
+
+def aws_normalize(raw: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """AWS response pages (JSON text) to records; ``keep`` carries columns of ``raw`` along.
+
+    What cannot be read is left out here and listed by :func:`aws_quarantine`.
+    """
     cost = F.col("group.Metrics.UnblendedCost")
     usage = F.col("group.Metrics.UsageQuantity.Amount")
-    return groups.select(
+    return _aws_groups(raw, payload, keep).filter(F.col("start").isNotNull()).select(
         *keep,
         F.col("start").cast("timestamp").alias("date"),
         F.coalesce(F.get("group.Keys", F.lit(0)), F.lit("Unknown")).alias("service"),
@@ -40,6 +46,28 @@ def aws_normalize(raw: DataFrame, payload: str = "payload", keep: tuple[str, ...
     ).filter(F.col("amount") > 0)
 
 
+def aws_quarantine(raw: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """What of the pages cannot be read: (``keep``, ``reason``, ``item`` as it came).
+
+    ``page``: no JSON of the expected shape; ``date``: a group under an unreadable day; ``amount``: a group
+    whose cost is no number.
+    """
+    pages = raw.filter(F.from_json(payload, AWS_PAGE)["ResultsByTime"].isNull()).select(
+        *keep, F.lit("page").alias("reason"), F.col(payload).alias("item"))
+    amount = F.col("group.Metrics.UnblendedCost.Amount")
+    reason = F.when(F.col("start").isNull(), "date").when(
+        amount.isNotNull() & amount.try_cast(MONEY).isNull(), "amount")
+    groups = _aws_groups(raw, payload, keep).select(*keep, reason.alias("reason"), F.to_json("group").alias("item"))
+    return pages.unionByName(groups.filter(F.col("reason").isNotNull()))
+
+
+def gcp_quarantine(export: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Export rows without a usable day or cost; they are in no aggregate."""
+    lost = export.filter(F.col("usage_start_time").isNull() | F.col("cost").isNull())
+    reason = F.when(F.col("usage_start_time").isNull(), "date").otherwise("amount")
+    return lost.select(*keep, reason.alias("reason"), F.to_json(F.struct(*export.columns)).alias("item"))
+
+
 def gcp_billing_aggregate(
     export: DataFrame, start: dt.datetime, end: dt.datetime, keep: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -142,7 +142,10 @@ def cost_records(spark: SparkSession, sf_dir: str, lines: DataFrame | None = Non
 
 
 def aws_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One billing response per order line: a cost group and a tax group."""
+    """One billing response per order line: a cost group and a tax group.
+
+    Some pages are cut off, and some costs are no number.
+    """
     price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     tax = (F.col("l_tax") * 100).cast("decimal(18,2)").cast("string")
 
@@ -153,7 +156,7 @@ def aws_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") == 3, F.array().cast("array<string>"))
         .otherwise(F.array(pick(SERVICES, F.col("l_partkey")))).alias("Keys"),
         F.struct(
-            money(F.when(F.col("l_discount") != 0, price), F.when(F.col("l_linenumber") != 2, F.lit("EUR")))
+            money(F.when(F.col("l_orderkey") % 89 == 0, "n/a").when(F.col("l_discount") != 0, price), F.when(F.col("l_linenumber") != 2, F.lit("EUR")))
             .alias("UnblendedCost"),
             F.when(F.col("l_linenumber") != 4,
                    money(F.col("l_quantity").cast("decimal(18,2)").cast("string"), F.lit("N/A")))
@@ -172,14 +175,15 @@ def aws_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("TimePeriod"),
         F.array(cost_group, tax_group).alias("Groups"),
     )
+    page = F.to_json(F.struct(F.array(period).alias("ResultsByTime")))
     return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_suppkey").cast("string").alias("cloud_account_id"),
-        F.to_json(F.struct(F.array(period).alias("ResultsByTime"))).alias("payload"),
+        F.when(F.col("l_orderkey") % 97 == 0, F.substring(page, 1, 15)).otherwise(page).alias("payload"),
     )
 
 
 def gcp_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested export rows from orders; every ninth order is a credit."""
+    """Nested export rows from orders; every ninth order is a credit, every thirteenth has no cost."""
     priority, key = F.col("o_orderpriority"), F.col("o_orderkey")
     cents = F.col("o_totalprice").cast("decimal(18,2)").cast(MONEY)
     return table(spark, sf_dir, "orders").select(
@@ -190,7 +194,7 @@ def gcp_export(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(key % 4 == 1, F.lit("eu")).alias("location"),
             F.when(key % 4 == 2, F.lit("asia-a")).alias("zone"),
         ).alias("location"),
-        F.when(key % 9 == 0, -cents).when(key % 7 == 0, F.lit(0).cast(MONEY)).otherwise(cents)
+        F.when(key % 13 == 0, F.lit(None)).when(key % 9 == 0, -cents).when(key % 7 == 0, F.lit(0).cast(MONEY)).otherwise(cents)
         .alias("cost"),
         F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.lit("USD")).alias("currency"),
     )
