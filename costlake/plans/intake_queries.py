@@ -430,3 +430,30 @@ def stream_zscore(spark, sf):
 def stream_bursts(spark, sf):
     hits = retail.requests(spark, sf, _stream(spark, sf, "events")).select("key", "ts")
     return ingest.run_to_table(limits.stream_burst_windows(hits, **BURST), mode="append")
+
+
+@query("key:s ts:t accepted:b", f"""
+SELECT key, ts, accepted FROM (
+WITH RECURSIVE hits AS (
+  SELECT CAST(user_id AS VARCHAR) AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rk FROM events),
+run AS (
+  SELECT key, ts, rk, ts AS opened, 1 AS hits FROM hits WHERE rk = 1
+  UNION ALL
+  SELECT h.key, h.ts, h.rk, CASE WHEN h.ts >= r.opened + INTERVAL 6 HOUR THEN h.ts ELSE r.opened END,
+    CASE WHEN h.ts >= r.opened + INTERVAL 6 HOUR THEN 1 ELSE r.hits + 1 END
+  FROM run r JOIN hits h ON h.key = r.key AND h.rk = r.rk + 1)
+SELECT key, ts, hits <= {BURST['limit']} AS accepted FROM run)""")
+def stream_burst_counter(spark, sf):
+    hits = retail.requests(spark, sf, _stream(spark, sf, "events")).select("key", "ts")
+    return ingest.run_to_table(limits.stream_burst_counter(hits, **BURST), mode="append")
+
+
+@query("provider:s window_start:t window_end:t p95:m firing:b", """
+SELECT provider, window_end - INTERVAL 10 MINUTE AS window_start, window_end, p95, p95 > 60 AS firing FROM (
+  SELECT provider, window_end, list_sort(list(seconds))[CAST(greatest(1, ceil(0.95 * count(*))) AS BIGINT)] AS p95
+  FROM (SELECT provider, seconds, date_trunc('minute', ts) + k * INTERVAL 1 MINUTE AS window_end
+    FROM requests CROSS JOIN (SELECT unnest(range(1, 11)) AS k)) GROUP BY ALL)""", "requests")
+def stream_latency_p95(spark, sf):
+    """The sketch of a window with fewer values than its accuracy is exact: the value at the rank itself."""
+    requests = retail.requests(spark, sf, _stream(spark, sf, "events"))
+    return ingest.run_to_table(alerting.latency_p95(requests, ["provider"]), ["provider", "window_start", "window_end"])

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from costlake.operators.quantiles import exact_quantile
+from costlake.operators.quantiles import windowed_quantile
 
 #: Alert limits and floors.
 ERROR_LIMIT, RATE_FLOOR = 0.05, 0.001
@@ -56,8 +56,8 @@ def latency_p95(
 ) -> DataFrame:
     """95th percentile of the duration per key in a sliding window.
 
-    Exact in batch: equal durations of a minute are counted together before they are spread over
-    the windows, and no window's values are gathered in one place.  A stream keeps a sketch.
+    Exact in batch: durations are counted per minute and bin, only those counts are spread over the
+    windows, and no window's values are gathered in one place.  A stream keeps a sketch.
     """
     if requests.isStreaming:
         rows = requests.withWatermark("ts", lateness)
@@ -69,8 +69,7 @@ def latency_p95(
             *by, F.window("ts", f"{slide} minutes").start.alias("_pane"),
             F.col("seconds").cast("double").alias("value"),
         ).agg(F.count("*").alias("n"))
-        cells = panes.select(*by, "value", "n", _sliding(panes, F.col("_pane"), minutes, slide).alias("w"))
-        grouped = exact_quantile(cells, [*by, "w"], q, out="p95")
+        grouped = windowed_quantile(panes, by, q, minutes, slide, out="p95")
     return grouped.select(
         *by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "p95",
         (F.col("p95") > limit).alias("firing"),
