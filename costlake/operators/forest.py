@@ -160,15 +160,22 @@ def iforest_fit(
 ) -> Forest:
     """Train a detector; ``path`` keeps its tables, which later jobs read back instead of training.
 
-    Axis-parallel random splits do not depend on the scale of a feature, so none is rescaled.
+    ``path/scores`` has the training rows with their ``raw_score``: rows that are also to be judged need no second
+    pass (see :func:`iforest_score`).  Axis-parallel random splits do not depend on the scale of a feature, so none is rescaled.
     """
     contamination = SENSITIVITY.get(sensitivity, SENSITIVITY["medium"])
     nodes, total = fit_nodes(features, key, columns, trees, rows_per_tree, seed)
     if path is not None:
         nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
         nodes = features.sparkSession.read.schema(_NODE_SCHEMA).parquet(f"{path}/nodes")
+    grown = nodes.filter("node = 0").count()
+    if grown != trees:
+        raise ValueError(f"only {grown} of {trees} trees drew a row")
     size = float(min(rows_per_tree, total))
     scored = raw_scores(features, nodes, size, columns)
+    if path is not None:
+        scored.write.mode("overwrite").parquet(f"{path}/scores")
+        scored = features.sparkSession.read.schema(scored.schema).parquet(f"{path}/scores")
     # a mergeable sketch: rank error below total / 100,000 in bounded memory
     limit = scored.agg(F.percentile_approx("raw_score", contamination, 100_000)).first()[0]
     baseline = baseline_stats(features, exact=False)
@@ -198,8 +205,12 @@ def load_forest(spark: SparkSession, path: str) -> Forest | None:
 
 
 def iforest_score(features: DataFrame, forest: Forest) -> DataFrame:
-    """Add ``label`` (-1 anomaly, 1 normal), signed ``score`` (negative is worse), ``is_anomaly``."""
-    scored = raw_scores(features, forest.nodes, forest.sample_size, forest.features)
+    """Add ``label`` (-1 anomaly, 1 normal), signed ``score`` (negative is worse), ``is_anomaly``.
+
+    Rows that carry a ``raw_score`` of this forest are not scored again.
+    """
+    scored = features if "raw_score" in features.columns else raw_scores(
+        features, forest.nodes, forest.sample_size, forest.features)
     return (
         scored.withColumn("score", F.col("raw_score") - F.lit(forest.limit))
         .withColumn("is_anomaly", F.col("score") < 0)

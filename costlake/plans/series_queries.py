@@ -115,8 +115,9 @@ def isolation_forest(spark, sf):
     path = scratch_path(spark, "features")
     features(spark, sf).write.parquet(path)  # read by three jobs, computed by one
     rows = spark.read.parquet(path)
-    detector = forest.iforest_fit(rows, [*SERIES, "ds"], "medium", path=scratch_path(spark, "forest"))
-    return forest.iforest_score(rows, detector)
+    model = scratch_path(spark, "forest")
+    detector = forest.iforest_fit(rows, [*SERIES, "ds"], "medium", path=model)
+    return forest.iforest_score(spark.read.parquet(f"{model}/scores"), detector)
 
 
 # ---- forecasts -------------------------------------------------------------------------------
