@@ -5,11 +5,11 @@ of the 16-byte strings in it.  So the text falls into runs of windows with one m
 
 1. texts are put in blocks of a few MB; each block says which minimizers it has, once each, and which of
    them two of its documents have; those met in two blocks or two documents are shared;
-2. each block gives the runs under shared minimizers as strings, equal strings once, with their smallest
-   document; equal strings of all blocks become one, which is how copies and common lines shrink;
-3. a string alone under its minimizer shares windows with no other.  The rest meet by minimizer; transforms
-   of shards of them are merged (``suffixes``), whose blocks at depth ``width`` are the
-   classes of equal windows, and every window learns its smallest document;
+2. each block names the strings under shared minimizers, equal strings once, with their smallest document;
+   equal names of all blocks become one, which is how copies and common lines shrink;
+3. a string alone under its minimizer shares windows with no other.  The rest are read by one block each and meet
+   by minimizer; transforms of shards of them are merged (``suffixes``), whose blocks at depth
+   ``width`` are the classes of equal windows, and every window learns its smallest document;
 4. each block marks the bytes under windows whose smallest document is smaller than its own.
 
 Minimizers with very many strings are split: their windows meet by their own hashes, in a plain grouping.
@@ -24,9 +24,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from costlake.llm.common import text_of, written
+from costlake.llm.suffixes import smallest_owner
 
 _GRAM = 16
 _LATEST = np.iinfo(np.int64).max  # a null id comes after all others
@@ -37,7 +38,7 @@ _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def block_rows(docs: DataFrame, block_bytes: int, id_col: str, text_col: str, tag_col: str | None) -> DataFrame:
     """(``block``, ``ids``, ``tags``, ``sizes``, ``payload``): whole texts in runs of about ``block_bytes``, compressed."""
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=5)
         ids, tags, raws, held = [], [], [], 0
 
         def row():
@@ -83,7 +84,7 @@ def minimizers(octets: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def runs_of(raws: list[bytes], width: int, step: int = 1 << 20):
+def runs_of(raws: list[bytes], width: int, step: int = 1 << 18):
     """(text number, first window, end window, minimizer) arrays of the runs of windows with one minimizer."""
     found = []
     at = 0
@@ -117,16 +118,18 @@ def texts_in(sizes: np.ndarray, payload: bytes) -> list[bytes]:
     return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _long(key: np.ndarray) -> np.ndarray:
-    return key.view(np.int64)
+def anchors(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The short name of minimizers: their bucket and 32 more bits.  Two that share it only meet in vain."""
+    return ((key % np.uint64(buckets)) << np.uint64(32) | key >> np.uint64(32)).view(np.int64)
 
 
 def shared_minimizers(blocks: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(``block``, ``keys`` binary of 8-byte minimizers), several rows a block: those that two documents have."""
+    """(``block``, ``bucket``, ``keys`` binary of 32-bit names): those that two documents have."""
     def cells(batches):
         for batch in batches:
-            for no, ids, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "sizes", "payload"))):
+            for no, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "payload"))):
                 text, _, _, key = runs_of(texts_in(sizes, payload), width)
+                key = anchors(key, buckets)
                 order = np.lexsort((text, key))
                 key, text = key[order], text[order]
                 fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
@@ -136,21 +139,20 @@ def shared_minimizers(blocks: DataFrame, width: int, buckets: int) -> DataFrame:
                 cut = np.nonzero(fresh)[0]
                 many = np.logical_or.reduceat(other, cut) if len(cut) else np.zeros(0, bool)
                 key = key[cut]
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(b, order[edges[b]:edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
+                bucket, short = key >> 32, (key & 0xFFFFFFFF).astype(np.uint32)
+                edges = np.searchsorted(bucket, np.arange(buckets + 1))
+                rows = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _ in rows], pa.int32()), pa.array([no] * len(rows), pa.int64()),
-                     pa.array([key[r].tobytes() for _, r in rows], pa.binary()),
+                     pa.array([short[r].tobytes() for _, r in rows], pa.binary()),
                      pa.array([np.packbits(many[r]).tobytes() for _, r in rows], pa.binary())],
                     names=["bucket", "block", "keys", "many"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
+        parts = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(pdf["many"], parts)])
         key = np.concatenate(parts)
-        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
         order = np.argsort(key, kind="stable")
         key, row, many = key[order], row[order], many[order].astype(bool)
         twin = key[1:] == key[:-1]
@@ -161,123 +163,142 @@ def shared_minimizers(blocks: DataFrame, width: int, buckets: int) -> DataFrame:
         order = np.argsort(row, kind="stable")
         key, row = key[order], row[order]
         edges = np.searchsorted(row, np.arange(len(parts) + 1))
-        some = [(b, key[edges[i]:edges[i + 1]].tobytes()) for i, b in enumerate(pdf["block"]) if edges[i] < edges[i + 1]]
-        return pd.DataFrame({"block": [b for b, _ in some], "keys": [k for _, k in some]}).astype({"block": "int64"})
+        some = [(int(b), key[edges[i]:edges[i + 1]].tobytes()) for i, b in enumerate(pdf["block"]) if edges[i] < edges[i + 1]]
+        return pd.DataFrame({"block": np.array([b for b, _ in some], np.int64), "bucket": np.full(
+            len(some), pdf["bucket"].iloc[0], np.int32), "keys": [k for _, k in some]})
 
-    cell_rows = blocks.mapInArrow(cells, "bucket int, block long, keys binary, many binary")
-    return cell_rows.groupBy("bucket").applyInPandas(meet, "block long, keys binary")
+    cell_rows = blocks.select("block", "sizes", "payload").mapInArrow(
+        cells, "bucket int, block long, keys binary, many binary")
+    return cell_rows.groupBy("bucket").applyInPandas(meet, "block long, bucket int, keys binary")
 
 
-def _keys_in(rows: pd.DataFrame) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in rows["keys"])]))
-
-
-def _occurrences(block: pd.DataFrame, width: int, keys: np.ndarray):
-    """(ids, texts, [(text number, first window, end window, minimizer)]) of the runs under ``keys``."""
+def _occurrences(block: pd.DataFrame, width: int, buckets: int, wanted: np.ndarray):
+    """(ids, texts, [(text number, first window, end window, anchor)]) of the runs under ``wanted`` anchors."""
     ids = [int(i) for i in block["ids"].iloc[0]]
     raws = texts_in(block["sizes"].iloc[0], block["payload"].iloc[0])
     text, first, stop, key = runs_of(raws, width)
-    if len(keys) and len(key):
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        mine = np.nonzero(keys[at] == key)[0]
+    key, wanted = anchors(key, buckets), np.unique(wanted)
+    if len(wanted) and len(key):
+        at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+        mine = np.nonzero(wanted[at] == key)[0]
     else:
         mine = np.zeros(0, np.int64)
-    return ids, raws, zip(text[mine].tolist(), first[mine].tolist(), stop[mine].tolist(), _long(key[mine]).tolist())
+    return ids, raws, zip(text[mine].tolist(), first[mine].tolist(), stop[mine].tolist(), key[mine].tolist())
+
+
+def _name(piece: bytes) -> int:
+    """The string's own name under its anchor."""
+    return xxhash.xxh3_64_intdigest(piece) - 2**63
 
 
-def shared_strings(blocks: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """(``block``, ``anchor``, ``skey``, ``string``, ``least``, ``most``) of each block's distinct runs."""
+def shared_strings(blocks: DataFrame, shared: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(``block``, ``anchor``, ``skey``, ``least``, ``most``): each block's distinct runs, their first and last id."""
     def strings(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows: dict[tuple[int, bytes], list] = {}
+        rows: dict[tuple[int, int], list] = {}
         if len(left) and len(right):
-            ids, raws, found = _occurrences(left, width, _keys_in(right))
+            wanted = np.concatenate([np.frombuffer(k, np.uint32).astype(np.int64) | (int(b) << 32)
+                                     for b, k in zip(right["bucket"], right["keys"])])
+            ids, raws, found = _occurrences(left, width, buckets, wanted)
             for text, first, stop, anchor in found:
-                piece = raws[text][first:stop + width - 1]
+                name = anchor, _name(raws[text][first:stop + width - 1])
                 owner = ids[text]
-                seen = rows.get((anchor, piece))
+                seen = rows.get(name)
                 if seen is None:
-                    rows[anchor, piece] = [owner, owner]
+                    rows[name] = [owner, owner]
                 elif owner < seen[0]:
                     seen[0] = owner
                 elif owner > seen[1]:
                     seen[1] = owner
         no = int(left["block"].iloc[0]) if len(left) else -1
-        return pd.DataFrame({
-            "block": np.full(len(rows), no, np.int64), "anchor": np.array([a for a, _ in rows], np.int64),
-            "skey": [xxhash.xxh3_128_digest(p) for _, p in rows], "string": [p for _, p in rows],
-            "least": np.array([v[0] for v in rows.values()], np.int64),
-            "most": np.array([v[1] for v in rows.values()], np.int64)})
+        names = np.array(list(rows), np.int64).reshape(-1, 2)
+        owners = np.array(list(rows.values()), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"block": np.full(len(rows), no, np.int64), "anchor": names[:, 0], "skey": names[:, 1],
+                             "least": owners[:, 0], "most": owners[:, 1]})
 
     return blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(
-        strings, "block long, anchor long, skey binary, string binary, least long, most long")
-
+        strings, "block long, anchor long, skey long, least long, most long")
 
-_RUNS = "skey binary, froms array<int>, owners array<long>"
 
+def string_bytes(blocks: DataFrame, lenders: DataFrame, width: int, buckets: int) -> DataFrame:
+    """``lenders`` (block, anchor, skey, owner, n) with the bytes of each string, which its block knows."""
+    def fetch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(left) and len(right):
+            asked = {(a, s): (o, n) for a, s, o, n in zip(*(right[c].tolist() for c in ("anchor", "skey", "owner", "n")))}
+            _, raws, found = _occurrences(left, width, buckets, right["anchor"].to_numpy(np.int64))
+            for text, first, stop, anchor in found:
+                piece = raws[text][first:stop + width - 1]
+                name = anchor, _name(piece)
+                if name in asked:
+                    out.append((*name, *asked.pop(name), piece))
+        columns = list(zip(*out)) if out else [()] * 5
+        return pd.DataFrame({c: np.array(v, np.int64) if c != "string" else list(v) for c, v in zip(
+            ("anchor", "skey", "owner", "n", "string"), columns)})
 
-def _runs(skeys, least: list[np.ndarray]) -> pd.DataFrame:
-    """Per string: window numbers at which the smallest owner changes, and the owners."""
-    froms, owners = [], []
-    for values in least:
-        cut = np.nonzero(np.append(True, values[1:] != values[:-1]))[0]
-        froms.append(cut.astype(np.int32))
-        owners.append(values[cut])
-    return pd.DataFrame({"skey": list(skeys), "froms": froms, "owners": owners})
+    return blocks.groupBy("block").cogroup(lenders.groupBy("block")).applyInPandas(
+        fetch, "anchor long, skey long, owner long, n long, string binary")
 
 
 def window_owners(strings: DataFrame, width: int, bucket_bytes: int, hot: int) -> DataFrame:
-    """(``skey``, ``froms``, ``owners``): the smallest document of every window of each distinct string."""
-    sizes = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    crowd = strings.join(sizes, "anchor")
-    alone = crowd.where("n = 1").select("skey", F.array(F.lit(0)).alias("froms"), F.array("least").alias("owners"))
-    together = crowd.where(f"n between 2 and {hot}")
-    total = together.agg(F.sum(F.length("string"))).first()[0] or 0
+    """(``anchor``, ``skey``, ``froms``, ``owners``) of strings (anchor, skey, owner, n, string): the window
+    numbers at which the smallest document that has the window changes, and those documents.
+
+    ``n`` bounds the strings under an anchor; above ``hot`` their windows meet by hash instead.
+    """
+    crowd = strings.where(F.col("n") <= hot)
+    total = crowd.agg(F.sum(F.length("string"))).first()[0] or 0
     buckets = max(1, int(total // bucket_bytes) + 1)
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("skey")
-        least = smallest_owner(list(pdf["string"]), pdf["least"].to_numpy(np.int64), width)
-        return _runs(pdf["skey"], least)
+        pdf = pdf.sort_values(["anchor", "skey"])
+        least = smallest_owner(list(pdf["string"]), pdf["owner"].to_numpy(np.int64), width)
+        froms, owners = [], []
+        for values in least:
+            cut = np.nonzero(np.append(True, values[1:] != values[:-1]))[0]
+            froms.append(cut.astype(np.int32))
+            owners.append(values[cut])
+        return pd.DataFrame({"anchor": pdf["anchor"].to_numpy(), "skey": pdf["skey"].to_numpy(), "froms": froms,
+                             "owners": owners})
 
     def windows(batches):
         for batch in batches:
-            for skey, string, least in zip(*(batch.column(c).to_pylist() for c in ("skey", "string", "least"))):
+            for anchor, skey, string, owner in zip(*(batch.column(c).to_pylist() for c in ("anchor", "skey", "string", "owner"))):
                 n = len(string) - width + 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(string[i:i + width]) for i in range(n)], pa.binary()),
-                     pa.array([skey] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([least] * n, pa.int64())],
-                    names=["window", "skey", "no", "least"])
-
-    from costlake.llm.suffixes import smallest_owner
-
-    settled = (together.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-               .groupBy("bucket").applyInPandas(merged, _RUNS))
-    spread = crowd.where(f"n > {hot}").select("skey", "string", "least").mapInArrow(
-        windows, "window binary, skey binary, no int, least long")
-    lowest = spread.groupBy("window").agg(F.min("least").alias("owner"))
-    split = spread.join(lowest, "window").groupBy("skey").agg(
-        F.array_sort(F.collect_list(F.struct("no", "owner"))).alias("w")).select(
-        "skey", F.col("w.no").alias("froms"), F.col("w.owner").alias("owners"))
-    return alone.unionByName(settled).unionByName(split)
-
-
-def mark(blocks: DataFrame, known: DataFrame, width: int, finish: Callable, schema: str) -> DataFrame:
-    """``finish(id, raw, keep mask)`` of every document; ``known`` has (block, anchor, skey, froms, owners)."""
+                     pa.array([anchor] * n, pa.int64()), pa.array([skey] * n, pa.int64()), pa.array(range(n), pa.int32()),
+                     pa.array([owner] * n, pa.int64())], names=["window", "anchor", "skey", "no", "owner"])
+
+    settled = (crowd.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInPandas(
+        merged, "anchor long, skey long, froms array<int>, owners array<long>"))
+    spread = strings.where(F.col("n") > hot).select("anchor", "skey", "string", "owner").mapInArrow(
+        windows, "window binary, anchor long, skey long, no int, owner long")
+    lowest = spread.groupBy("window").agg(F.min("owner").alias("least"))
+    split = spread.join(lowest, "window").groupBy("anchor", "skey").agg(
+        F.array_sort(F.collect_list(F.struct("no", "least"))).alias("w")).select(
+        "anchor", "skey", F.col("w.no").alias("froms"), F.col("w.least").alias("owners"))
+    return settled.unionByName(split)
+
+
+def mark(blocks: DataFrame, known: DataFrame, width: int, buckets: int, finish: Callable, schema: str) -> DataFrame:
+    """``finish(id, raw, keep mask)`` of every document; ``known`` has (block, anchor, skey, owner, froms, owners), the
+    lists null where one owner has all windows."""
     fields = [tuple(f.strip().split(" ", 1)) for f in schema.split(",")]
     names = [n for n, _ in fields]
 
     def marked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({n: [] for n in names})
-        runs = {k: (f.tolist(), o.tolist()) for k, f, o in zip(right["skey"], right["froms"], right["owners"])}
-        keys = np.unique(right["anchor"].to_numpy(np.int64).view(np.uint64)) if len(right) else np.zeros(0, np.uint64)
-        ids, raws, found = _occurrences(left, width, keys)
+        runs = dict(zip(zip(right["anchor"].tolist(), right["skey"].tolist()),
+                        zip(right["owner"].tolist(), right["froms"], right["owners"])))
+        ids, raws, found = _occurrences(left, width, buckets, right["anchor"].to_numpy(np.int64))
         spans: dict[int, list[tuple[int, int]]] = {}
-        for text, first, stop, _ in found:
-            known_runs = runs.get(xxhash.xxh3_128_digest(raws[text][first:stop + width - 1]))
+        for text, first, stop, anchor in found:
+            known_runs = runs.get((anchor, _name(raws[text][first:stop + width - 1])))
             if known_runs is None:
                 continue
-            froms, owners = known_runs
+            single, froms, owners = known_runs
+            froms, owners = ((0,), (single,)) if froms is None else (froms, owners)
             for i, owner in enumerate(owners):
                 if owner < ids[text]:
                     upto = froms[i + 1] if i + 1 < len(froms) else stop - first
@@ -309,7 +330,7 @@ def without(raw: bytes, keep: np.ndarray) -> str:
 
 
 def remove_repeats(docs: DataFrame, finish: Callable, schema: str, width: int = 50, block_bytes: int = 4 << 20,
-                   bucket_bytes: int = 3 << 20, hot: int = 20_000, id_col: str = "doc_id",
+                   bucket_bytes: int = 1 << 20, hot: int = 20_000, id_col: str = "doc_id",
                    text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """One row per document: ``finish(id, text in bytes, mask of kept bytes)`` as ``schema`` says.
 
@@ -323,9 +344,22 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, width: int =
     size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(4, int(size // (16 << 20)) + 1)
     shared = shared_minimizers(blocks, width, buckets)
-    per_block = written(shared_strings(blocks, shared, width), "strings")
-    strings = per_block.groupBy("anchor", "skey").agg(F.first("string").alias("string"), F.min("least").alias("least"))
-    owners = written(window_owners(written(strings, "distinct"), width, bucket_bytes, hot), "owners")
-    known = per_block.select("block", "anchor", "skey", "most").join(owners, "skey").where(
-        F.array_min("owners") < F.col("most")).drop("most")
-    return mark(blocks, known, width, finish, schema)
+    found = shared_strings(blocks, shared, width, buckets)
+    under, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "skey")
+    named = written(found.select(
+        "block", "anchor", "skey", "most", F.min("least").over(same).alias("owner"),
+        F.min("block").over(same).alias("lender"), F.count(F.lit(1)).over(under).alias("n"),
+        (F.min("skey").over(under) == F.max("skey").over(under)).alias("alone")), "strings")
+    alone = named.where("alone and owner < most").select(
+        "block", "anchor", "skey", "owner", F.lit(None).cast("array<int>").alias("froms"),
+        F.lit(None).cast("array<long>").alias("owners"))
+    crowd = named.where("not alone")
+    lenders = crowd.where("block = lender").select("block", "anchor", "skey", "owner", "n")
+    owners = written(window_owners(
+        written(string_bytes(blocks, lenders, width, buckets), "bytes"), width, bucket_bytes, hot), "owners")
+    late = crowd.select("block", "anchor", "skey", "most").join(owners, ["anchor", "skey"]).where(
+        F.array_min("owners") < F.col("most"))
+    several = F.size("owners") > 1  # one owner of all windows needs no lists
+    late = late.select("block", "anchor", "skey", F.get("owners", F.lit(0)).alias("owner"),
+                       F.when(several, F.col("froms")).alias("froms"), F.when(several, F.col("owners")).alias("owners"))
+    return mark(blocks, alone.unionByName(late), width, buckets, finish, schema)

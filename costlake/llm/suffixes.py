@@ -1,8 +1,8 @@
 """Burrows-Wheeler transforms of many strings, and their merge by interleave refinement.
 
 A shard's transform lists, in the order of its suffixes, the character before each suffix.  Shards are
-merged without sorting suffixes again: an interleave says from which shard each row of the merged
-order comes, and one refinement, a stable distribution of the rows by their characters, makes an
+merged without sorting suffixes again: an interleave says which rows of which shards follow each other in the
+merged order, and one refinement, a stable distribution of the rows by their characters, makes an
 interleave that is right for k symbols right for k + 1.  Rows that agree in k symbols form a block; where a
 block splits at round k + 1 the common prefix of its parts is k long.  After ``depth`` rounds the blocks are
 the repeated intervals: the classes of equal ``depth``-byte strings.
@@ -18,58 +18,83 @@ END = 0xFF  # no byte of UTF-8
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(characters before the sorted suffixes, suffix starts in the joined text) of one shard.
 
-    Each string has an end mark of its own; end marks sort before all bytes and among themselves by string.
-    Sorting is by doubling the compared length until every rank is its own.
+    Each string has an end mark of its own; end marks sort after all bytes and among themselves by string.
+    Sorting is by eight bytes first, then by doubling the compared length until every rank is its own.
     """
     joined = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
     n = len(joined)
-    ends = joined == END
-    rank = joined.astype(np.int64) + len(strings)
-    rank[ends] = np.arange(len(strings))
-    order = np.argsort(rank, kind="stable")
-    width = 1
-    while True:
-        fresh = np.empty(n, np.int64)
-        sorted_ = rank[order]
-        fresh[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-        if fresh[order[-1]] == n - 1:
-            break
-        after = np.zeros(n, np.int64)
-        after[:-width] = fresh[width:] + 1 if width < n else after[:-width]
-        rank = fresh * (n + 2) + after
-        order = np.argsort(rank, kind="stable")
+    marks = np.nonzero(joined == END)[0]
+    to_mark = marks[np.searchsorted(marks, np.arange(n))] - np.arange(n)
+    key = np.zeros(n, np.uint64)
+    wide = np.concatenate([joined, np.zeros(8, np.uint8)])
+    for i in range(8):  # bytes after the end mark do not count
+        key = (key << np.uint64(8)) | np.where(i <= to_mark, wide[i:n + i], 0).astype(np.uint64)
+    order = np.argsort(key, kind="stable")  # equal ends stay in the order of their strings
+    sorted_, ended = key[order], to_mark[order] < 8
+    edge = np.concatenate([[0], (sorted_[1:] != sorted_[:-1]) | ended[1:]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(edge)
+    width = 8
+    while rank[order[-1]] < n - 1:
+        after = np.full(n, n, np.int64)
+        after[:-width] = rank[width:]
+        # only the groups of equal ranks are put in order again
+        ranks = rank[order]
+        twin = np.zeros(n, bool)
+        twin[1:] = ranks[1:] == ranks[:-1]
+        twin[:-1] |= twin[1:]
+        at = np.nonzero(twin)[0]
+        some = order[at]
+        pair = rank[some] * (n + 1) + after[some]
+        inner = np.argsort(pair, kind="stable")
+        order[at] = some[inner]
+        pair = pair[inner]
+        edge = np.ones(n, np.int64)
+        edge[0] = 0
+        edge[at[1:]] = (pair[1:] != pair[:-1]) | (np.diff(at) > 1)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(edge)
         width *= 2
-    before = np.roll(joined, 1)[order]
-    return before, order
+    return np.roll(joined, 1)[order], order
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row in the merged order, block) of every row of the shards, in shard order; blocks are numbered from 0.
+def repeated(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, block) of the rows, numbered over all shards in turn, whose first ``depth`` symbols come twice.
 
-    At most 256 shards.  Rows of one block have equal suffixes up to ``depth`` symbols.
+    The interleave holds the rows of intervals that are not settled.  An interval of one row is: whatever
+    stands before it stays alone.  A row of a shard leads to the row of the suffix one symbol longer by the
+    shard's own transform, so no suffix is compared with another.  A block that splits at round k has a
+    common prefix of k - 1 symbols in its parts.
     """
-    sizes = [len(b) for b, _ in shards]
     chars = np.concatenate([b for b, _ in shards])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    marks = np.array([int((b == END).sum()) for b, _ in shards])
-    first = np.repeat(np.arange(len(shards), dtype=np.uint8), marks)  # end-mark rows come first, by shard
-    block = np.zeros(len(source), np.int32)
-    placed = np.arange(len(source))
-    for _ in range(depth):
-        read = np.empty(len(chars), np.uint8)
-        read[placed] = chars
-        rows = np.nonzero(read != END)[0]
-        rows = rows[np.argsort(read[rows], kind="stable")]
-        fresh = np.concatenate([first, source[rows]])
-        edges = np.ones(len(source), bool)
-        edges[len(first) + 1:] = (read[rows][1:] != read[rows][:-1]) | (block[rows][1:] != block[rows][:-1])
-        blocks = np.cumsum(edges, dtype=np.int32) - 1
-        settled = np.array_equal(fresh, source) and np.array_equal(blocks, block)
-        source, block = fresh, blocks
-        placed = np.argsort(source, kind="stable")
-        if settled:
+    longer, base = [], 0
+    for before, _ in shards:
+        step = np.empty(len(before), np.int64)
+        step[np.argsort(before, kind="stable")] = np.arange(len(before))
+        longer.append(step + base)
+        base += len(before)
+    longer = np.concatenate(longer).astype(np.int32 if base < 2**31 else np.int64)
+    rows = np.arange(base, dtype=longer.dtype)
+    block = np.zeros(base, np.int32)
+    # two symbols a round, as the distribution of 16-bit keys costs as much as that of 8-bit ones
+    twice, pairs = longer[longer], chars.astype(np.uint16) << 8 | chars[longer]
+    whole = (chars != END) & (chars[longer] != END)
+    for k in [1] * (depth % 2) + [2] * (depth // 2):
+        read, step, inside = (pairs, twice, whole) if k == 2 else (chars, longer, chars != END)
+        open_ = np.nonzero(inside[rows])[0]
+        read = read[rows[open_]]
+        order = np.argsort(read, kind="stable")
+        read, order = read[order], open_[order]
+        block, rows = block[order], step[rows[order]]
+        if not len(rows):
             break
-    return placed, block[placed]
+        edge = np.ones(len(rows), bool)
+        edge[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
+        twin = ~edge
+        twin[:-1] |= ~edge[1:]
+        block = np.cumsum(edge, dtype=np.int32)[twin]
+        rows = rows[twin]
+    return rows, block
 
 
 def smallest_owner(strings: list[bytes], owners: np.ndarray, depth: int, shard_bytes: int = 1 << 16
@@ -84,18 +109,14 @@ def smallest_owner(strings: list[bytes], owners: np.ndarray, depth: int, shard_b
             shards.append(transform(strings[at:i + 1]))
             spans.append((at, i + 1))
             at, held = i + 1, 0
-    _, block = merge(shards, depth)
     lengths = np.array([len(s) for s in strings])
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     shift = np.repeat([begins[a] for a, _ in spans], [len(b) for b, _ in shards])
-    start = np.concatenate([o for _, o in shards]) + shift
-    owner_no = np.searchsorted(begins, start, side="right") - 1
-    whole = start + depth <= begins[owner_no] + lengths[owner_no]
-    start, owner_no, block = start[whole], owner_no[whole], block[whole]
-    order = np.argsort(block, kind="stable")
-    least = np.full(int(begins[-1]), np.iinfo(np.int64).max)
-    if len(order):
-        cuts = np.nonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))[0]
-        lowest = np.minimum.reduceat(owners[owner_no[order]], cuts)
-        least[start[order]] = np.repeat(lowest, np.diff(np.append(cuts, len(order))))
+    least = np.repeat(owners, lengths + 1).astype(np.int64)
+    rows, block = repeated(shards, depth)
+    if len(rows):
+        start = (np.concatenate([o for _, o in shards]) + shift)[rows]
+        cuts = np.nonzero(np.concatenate([[True], block[1:] != block[:-1]]))[0]
+        lowest = np.minimum.reduceat(least[start], cuts)
+        least[start] = np.repeat(lowest, np.diff(np.append(cuts, len(block))))
     return [least[b:b + max(n - depth + 1, 0)] for b, n in zip(begins[:-1].tolist(), lengths.tolist())]
