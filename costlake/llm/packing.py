@@ -46,8 +46,12 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def ids_of(ids: np.ndarray) -> list[int]:
-    return ids.tolist()
+def ids_of(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.int32)
+
+
+def _lists(values: pa.Array, lengths: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), values)
 
 
 def cut_documents(docs: DataFrame, path: str, window: int, value: Callable[[np.ndarray], object],
@@ -63,18 +67,26 @@ def cut_documents(docs: DataFrame, path: str, window: int, value: Callable[[np.n
     def run(batches):
         own = tokens.encoder(path, "leading", ranks)
         end = np.array([end_id], own.dtype)
-        arrow = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("length", pa.int64()),
-                                    ("value", pa.list_(pa.int32()) if value_type.startswith("array") else pa.int64())]))
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                counts, rows = [], []
+            for part in slices(batch, "text", 2 << 20):
+                counts, per_row, pieces, values = [], [], [], []
                 for raw in own.encode(part.column("text").to_pylist()):
                     ids = np.concatenate([np.frombuffer(raw, own.dtype), end])
+                    own_pieces = cuts(len(ids), window)
                     counts.append(len(ids))
-                    rows.append([{"kind": k, "start": s, "length": n, "value": value(ids[s:s + n])}
-                                 for k, s, n in cuts(len(ids), window)])
+                    per_row.append(len(own_pieces))
+                    pieces += own_pieces
+                    values += [value(ids[s:s + n]) for _, s, n in own_pieces]
+                kinds, starts, lengths = np.array(pieces, np.int64).T
+                if value_type.startswith("array"):
+                    held = _lists(pa.array(np.concatenate(values), pa.int32()), [len(v) for v in values])
+                else:
+                    held = pa.array(values, pa.int64())
+                rows = pa.StructArray.from_arrays(
+                    [pa.array(kinds, pa.int8()), pa.array(starts), pa.array(lengths), held],
+                    names=["kind", "start", "length", "value"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(rows, arrow)],
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), _lists(rows, per_row)],
                     names=["doc_id", "doc_tokens", "pieces"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))

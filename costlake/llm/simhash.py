@@ -113,7 +113,7 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 
 
 def meet(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int, near: Near, labels: np.ndarray,
-         most: int = 4_000_000) -> list[tuple[int, int]]:
+         most: int = 1_500_000) -> list[tuple[int, int]]:
     """Links, by ``labels``, among fingerprints that were sent to one prefix after ``spent`` flips of it.
 
     Variants are made a slice of the low-bit space at a time: the slice of a variant is given by its

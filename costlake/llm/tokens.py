@@ -30,7 +30,7 @@ class Encoder:
     stands by other white space is encoded together with its neighbours.
     """
 
-    def __init__(self, path: str, blanks: str, ranks: str | None = None, most: int = 700_000):
+    def __init__(self, path: str, blanks: str, ranks: str | None = None, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
