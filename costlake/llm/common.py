@@ -16,10 +16,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there and later reads are cheap."""
+    """``df`` as a table in the shared folder: its lineage ends there and later reads are cheap.
+
+    Shuffle files that only this write needed go when the driver's garbage is collected, so it is asked to.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
