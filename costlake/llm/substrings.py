@@ -60,7 +60,7 @@ def block_rows(docs: DataFrame, block_bytes: int, id_col: str, text_col: str, ta
         if ids:
             yield row()
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[tag_col or id_col].cast("long").alias("tag"),
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[tag_col or id_col].cast("string").alias("tag"),
                        text_of(docs, text_col).alias("text"))
     made = rows.mapInArrow(run, "ids array<long>, tags string, sizes array<long>, payload binary")
     return written(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
@@ -280,7 +280,7 @@ def window_owners(strings: DataFrame, width: int, bucket_bytes: int, hot: int) -
     return settled.unionByName(split)
 
 
-def mark(blocks: DataFrame, known: DataFrame, width: int, buckets: int, finish: Callable, schema: str) -> DataFrame:
+def mark(blocks: DataFrame, known: DataFrame, width: int, buckets: int, finish: Callable, schema: str, tagged: bool) -> DataFrame:
     """``finish(id, raw, keep mask)`` of every document; ``known`` has (block, anchor, skey, owner, froms, owners), the
     lists null where one owner has all windows."""
     fields = [tuple(f.strip().split(" ", 1)) for f in schema.split(",")]
@@ -310,7 +310,8 @@ def mark(blocks: DataFrame, known: DataFrame, width: int, buckets: int, finish:
                 edges[a] += 1
                 edges[b] -= 1
             keep = np.cumsum(edges[:-1]) == 0
-            rows.append(finish(int(tags[no]) if tags[no] else None, raw, keep))
+            name = tags[no] if tagged else int(tags[no]) if tags[no] else None
+            rows.append(finish(name, raw, keep))
         columns = zip(*rows) if rows else [()] * len(names)
         return pd.DataFrame({n: pd.array(list(c), "Int64") if kind == "long" else list(c)
                              for (n, kind), c in zip(fields, columns)})
@@ -334,7 +335,7 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, width: int =
                    text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """One row per document: ``finish(id, text in bytes, mask of kept bytes)`` as ``schema`` says.
 
-    With ``tag_col``, a long column that tells rows apart, ``finish`` gets its value instead of the id.
+    With ``tag_col``, a text column without line ends, ``finish`` gets its value instead of the id.
 
     A byte is removed if it lies in a ``width``-byte string that also starts in a document with a smaller id, as
     the input is.  Null texts are empty.  Rows of one id do not remove each other's bytes; a null id comes after
@@ -362,4 +363,4 @@ def remove_repeats(docs: DataFrame, finish: Callable, schema: str, width: int =
     several = F.size("owners") > 1  # one owner of all windows needs no lists
     late = late.select("block", "anchor", "skey", F.get("owners", F.lit(0)).alias("owner"),
                        F.when(several, F.col("froms")).alias("froms"), F.when(several, F.col("owners")).alias("owners"))
-    return mark(blocks, alone.unionByName(late), width, buckets, finish, schema)
+    return mark(blocks, alone.unionByName(late), width, buckets, finish, schema, tag_col is not None)
