@@ -8,6 +8,8 @@ transforms, a tokenizer), so there is no SQL twin; the tests hold stages against
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlake.llm import packing, quality, secrets, simhash, substrings
@@ -50,15 +52,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document of which nothing is left stays as an empty text: it is no junk, its text is in others.
     """
-    rows = written(_documents(docs).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    tag = F.to_json(F.struct("doc_id", "lang", "source", F.col("text").isNull().alias("none")))
 
-    def kept(row, raw, keep):
-        return row, substrings.without(raw, keep)
+    def kept(tag, raw, keep):
+        row = json.loads(tag)
+        text = None if row["none"] else substrings.without(raw, keep)
+        return row.get("doc_id"), text, row.get("lang"), row.get("source"), None if text is None else len(text)
 
-    left = substrings.remove_repeats(rows, kept, "row long, text string", tag_col="__row")
-    cut = left.withColumnRenamed("text", "__text")
-    joined = rows.join(cut, rows["__row"] == cut.row)
-    return _recounted(joined.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(F.col("__text"))))
+    return _documents(substrings.remove_repeats(
+        _documents(docs).withColumn("__tag", tag), kept,
+        "doc_id long, text string, lang string, source string, n_chars long", tag_col="__tag"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
