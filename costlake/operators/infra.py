@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from costlake.operators.joins import join_dimension
 from costlake.schemas import PLAN_DOCUMENT
 
 #: Monthly USD per resource type
@@ -119,7 +118,8 @@ def _prices(rates: DataFrame) -> DataFrame:
 
 
 def _with_prices(resources: DataFrame, rates: DataFrame) -> DataFrame:
-    return join_dimension(resources, _prices(rates), "type", "left")
+    # a price list has one row per resource type that providers sell: it stays short whatever is priced
+    return resources.join(F.broadcast(_prices(rates)), "type", "left")
 
 
 def resource_cost(resources: DataFrame, rates: DataFrame, values: str = "after") -> DataFrame:
