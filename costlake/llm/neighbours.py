@@ -103,8 +103,12 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, qu
     """(query id, id, score) of the ``k`` best verified vectors of each query; ``bounds``: known k-th squared
     distances; ``top``: the largest squared norm.  Equal scores keep the smaller ids."""
     leaves = kd_leaves(projected, _LEAF)
-    low = np.array([projected[r].min(axis=0) for r in leaves])
-    high = np.array([projected[r].max(axis=0) for r in leaves])
+    order = np.concatenate(leaves)  # a leaf's rows lie together
+    stops = np.cumsum([len(r) for r in leaves])
+    ids, vectors, projected = ids[order], vectors[order], projected[order]
+    low = np.minimum.reduceat(projected, stops - [len(r) for r in leaves], axis=0)
+    high = np.maximum.reduceat(projected, stops - [len(r) for r in leaves], axis=0)
+    spans = [(b - len(r), b) for r, b in zip(leaves, stops.tolist())]
     out = []
     for query_id, q, p, bound in zip(query_ids.tolist(), queries, projected_queries, bounds.tolist()):
         gap = np.maximum(np.maximum(low - p, p - high), 0)
@@ -116,15 +120,16 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, qu
         for leaf in np.argsort(near, kind="stable").tolist():
             if near[leaf] > factor * bound:
                 break
-            rows = leaves[leaf]
-            shift = projected[rows] - p
-            rows = rows[((shift * shift).sum(axis=1) <= factor * bound) & (ids[rows] != query_id)]
-            if not len(rows):
+            a, b = spans[leaf]
+            scores = vectors[a:b] @ q
+            good = np.nonzero(scores >= best[0] - slack)[0]
+            if not len(good):
                 continue
-            scores = vectors[rows] @ q
-            good = scores >= best[0] - slack
-            if good.any():
-                rows_kept.append(rows[good])
+            good = good[ids[a + good] != query_id]
+            shift = projected[a + good] - p
+            good = good[(shift * shift).sum(axis=1) <= factor * bound]
+            if len(good):
+                rows_kept.append(a + good)
                 scores_kept.append(scores[good])
                 best = np.sort(np.concatenate([best, scores[good]]))[-k:]
                 bound = min(bound, max(norm - 2 * best[0], 0.0) + slack)
