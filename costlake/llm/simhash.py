@@ -11,14 +11,16 @@ at most g - 1 links per prefix instead of g * g pairs.  Components follow by alt
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from costlake.llm.common import slices, text_of, written
 
@@ -90,6 +92,7 @@ def _reachable(prefix_bits: int, flips: int) -> list[tuple[int, int]]:
             for chosen in itertools.combinations(range(prefix_bits), n)]
 
 
+@functools.lru_cache(maxsize=256)
 def _masks(bits: int, flips: int) -> np.ndarray:
     return np.array([sum(1 << b for b in chosen) for n in range(flips + 1)
                      for chosen in itertools.combinations(range(bits), n)], np.uint64)
@@ -112,37 +115,46 @@ def _forest(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in list(parent) if top(x) != x]
 
 
+def _leaves(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int,
+            most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variants, row numbers of their owners) in parts of at most ``most``; equal variants share a part.
+
+    A part whose counted variants are too many is halved by its next bit: a row goes to the side of its own
+    bit, and for one more flip to the other.  With no bit left all variants of a part are the same one.
+    """
+    reach = [[sum(math.comb(bits, n) for n in range(flips + 1)) for flips in range(half + 1)]
+             for bits in range(low_bits + 1)]
+    parts = [(np.arange(len(prints), dtype=np.int32), np.asarray(spent, np.int8), low_bits)]
+    while parts:
+        rows, used, bits = parts.pop()
+        if len(rows) < 2:
+            continue
+        numbers = np.bincount(used, minlength=half + 1)
+        if bits and sum(int(n) * reach[bits][half - s] for s, n in enumerate(numbers)) > most:
+            own = (prints[rows] >> np.uint64(bits - 1)) & np.uint64(1) == 1
+            for other in (own, ~own):
+                cost = used + other.astype(np.int8)
+                stays = cost <= half
+                parts.append((rows[stays], cost[stays], bits - 1))
+            continue
+        low = np.uint64((1 << bits) - 1)
+        variants, owners = [], []
+        for s in np.nonzero(numbers)[0].tolist():
+            masks, chosen = _masks(bits, half - s), rows[used == s]
+            variants.append(((prints[chosen] & low)[:, None] ^ masks).ravel())
+            owners.append(np.repeat(chosen, len(masks)))
+        yield np.concatenate(variants), np.concatenate(owners)
+
+
 def meet(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int, near: Near, labels: np.ndarray,
          most: int = 1_500_000) -> list[tuple[int, int]]:
     """Links, by ``labels``, among fingerprints that were sent to one prefix after ``spent`` flips of it.
 
-    Variants are made a slice of the low-bit space at a time: the slice of a variant is given by its
-    value, so equal variants share one, and a slice holds about ``most`` variants.  Neighbours in the order
-    of the variants that have the same one are verified by ``near`` of their row numbers.
+    Neighbours in the order of the variants that have the same one are verified by ``near`` of their row
+    numbers: all pairs are connected if all owners of a variant are near each other.
     """
-    masks = [_masks(low_bits, half - s) for s in range(half + 1)]
-    low = np.uint64((1 << low_bits) - 1)
-    of = {s: np.nonzero(spent == s)[0] for s in range(half + 1)}
-    total = sum(len(rows) * len(masks[s]) for s, rows in of.items())
-    cut_bits = 0
-    while total >> cut_bits > most and cut_bits < min(16, low_bits):
-        cut_bits += 1
     links: list[tuple[int, int]] = []
-    top_shift = np.uint64(low_bits - cut_bits)
-    for slice_no in range(1 << cut_bits):
-        variants, owners = [], []
-        for s, rows in of.items():
-            mask_top = masks[s] >> top_shift
-            row_top = (prints[rows] & low) >> top_shift
-            for pattern in np.unique(mask_top):
-                chosen = rows[row_top == (pattern ^ np.uint64(slice_no))]
-                if len(chosen):
-                    some = masks[s][mask_top == pattern]
-                    variants.append(((prints[chosen] & low)[:, None] ^ some).ravel())
-                    owners.append(np.repeat(chosen.astype(np.int32), len(some)))
-        if not variants:
-            continue
-        variants, owners = np.concatenate(variants), np.concatenate(owners)
+    for variants, owners in _leaves(prints, spent, low_bits, half, most):
         order = np.argsort(variants)
         variants, owners = variants[order], owners[order]
         equal = variants[1:] == variants[:-1]
@@ -151,6 +163,8 @@ def meet(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int, near:
         if good.any():
             pairs = np.unique(np.stack([labels[left[good]], labels[right[good]]], axis=1), axis=0)
             links.extend(_forest(pairs[:, 0], pairs[:, 1]))
+            if len(links) > 500_000:
+                links = _forest(*np.array(links, labels.dtype).T)
     return _forest(*np.array(links, labels.dtype).T) if links else []
 
 
@@ -162,7 +176,46 @@ def prefix_bits_for(n: int, per_prefix: int = 1024) -> int:
     return bits
 
 
-def ball_links(prints: DataFrame, radius: int = 4, prefix_bits: int | None = None) -> DataFrame:
+def _hot(sent: DataFrame, keys: list[str], most_rows: int) -> tuple[Column | None, int]:
+    """(Whether a row lies in a group of more than ``most_rows`` rows, the rows of the largest such group).
+
+    Groups are named by a hash: one that shares it is taken for hot too, which only splits it.
+    """
+    found = sent.groupBy(F.xxhash64(*keys).alias("key")).count().where(F.col("count") > most_rows).collect()
+    if not found:
+        return None, 0
+    return F.xxhash64(*keys).isin([r["key"] for r in found]), max(r["count"] for r in found)
+
+
+def _split_by_bits(sent: DataFrame, low_bits: int, half: int, most_rows: int, step: int = 4) -> DataFrame:
+    """``sent`` with ``low``, the bits below the prefix; prefixes of too many rows are lengthened by ``step`` bits.
+
+    A fingerprint goes on to each longer prefix that its unspent flips reach.  Distinct fingerprints share a
+    single variant in bounded number, so a group does not grow with a cluster.
+    """
+    settled, level = [], sent.withColumn("low", F.lit(low_bits))
+    while low_bits:
+        hot, _ = _hot(level, ["prefix"], most_rows)
+        if hot is None:
+            break
+        settled.append(level.where(~hot))
+        step = min(step, low_bits)
+        low_bits -= step
+        more = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(n).alias("n"))
+                         for p, n in _reachable(step, min(half, step))])
+        bits = F.shiftrightunsigned("fingerprint", low_bits).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+        level = written(level.where(hot).select("fingerprint", "spent", "prefix", F.explode(more).alias("to"))
+                        .where(F.col("spent") + F.col("to.n") <= half)
+                        .select("fingerprint", (F.col("spent") + F.col("to.n")).alias("spent"),
+                                F.shiftleft("prefix", step).bitwiseOR(bits.bitwiseXOR(F.col("to.p"))).alias("prefix"),
+                                F.lit(low_bits).alias("low")), "longer")
+    for part in settled:
+        level = level.unionByName(part)
+    return level
+
+
+def ball_links(prints: DataFrame, radius: int = 4, prefix_bits: int | None = None,
+               most_rows: int = 400_000) -> DataFrame:
     """(``a``, ``b``) links between distinct fingerprints that connect exactly those within ``radius``.
 
     ``prints`` has a long column ``fingerprint``; nulls are ignored.  Links are a forest per
@@ -176,17 +229,18 @@ def ball_links(prints: DataFrame, radius: int = 4, prefix_bits: int | None = Non
                          for p, n in _reachable(bits, min(half, bits))])
     sent = distinct.select("fingerprint", F.explode(patterns).alias("to")).select(
         "fingerprint", F.col("to.spent").alias("spent"),
-        F.shiftrightunsigned("fingerprint", low_bits).bitwiseXOR(F.col("to.p")).cast("int").alias("prefix"),
+        F.shiftrightunsigned("fingerprint", low_bits).bitwiseXOR(F.col("to.p").cast("long")).alias("prefix"),
     )
+    sent = _split_by_bits(sent, low_bits, half, most_rows)
 
     def collide(pdf: pd.DataFrame) -> pd.DataFrame:
         prints = pdf["fingerprint"].to_numpy(np.int64).view(np.uint64)
-        found = meet(prints, pdf["spent"].to_numpy(), low_bits, half,
+        found = meet(prints, pdf["spent"].to_numpy(), int(pdf["low"].iloc[0]), half,
                      lambda i, j: np.bitwise_count(prints[i] ^ prints[j]) <= radius, prints)
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return sent.groupBy("prefix").applyInPandas(collide, "a long, b long").distinct()
+    return sent.groupBy("low", "prefix").applyInPandas(collide, "a long, b long").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -129,3 +129,29 @@ def test_similar_documents_take_similarity_not_equality(spark):
     assert all(group[i] == group[c] for i, c in found.items())
     close = [i for i in found if i % 4 < 3]  # similarities of 0.9 and 0.8 to the first
     assert sum(found[i] == 4 * (i // 4) for i in close) >= 0.95 * len(close)
+
+
+def test_a_dense_cluster_grows_no_slice_and_no_group(spark, monkeypatch):
+    import numpy as np
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    prints = {base}
+    while len(prints) < 1200:  # within 3 bits of one print: nearly all of their variants share the leading bits
+        x = base
+        for bit in rng.sample(range(40), rng.randrange(1, 4)):
+            x ^= 1 << bit
+        prints.add(x)
+    prints = np.array(sorted(prints), np.uint64)
+    near = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]) <= 4
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **k: (sizes.append(len(a)), sort(a, *x, **k))[1])
+    links = simhash.meet(prints, np.zeros(len(prints), int), 62, 2, near, prints, 20_000)
+    assert max(sizes) <= 20_000 and len({n for n, _ in links}) == len(prints) - 1
+    monkeypatch.undo()
+    signed = [(int(p),) for p in prints.view(np.int64)]
+    df = spark.createDataFrame(signed, "fingerprint long")
+    sent = df.selectExpr("fingerprint", "0 as spent", "shiftrightunsigned(fingerprint, 62) as prefix")
+    dealt = simhash._split_by_bits(sent, 62, 2, 700)
+    assert dealt.groupBy("low", "prefix").count().agg({"count": "max"}).first()[0] <= 700
+    one = simhash.components(simhash.ball_links(df, 4, 2, most_rows=700))
+    assert one.count() == len(prints) - 1 and one.select("root").distinct().count() == 1
