@@ -126,20 +126,16 @@ def encode_texts(docs: DataFrame, path: str, finish: Finish, finish_schema: str,
     marks = roles.groupBy("text_key").agg(F.collect_list("role").alias("roles"))
     keepers = texts.select("text_key", "keeper").join(marks, "text_key", "left").withColumnRenamed("text_key", "key")
     small = base.mapInArrow(compress, "id long, text_key binary, text binary")  # as it moves once, whole
-    chosen = small.join(keepers, (small.text_key == keepers.key) & small.id.eqNullSafe(keepers.keeper)).select(
-        "text_key", "text", "roles")
+    held = small.join(keepers, (small.text_key == keepers.key) & small.id.eqNullSafe(keepers.keeper))
+    chosen = held.groupBy("text_key").agg(F.first("text").alias("text"), F.first("roles").alias("roles"))  # repeated rows
 
     def encode(batches):
         own = tokens.encoder(path, "dropped")
         unpack = zstandard.ZstdDecompressor().decompress
-        done: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 keys, whole, split = [], [], []
                 for key, small, roles in zip(*(part.column(c).to_pylist() for c in ("text_key", "text", "roles"))):
-                    if key in done:
-                        continue
-                    done.add(key)
                     raw = unpack(small)
                     if roles:
                         split.append((key, raw, {r["no"]: r for r in roles}))

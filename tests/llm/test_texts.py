@@ -290,3 +290,18 @@ def test_digests_of_the_queries(spark):
     for r in QUERIES["op6_nnls_packing"](spark, sf).collect():
         ids = btok.encode(rows[r.doc_id] or "", add_special_tokens=False).ids + [0]
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes())
+
+
+def test_repeated_long_rows_in_several_splits_are_encoded_once(spark):
+    tok = Tokenizer.from_file(WORD)
+    finish, schema = bpe_reuse.real_output(WORD)
+    shared = " ".join(f"passage{i} of words" for i in range(300))
+    long = "first " + shared + " last"
+    rows = [(1, long), (None, long + " x")] + [(10 + i, f"filler {i}") for i in range(60)] + [
+        (1, long), (None, long + " x"), (99, "other " + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))  # repeats in other splits
+    got = bpe_reuse.encode_texts(docs, WORD, finish, schema, chunk_bits=7).collect()
+    assert len(got) == 2 * len(rows)
+    want = {tuple(tok.encode(t, add_special_tokens=False).ids) for _, t in rows}
+    assert {tuple(r.ids) for r in got} == want
