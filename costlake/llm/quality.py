@@ -53,8 +53,10 @@ def statistics(text: str) -> list[float]:
     top_gram = repeated = 0.0
     if len(words) > 2:
         base = len(codes)
-        grams = np.sort((coded[:-2] * base + coded[1:-1]) * base + coded[2:] if base < 2_000_000
-                        else coded[:-2] * 31 + coded[1:-1] * 17 + coded[2:])
+        pairs = coded[:-2] * base + coded[1:-1]
+        if base >= 2_000_000:  # numbered by rank, so that three words fit 64 bits too
+            pairs = np.unique(pairs, return_inverse=True)[1]
+        grams = np.sort(pairs * base + coded[2:])
         edges = np.nonzero(np.append(True, grams[1:] != grams[:-1]))[0]
         times = np.diff(np.append(edges, len(grams)))
         top_gram = times.max() / len(grams)

@@ -305,3 +305,9 @@ def test_repeated_long_rows_in_several_splits_are_encoded_once(spark):
     assert len(got) == 2 * len(rows)
     want = {tuple(tok.encode(t, add_special_tokens=False).ids) for _, t in rows}
     assert {tuple(r.ids) for r in got} == want
+
+
+def test_windows_of_a_vast_vocabulary_do_not_collide():
+    n = 2_000_100
+    table = dict(zip(quality.FEATURES, quality.statistics(" ".join(map(str, np.random.default_rng(1).permutation(n))))))
+    assert table["repeated_grams"] == 0 and table["top_gram"] == 1 / (n - 2)
