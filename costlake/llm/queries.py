@@ -7,7 +7,8 @@ from hashlib import sha256
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costlake.llm import attribution, bpe_reuse, langid, native_queries, neighbours, packing, quality, simhash, substrings
+from costlake.llm import (
+    alignment, attribution, bpe_reuse, langid, native_queries, neighbours, packing, quality, simhash, substrings)
 from costlake.llm.common import crc_mod, read_table
 
 QUERIES = {}
@@ -95,5 +96,13 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = alignment.align(
+        read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"), ranks=tokenizer_path("byte_bpe_50k.tiktoken"))
+    return documents
+
+
 QUERIES.update(native_queries.QUERIES)
 ORACLES.update(native_queries.ORACLES)
