@@ -109,9 +109,9 @@ _CRC32 = """xor(list_reduce(flatten(list_transform(string_split(CAST(conv_id AS
   lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, (c & 1) * 3988292384) END, 4294967295), 4294967295)"""
 
 ORACLES["op11_conversation_trie"] = f"""
-WITH t AS (SELECT conv_id, [coalesce(role, ''), coalesce(text, '')] AS turn, turn AS at FROM conversations
+WITH t AS (SELECT conv_id, [coalesce(role, ''), coalesce(text, '')] AS said, turn AS pos FROM conversations
            WHERE conv_id IS NOT NULL),
-own AS (SELECT conv_id, list(turn ORDER BY at NULLS FIRST) AS seq FROM t GROUP BY conv_id),
+own AS (SELECT conv_id, list(said ORDER BY pos NULLS FIRST) AS seq FROM t GROUP BY conv_id),
 h AS (SELECT *, CAST({_CRC32} % 4 AS BIGINT) AS h FROM own),
 r AS (SELECT h.conv_id, list_concat(coalesce(b.seq[:h.h], []), h.seq[h.h + 1:]) AS seq
       FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
