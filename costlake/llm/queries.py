@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlake.llm import (
-    alignment, attribution, bpe_reuse, conversation_trie, langid, native_queries, neighbours, packing, quality, simhash,
-    substrings)
+    alignment, attribution, bpe_reuse, conversation_trie, embedding_dedup, langid, native_queries, neighbours, packing,
+    quality, simhash, substrings)
 from costlake.llm.common import crc_mod, read_table
 
 QUERIES = {}
@@ -142,5 +142,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents
 
 
+@query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES.update(native_queries.QUERIES)
 ORACLES.update(native_queries.ORACLES)
