@@ -8,14 +8,18 @@ transforms, a tokenizer), so there is no SQL twin; the tests hold stages against
 
 from __future__ import annotations
 
+import functools
 import json
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costlake.llm import packing, quality, secrets, simhash, substrings
-from costlake.llm.common import crc_mod, read_table, written
+from costlake.llm.common import crc_mod, discard, read_table, release, tables, written
 from costlake.llm.queries import tokenizer_path
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -23,30 +27,58 @@ def _documents(rows: DataFrame) -> DataFrame:
     return rows.select(*COLUMNS)
 
 
+_LEFT: list[str] = []  # scratch tables of the stage before
+
+
+def _stage(build: Stage) -> Stage:
+    """A stage reads its predecessor's stored result, so the scratch tables that the predecessor built go."""
+
+    @functools.wraps(build)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT, docs)
+        before = set(tables())
+        result = build(spark, docs, sf_dir)
+        _LEFT[:] = [path for path in tables() if path not in before]
+        return result
+
+    return run
+
+
 def _recounted(rows: DataFrame) -> DataFrame:
     """The columns of documents, with the number of characters of the text as it is now."""
     return _documents(rows.withColumn("n_chars", F.length("text").cast("long")))
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.3) go."""
     labels = read_table(spark, sf_dir, "labels")
     return quality.keep_good(_documents(docs), labels, crc_mod(docs.doc_id, 5) == 0, threshold=0.3)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__place``, a row's file and its number there; rows that come from no file are stored first."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.select(*COLUMNS, place.alias("__place"))
+    except AnalysisException:
+        return written(_documents(docs), "rows").select(*COLUMNS, place.alias("__place"))
+
+
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id, null ids last.
 
-    Rows are told apart by a number of their own, so repeated rows and null ids are grouped like any others.
+    Fingerprints of four-word shingles link at four bits or fewer.  Rows are told apart by their place in the stored input, so
+    repeated rows and null ids are grouped like any others.
     """
-    rows = written(_documents(docs).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = simhash.similar_documents(rows, id_col="__row")
-    keys = rows.select("__row", "doc_id").join(groups, "__row")
-    first = keys.groupBy("component_id").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("first"))
-    return _documents(rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi"))
+    rows = _placed(docs)
+    groups = simhash.near_groups(rows, radius=4, words_per_shingle=4, carry=("__place",))
+    gone = groups.where(~F.col("is_first")).select("__place")
+    return _documents(rows.join(gone, "__place", "left_anti"))
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that an earlier document has go; a character of which a byte goes, goes whole.
 
@@ -64,12 +96,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         "doc_id long, text string, lang string, source string, n_chars long", tag_col="__tag"))
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; a null text stays null."""
     found = secrets.scan(_documents(docs))
     return _recounted(found.withColumn("text", secrets.masked(F.col("text"), F.col("spans"))))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, in windows of 1,024: one row per piece, with its ids and its place."""
     cut = packing.cut_documents(docs, tokenizer_path("byte_bpe_50k.json"), 1024, packing.ids_of, "array<int>",
@@ -91,5 +125,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs

@@ -15,18 +15,55 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there and later reads are cheap.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TABLES: list[str] = []  # scratch tables of this driver, oldest first
+
 
-    Shuffle files that only this write needed go when the driver's garbage is collected, so it is asked to.
-    """
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends there, later reads are cheap, and the shuffle files of
+    the write go with it."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _TABLES.remove(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that its operator needs no longer."""
+    files = table.inputFiles()
+    for path in [p for p in _TABLES if any(_of(p) in f for f in files)]:
+        _delete(table.sparkSession, path)
+
+
+def tables() -> list[str]:
+    """The scratch tables of this driver that are still there."""
+    return list(_TABLES)
+
+
+def release(spark: SparkSession, paths: list[str], kept: DataFrame) -> None:
+    """Delete those of the scratch tables ``paths`` that ``kept`` does not read."""
+    files = kept.inputFiles()
+    for path in [p for p in paths if p in _TABLES and not any(_of(p) in f for f in files)]:
+        _delete(spark, path)
+
+
+def _of(path: str) -> str:
+    """The part of a scratch path that no other has."""
+    return "/" + path.rsplit("/", 1)[1] + "/"
+
+
 def text_of(df: DataFrame, text_col: str = "text") -> Column:
     """A document's text; null counts as empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))

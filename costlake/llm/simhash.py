@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from costlake.llm.common import slices, text_of, written
+from costlake.llm.common import discard, slices, text_of, written
 
 _BITS = 64
 #: Whether the fingerprints at two lists of row numbers are near.
@@ -58,20 +58,10 @@ def fingerprint_of(text: str, words_per_shingle: int = 4, seed: int = 42) -> int
     return majority(shingle_hashes(text, words_per_shingle, seed))
 
 
-def long_fingerprint(hashes: np.ndarray, longs: int) -> list[int]:
-    """``longs`` fingerprints of 64 bits, each of the shingles' hashes mixed in another way."""
-    found = []
-    for i in range(longs):
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        found.append(majority(mixed ^ (mixed >> np.uint64(32))))
-    return found
-
-
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(id, ``fingerprint`` long, the 64 bits as a signed number) of every row; a null text is empty."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                 carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``fingerprint`` long, the 64 bits as a signed number) of every row, with the columns of ``carry``; a null
+    text is empty.  Texts are hashed whole, a few MB of them at a time."""
 
     def run(batches):
         for batch in batches:
@@ -79,10 +69,12 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, id_col: str = "doc
                 prints = [fingerprint_of(t, words_per_shingle) for t in part.column("text").to_pylist()]
                 signed = np.array(prints, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(signed)], names=["id", "fingerprint"])
+                    [*part.columns[1:], pa.array(signed)], names=[*part.schema.names[1:], "fingerprint"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, fingerprint long").withColumnRenamed("id", id_col)
+    rows = docs.select(text_of(docs, text_col).alias("text"), docs[id_col].cast("long").alias(id_col),
+                       *[docs[c] for c in carry])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, schema + ", fingerprint long")
 
 
 def _reachable(prefix_bits: int, flips: int) -> list[tuple[int, int]]:
@@ -261,6 +253,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = tied.select("v", "m").where("v <> m").toDF("u", "v").unionByName(
             least.select("u", F.col("m").alias("v"))).distinct()
         fresh = written(small, "links")
+        discard(edges)
         # a star of stars: every node has one neighbour below it, and that is no one's upper node
         again = fresh.groupBy("u").count().where("count > 1").limit(1)
         chained = fresh.select(F.col("v").alias("u")).distinct().join(fresh.select("u"), "u", "left_semi").limit(1)
@@ -270,225 +263,29 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``fingerprint`` (long) and ``component_id``.
+def near_groups(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id",
+                text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, the columns of ``carry``, ``fingerprint`` (long), ``component_id`` and ``is_first``.
 
     A text without words has fingerprint zero and links like any other.  Equal fingerprints are one
-    node; a component's id is the smallest non-null id in it.  Rows that repeat stay repeated; a row
-    with a null id has a fingerprint and the component of its fingerprint.  An empty table gives none.
+    node; a component's id is the smallest non-null id in it.  ``is_first`` marks its rows with that id (with the least
+    carried values, too, so exactly one row if these tell rows apart); a component of null ids alone has a
+    first row all the same.  Rows that repeat stay repeated; a row with a null id has a fingerprint and the
+    component of its fingerprint.  An empty table gives none.
     """
-    prints = written(fingerprints(docs, words_per_shingle, id_col, text_col), "fingerprints")
-    least = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
+    prints = written(fingerprints(docs, words_per_shingle, id_col, text_col, carry), "fingerprints")
+    order = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), *carry)
+    least = prints.groupBy("fingerprint").agg(F.min(order).alias("least"))
     roots = components(ball_links(prints, radius))
     placed = least.join(roots, least.fingerprint == roots.node, "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(named, "root").select("fingerprint", "component_id")
-    return prints.join(of, "fingerprint").select(id_col, "fingerprint", "component_id")
-
-
-def _joined(classes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(classes after joining those of each pair, which of the pairs joined two)."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    used = np.zeros(len(left), bool)
-    for k, (a, b) in enumerate(zip(classes[left].tolist(), classes[right].tolist())):
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)], used[k] = min(a, b), True
-    to = np.arange(classes.max() + 1)
-    for x in list(parent):
-        to[x] = top(x)
-    return to[classes], used
+    named = placed.groupBy("root").agg(F.min("least").alias("first"))
+    of = placed.join(named, "root").select("fingerprint", "first")
+    return prints.join(of, "fingerprint").select(
+        id_col, *carry, "fingerprint", F.col("first.id").alias("component_id"), (order == F.col("first")).alias("is_first"))
 
 
-def propose(prints: np.ndarray, spent: np.ndarray, low_bits: int, half: int, classes: np.ndarray,
-            surely: Near | None, maybe: Near, most: int = 1_500_000) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs of row numbers, which of them are tree pairs) among fingerprints sent to one prefix.
-
-    Neighbours on a variant that are ``surely`` near give tree pairs, one for each two classes that they join.
-    Then every pair of owners of a variant that is of two classes and ``maybe`` near is proposed.
-    So a pair is left out only if tree pairs or the given classes connect it.
-    """
-    n = len(prints)
-    trees, others, held = [], [np.zeros(0, np.int64)], 0
-    classes = np.unique(classes, return_inverse=True)[1]
-    for variants, owners in _leaves(prints, spent, low_bits, half, most):
-        order = np.argsort(variants)
-        variants, owners = variants[order], owners[order]
-        equal = variants[1:] == variants[:-1]
-        if surely is not None:
-            left, right = owners[1:][equal], owners[:-1][equal]
-            good = classes[left] != classes[right]
-            left, right = left[good], right[good]
-            good = surely(left, right)
-            if good.any():
-                left, right = left[good], right[good]
-                classes, used = _joined(classes, left, right)
-                trees.append(left[used].astype(np.int64) * n + right[used])
-        starts = np.nonzero(np.append(True, ~equal))[0]
-        run = np.cumsum(np.append(True, ~equal)) - 1
-        mixed = np.add.reduceat(classes[owners] != classes[owners[starts]][run], starts)[run] > 0
-        run, owners = run[mixed], owners[mixed]
-        if not len(run):
-            continue
-        order = np.lexsort((classes[owners], run))
-        run, owners = run[order], owners[order]
-        mine = classes[owners]
-        ends = np.searchsorted(run, run, "right")
-        edge = np.append(np.nonzero((run[1:] != run[:-1]) | (mine[1:] != mine[:-1]))[0] + 1, len(run))
-        at, other = np.arange(len(run)), edge[np.searchsorted(edge, np.arange(len(run)), "right")]
-        while True:  # each row against the rows of later classes in its run
-            inside = other < ends[at]
-            at, other = at[inside], other[inside]
-            if not len(at):
-                break
-            left, right = owners[at], owners[other]
-            good = maybe(left, right)
-            if good.any():
-                left, right = left[good], right[good]
-                others.append(np.unique(np.maximum(left, right).astype(np.int64) * n + np.minimum(left, right)))
-                held += len(others[-1])
-                if held > 4_000_000:
-                    others = [np.unique(np.concatenate(others))]
-                    held = 0
-            other = other + 1
-    tree = np.concatenate(trees) if trees else np.zeros(0, np.int64)
-    codes = np.append(tree, np.unique(np.concatenate(others)))
-    return np.stack([codes // n, codes % n], axis=1), np.arange(len(codes)) < len(tree)
-
-
-def _dealt_in_blocks(sent: DataFrame, keys: list[str], most_rows: int) -> DataFrame:
-    """``sent`` with ``block``: a group of too many rows becomes groups of every two of its blocks.
-
-    Any two of its rows still meet, but none of the groups has more than about ``most_rows`` rows.
-    """
-    hot, largest = _hot(sent, keys, most_rows)
-    if hot is None:
-        return sent.withColumn("block", F.lit(-1))
-    n = 2 * -(-largest // most_rows)
-    mine = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
-    return sent.where(~hot).withColumn("block", F.lit(-1)).unionByName(
-        sent.where(hot).withColumn("mine", mine).withColumn("other", F.explode(F.array(*map(F.lit, range(n)))))
-        .withColumn("block", F.least("mine", "other") * n + F.greatest("mine", "other")).drop("mine", "other"))
-
-
-def shingle_set(text: str, words_per_shingle: int) -> np.ndarray:
-    """The distinct shingles' XXH64 values in order."""
-    return np.unique(shingle_hashes(text, words_per_shingle))
-
-
-def similar_documents(docs: DataFrame, words_per_shingle: int = 5, tables: int = 10, bits: int = 32, longs: int = 5,
-                      surely: float = 0.14, maybe: float = 0.22, per_prefix: int = 65_536,
-                      most_rows: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``component_id``) with links between texts whose sets of shingles have a Jaccard of 0.8 or more.
-
-    Texts that share 0.8 of their shingles differ in about 15 % of the bits of a fingerprint, too many for one
-    ball of radius 4 around 64 bits.  So ``tables`` short fingerprints of ``bits`` bits, each of the distinct
-    shingles, are ball-hashed each on its own.  What collides in any and differs in at most ``maybe`` of the
-    ``64 * longs`` bits is a candidate (of pairs at 0.8, 0.998 are, by the binomial law); each candidate is
-    decided by the shingle sets themselves.  Pairs that tree pairs of at most ``surely`` of the bits connect are
-    left out at first; where a tree pair is then refused, its whole tree is searched again for every pair.
-    Texts without words are one group.  Null ids must be replaced before; repeated rows stay repeated; an
-    empty table gives none.
-    """
-    names = [f"f{i}" for i in range(longs)]
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                keys, sizes, rows = [], [], []
-                for text in part.column("text").to_pylist():
-                    found = shingle_set(text, words_per_shingle)
-                    keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    sizes.append(len(found))
-                    rows.append(long_fingerprint(found, longs))
-                signed = np.array(rows, np.uint64).reshape(-1, longs).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()),
-                     *(pa.array(signed[:, i]) for i in range(longs))], names=["id", "set_key", "size", *names])
-
-    def sets(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                found = [shingle_set(t, words_per_shingle).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text_of(docs, text_col).alias("text"))
-    prints = written(rows.mapInArrow(
-        run, "id long, set_key binary, size int, " + ", ".join(f"{n} long" for n in names)), "prints")
-    distinct = written(prints.groupBy("set_key").agg(
-        F.min("id").alias("node"), *[F.first(n).alias(n) for n in ("size", *names)]), "nodes")
-    prefix_bits = prefix_bits_for(distinct.count(), per_prefix)
-    half, low_bits = 2, bits - prefix_bits
-    patterns = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.lit(n).cast("int").alias("spent"))
-                         for p, n in _reachable(prefix_bits, half)])
-    per_long = _BITS // bits
-    shorts = F.array(*[
-        F.shiftrightunsigned(names[(t // per_long) % longs], bits * (t % per_long)).bitwiseAND(F.lit((1 << bits) - 1))
-        for t in range(tables)])
-
-    def candidates(nodes: DataFrame, trees: bool) -> DataFrame:
-        """(``a``, ``b``, ``tree``) of the nodes, which have a ``class`` of what is known to be connected."""
-        columns = ["node", "class", "size", *names]
-        sent = nodes.select(*columns, F.posexplode(shorts).alias("table", "short")).select(
-            *columns, "table", "short", F.explode(patterns).alias("to")).select(
-            *columns, "table", "short", F.col("to.spent").alias("spent"),
-            F.shiftrightunsigned("short", low_bits).bitwiseXOR(F.col("to.p")).alias("prefix"))
-
-        def collide(pdf: pd.DataFrame) -> pd.DataFrame:
-            whole = pdf[names].to_numpy(np.int64).view(np.uint64)
-            size, node = pdf["size"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
-
-            def within(share: float) -> Near:
-                def near(i, j):
-                    a, b = size[i], size[j]
-                    good = 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
-                    i, j = i[good], j[good]
-                    good[good] = np.bitwise_count(whole[i] ^ whole[j]).sum(axis=1) <= int(share * _BITS * longs)
-                    return good
-                return near
-
-            pairs, tree = propose(
-                pdf["short"].to_numpy(np.int64).view(np.uint64), pdf["spent"].to_numpy(), low_bits, half,
-                pdf["class"].to_numpy(np.int64), within(surely) if trees else None, within(maybe))
-            return pd.DataFrame({"a": node[pairs].min(axis=1), "b": node[pairs].max(axis=1), "tree": tree})
-
-        found = _dealt_in_blocks(sent, ["table", "prefix"], most_rows).groupBy("table", "prefix", "block").applyInPandas(
-            collide, "a long, b long, tree boolean")
-        return written(found.groupBy("a", "b").agg(F.max("tree").alias("tree")), "candidates")
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        """``pairs`` with ``same``: whether their sets have a Jaccard of 0.8 or more, in whole numbers."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        of = written(rows.join(needed, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>")
-                     .dropDuplicates(["id"]), "sets")
-        both = pairs.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        return written(both.select("a", "b", "tree", (
-            9 * common >= 4 * (F.size("of_a") + F.size("of_b"))).alias("same")), "decided")
-
-    tested = decided(candidates(distinct.withColumn("class", F.col("node")), True))
-    links = tested.where("same").select("a", "b")
-    roots = components(links)
-    refused = tested.where("tree and not same")
-    if not refused.isEmpty():
-        trees = components(tested.where("tree or same").select("a", "b"))
-        trees = written(trees.unionByName(trees.select(F.col("root").alias("node"), "root")).distinct(), "trees")
-        torn = trees.join(refused.select(F.col("a").alias("node")), "node", "left_semi").select("root").distinct()
-        again = trees.join(torn, "root", "left_semi").select("node").join(distinct, "node")
-        again = again.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
-        fresh = candidates(again, False).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(decided(fresh).where("same").select("a", "b"))
-        roots = components(links)
-    of = written(distinct.join(roots, "node", "left").select(
-        "set_key", F.coalesce("root", "node").alias("component_id")), "components")
-    return prints.join(of, "set_key").select(F.col("id").alias(id_col), "component_id")
+def near_duplicates(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(id, ``fingerprint`` long, ``component_id``) of every row of ``near_groups``."""
+    return near_groups(docs, radius, words_per_shingle, id_col, text_col).select(id_col, "fingerprint", "component_id")

@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     rows[8][1] += " password=abcdef123456 "
     rows.append([500, rows[0][1], "en", "s", 1])  # exact copy
     near = rows[1][1].split(" ")
-    near[50] = "changed"
+    near[-1] = "changed"  # one shingle of about 150
     rows.append([501, " ".join(near), "en", "s", 1])
     rows.append([None, rows[3][1], "en", "s", 1])
     rows += [[502, None, None, None, None], [503, "", "", "", 0]]
@@ -51,6 +51,32 @@ def test_stages(spark, tmp_path):
     assert packed == len(safe)
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, tmp_path):
+    rows = [(5, "some words here", "en", "s", 1), (5, "some words here", "en", "s", 1), (None, "some words here", None, None, None),
+            (None, "alone", None, "s", 1), (None, "alone", None, "s", 1), (2, None, "x", None, 0), (1, "", "x", None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = [(1, ""), (5, "some words here"), (None, "alone")]
+    for given in (docs, docs.selectExpr("*", "1 as fingerprint", "2 as component_id", "3 as file")):
+        got = corpus_pipeline.near_dedup(spark, given, "")
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+        assert got.columns == corpus_pipeline.COLUMNS
+    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.near_dedup(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_stages_remove_what_the_stage_before_left(spark, tmp_path):
+    from costlake.llm import common
+
+    own = common.written(spark.range(5), "own")
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, "a b", "en", "s", 3)], SCHEMA)
+    corpus_pipeline.near_dedup(spark, docs, "").write.parquet(str(tmp_path / "near"))
+    left = list(corpus_pipeline._LEFT)
+    assert left and set(left) <= set(common.tables())
+    found = corpus_pipeline.secret_scan(spark, spark.read.parquet(str(tmp_path / "near")), "")
+    assert found.count() == 1 and own.count() == 5 and not set(left) & set(common.tables())
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

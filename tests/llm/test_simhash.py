@@ -113,24 +113,6 @@ def test_slices_of_variants_find_the_same():
     assert {n for n, _ in nodes[0]} == {n for n, _ in nodes[1]} and {r for _, r in nodes[0]} == {r for _, r in nodes[1]}
 
 
-def test_similar_documents_take_similarity_not_equality(spark):
-    rng = random.Random(8)
-    rows, group = [], {}
-    for g in range(60):
-        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
-        for c in range(4):
-            words = list(base)
-            for _ in range(4 * c):  # four changed words of 400 take 20 of 396 shingles
-                words[rng.randrange(400)] = f"v{rng.randrange(10**6)}"
-            group[len(rows)] = g
-            rows.append((len(rows), " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = dict(simhash.similar_documents(docs).collect())
-    assert all(group[i] == group[c] for i, c in found.items())
-    close = [i for i in found if i % 4 < 3]  # similarities of 0.9 and 0.8 to the first
-    assert sum(found[i] == 4 * (i // 4) for i in close) >= 0.95 * len(close)
-
-
 def test_a_dense_cluster_grows_no_slice_and_no_group(spark, monkeypatch):
     import numpy as np
     rng = random.Random(11)
@@ -157,50 +139,15 @@ def test_a_dense_cluster_grows_no_slice_and_no_group(spark, monkeypatch):
     assert one.count() == len(prints) - 1 and one.select("root").distinct().count() == 1
 
 
-def _pair_at(rng, lower, upper, n=300):
-    """Two texts of n words whose five-word shingles have a Jaccard in [lower, upper), and that Jaccard."""
-    words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
-    other = list(words)
-    sets = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
-    for at in rng.sample(range(n), n):
-        other[at] = f"v{rng.randrange(10**6)}"
-        a, b = sets(words), sets(other)
-        jaccard = len(a & b) / len(a | b)
-        if jaccard < upper:
-            return (" ".join(words), " ".join(other), jaccard) if jaccard >= lower else _pair_at(rng, lower, upper, n)
-
-
-def test_pairs_below_the_threshold_stay_and_those_above_link(spark):
-    rng = random.Random(21)
-    planted = [_pair_at(rng, 0.70, 0.795) for _ in range(60)] + [_pair_at(rng, 0.80, 0.85) for _ in range(60)]
-    rows = [(2 * i + k, pair[k]) for i, pair in enumerate(planted) for k in (0, 1)]
-    found = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    linked = [found[2 * i] == found[2 * i + 1] for i in range(len(planted))]
-    assert not any(linked[:60])
-    assert sum(linked[60:]) >= 59
-
-
-def test_repeated_shingles_count_once(spark):
-    rng = random.Random(22)
-    words = " ".join(f"w{i}" for i in range(200))
-    rows = [(1, words), (2, words + " again" * 3000), (3, "again " * 3000 + " ".join(f"x{i}" for i in range(200)))]
-    found = dict(simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert found[1] == found[2] and found[3] == 3
-
-
-def test_strangers_between_two_partners_do_not_part_them():
-    import numpy as np
-    rng = np.random.default_rng(5)
-    shorts = rng.integers(0, 4, 300).astype(np.uint64) * np.uint64(0b10101) + np.uint64(1 << 20)
-    kinds = rng.integers(0, 90, 300)  # rows of one kind are near, and many strangers own the same variants
-    near = lambda i, j: kinds[i] == kinds[j]
-    wanted = {(max(i, j), min(i, j)) for i in range(300) for j in range(i)
-              if kinds[i] == kinds[j] and int(shorts[i] ^ shorts[j]).bit_count() <= 4}
-    spent, classes = np.zeros(300, int), np.arange(300)
-    for most in (10**7, 5000):
-        pairs, tree = simhash.propose(shorts, spent, 30, 2, classes, None, near, most)
-        assert not tree.any() and set(map(tuple, pairs.tolist())) >= wanted
-        assert all(kinds[i] == kinds[j] for i, j in pairs.tolist())
-        pairs, tree = simhash.propose(shorts, spent, 30, 2, classes, near, near, most)
-        root = dict(simhash._forest(*pairs[tree].T))
-        assert all(root.get(i, i) == root.get(j, j) for i, j in wanted - set(map(tuple, pairs[~tree].tolist())))
+def test_first_rows_of_groups(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+    near = [*words[:-1], "changed"]
+    rows = [(3, " ".join(words), "b"), (3, " ".join(words), "a"), (7, " ".join(near), "c"), (None, "alone", "e"), (None, "alone", "d"),
+            (None, "other words", "f"), (9, None, "g"), (8, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    got = {r.place: (r.component_id, r.is_first) for r in simhash.near_groups(docs, carry=("place",)).collect()}
+    same = brute_print(rows[0][1]) ^ brute_print(rows[2][1])
+    assert same.bit_count() <= 4
+    assert got == {"a": (3, True), "b": (3, False), "c": (3, False), "d": (None, True), "e": (None, False), "f": (None, True),
+                   "g": (8, False), "h": (8, True)}

@@ -311,3 +311,32 @@ def test_windows_of_a_vast_vocabulary_do_not_collide():
     n = 2_000_100
     table = dict(zip(quality.FEATURES, quality.statistics(" ".join(map(str, np.random.default_rng(1).permutation(n))))))
     assert table["repeated_grams"] == 0 and table["top_gram"] == 1 / (n - 2)
+
+
+@pytest.mark.parametrize("shape", ["path", "dashed", "base64", "tokens", "mixed"])
+def test_secrets_in_texts_of_a_megabyte(spark, shape):
+    rng = random.Random(5)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    text = {
+        "path": "ab1/" * 250_000, "dashed": "ab-" * 330_000 + "1x1",
+        "base64": "".join(rng.choice(alnum) for _ in range(300_000)),
+        "tokens": "token=abc123 é " * 60_000,
+        "mixed": "".join(rng.choice(["q" * 30, "".join(rng.choice(alnum) for _ in range(40)), "secret: abcdef "]) + " "
+                         for _ in range(6_000)),
+    }[shape]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.scan(df).select("base_spans", "spans", secrets.masked(F.col("text"), F.col("spans")).alias("m")).first()
+    base, every = brute_secrets(text)
+    assert [tuple(s) for s in row.base_spans] == base and [tuple(s) for s in row.spans] == every
+    assert len(row.m) < len(text) + 1 if every else row.m == text
+    assert row.m.count("[SECRET]") <= len(every) and "token=abc123" not in row.m
+
+
+def test_allowed_shapes_equal_their_patterns(spark):
+    rng = random.Random(6)
+    parts = ["/", "//", "-", "_", "a", "ab", "abc", "x1", "12", "12345", "abcdefghijklmn", "abcdefghijklmno", "a1b2c3d4e5f6g7h",
+             "a1b2c3d4e5f6g7h8", "=", "+", "example", "XXXXXX"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(6000)]
+    whole = re.compile("|".join(f"(?:{p})" for p in secrets.ALLOWED))
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", secrets.allowed(F.col("v")).alias("ok")).collect()
+    assert all(r.ok == bool(whole.fullmatch(r.v)) for r in got)
