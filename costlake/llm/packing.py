@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from costlake.llm import tokens
 from costlake.llm.common import slices, text_of, written
@@ -57,28 +57,32 @@ def _lists(values: pa.Array, lengths: list[int]) -> pa.ListArray:
 def cut_documents(docs: DataFrame, path: str, window: int, value: Callable[[np.ndarray], object],
                   value_type: str, end_id: int = 0, ranks: str | None = None, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """(``doc_id``, ``doc_tokens``, ``pieces``): the ids of each whole text and ``end_id``, cut every way that
-    packing may ask for, each piece with ``value`` of its ids.
+    """(``doc_id``, ``doc_tokens``, ``fulls``, ``pieces``): the ids of each whole text and ``end_id``, cut every way that
+    packing may ask for, each piece with ``value`` of its ids; ``fulls`` are the full windows of earlier rows of the task.
 
+    Where values are arrays, parts of a tail have none: they are cut from the tail's when it is known which are used.
     ``path`` names a byte-level tokenizer, ``ranks`` may name the same vocabulary as ranks.  A null text is empty.
     """
     piece = f"struct<kind:tinyint,start:bigint,length:bigint,value:{value_type}>"
 
     def run(batches):
         own = tokens.encoder(path, "leading", ranks)
-        end = np.array([end_id], own.dtype)
+        end, fulls = np.array([end_id], own.dtype), 0
+        sliced = value_type.startswith("array")
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                counts, per_row, pieces, values = [], [], [], []
+                counts, per_row, pieces, values, before = [], [], [], [], []
                 for raw in own.encode(part.column("text").to_pylist()):
                     ids = np.concatenate([np.frombuffer(raw, own.dtype), end])
                     own_pieces = cuts(len(ids), window)
                     counts.append(len(ids))
                     per_row.append(len(own_pieces))
                     pieces += own_pieces
-                    values += [value(ids[s:s + n]) for _, s, n in own_pieces]
+                    values += [value(ids[s:s if sliced and kind == 2 else s + n]) for kind, s, n in own_pieces]
+                    before.append(fulls)
+                    fulls += len(ids) // window
                 kinds, starts, lengths = np.array(pieces, np.int64).T
-                if value_type.startswith("array"):
+                if sliced:
                     held = _lists(pa.array(np.concatenate(values), pa.int32()), [len(v) for v in values])
                 else:
                     held = pa.array(values, pa.int64())
@@ -86,11 +90,11 @@ def cut_documents(docs: DataFrame, path: str, window: int, value: Callable[[np.n
                     [pa.array(kinds, pa.int8()), pa.array(starts), pa.array(lengths), held],
                     names=["kind", "start", "length", "value"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), _lists(rows, per_row)],
-                    names=["doc_id", "doc_tokens", "pieces"])
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(before, pa.int64()), _lists(rows, per_row)],
+                    names=["doc_id", "doc_tokens", "fulls", "pieces"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, doc_tokens long, pieces array<{piece}>")
+    return rows.mapInArrow(run, f"doc_id long, doc_tokens long, fulls long, pieces array<{piece}>")
 
 
 def combinations(counts: np.ndarray, window: int, common: int = 64) -> np.ndarray:
@@ -205,14 +209,17 @@ def pack(cut: DataFrame, window: int = 1024) -> DataFrame:
     rows = rows.withColumn("split", F.shiftright("row", 33).cast("int"))
 
     def of(kind: int) -> DataFrame:
-        wanted = F.filter("pieces", lambda p: p.kind == kind)
-        return rows.select("doc_id", "doc_tokens", "row", "split", F.explode(wanted).alias("piece"))
-
-    out = ["doc_id", F.col("piece.start").alias("start"), F.col("piece.length").alias("length"),
-           F.col("piece.value").alias("value"), "doc_tokens"]
-    number = F.row_number().over(Window.partitionBy("split").orderBy("row", "piece.start")).cast("long")
-    whole = of(0).select(*out, (F.shiftleft(F.col("split").cast("long"), 34) + number).alias("sequence_id"),
-                         F.lit(0).cast("long").alias("offset"))
+        """Places and sizes of pieces, without what is in them."""
+        wanted = F.transform(F.filter("pieces", lambda p: p.kind == kind), lambda p: F.struct(
+            p["start"].alias("start"), p["length"].alias("length")))
+        return rows.select("row", "split", F.explode(wanted).alias("piece"))
+
+    full = F.posexplode(F.filter("pieces", lambda p: p.kind == 0)).alias("no", "piece")
+    whole = rows.select("doc_id", "doc_tokens", "split", "fulls", full).select(
+        "doc_id", F.col("piece.start").alias("start"), F.col("piece.length").alias("length"),
+        F.col("piece.value").alias("value"), "doc_tokens",
+        (F.shiftleft(F.col("split").cast("long"), 34) + F.col("fulls") + F.col("no") + 1).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"))
 
     tails = of(1).withColumn("size", F.col("piece.length"))
     counts = np.zeros(window + 1, np.int64)
@@ -245,7 +252,8 @@ def pack(cut: DataFrame, window: int = 1024) -> DataFrame:
 
     ranked = _ranked(tails.select("row", "split", "size", "piece"), "size").select("row", "size", "rank")
     placed = written(ranked.mapInArrow(place, "row long, size long, sequence_id long, offset long"), "placed")
-    fitted = of(1).join(placed.where("sequence_id >= 0"), "row").select(*out, "sequence_id", "offset")
+    fitted = of(1).join(placed.where("sequence_id >= 0"), "row").select("row", F.struct(
+        F.lit(1).alias("kind"), "piece.start", "piece.length", "sequence_id", "offset").alias("place"))
 
     # the residual tails' parts: an order by size leaves every part on a multiple of its own size
     parts = of(2).join(placed.where("sequence_id < 0").select("row"), "row").withColumn(
@@ -270,7 +278,21 @@ def pack(cut: DataFrame, window: int = 1024) -> DataFrame:
     base: Column = F.col("at") - F.col("at") % window
     for e in ends:
         base = F.when(F.col("at") >= e, F.lit(e).cast("long")).otherwise(base)
-    loose = (_ranked(parts, "size").withColumn("at", place_at).withColumn("base", base)
-             .select(*out, (F.lit(_PART_BASE).cast("long") + F.col("base")).alias("sequence_id"),
-                     (F.col("at") - F.col("base")).alias("offset")))
-    return whole.unionByName(fitted).unionByName(loose)
+    loose = _ranked(parts, "size").withColumn("at", place_at).withColumn("base", base).select("row", F.struct(
+        F.lit(2).alias("kind"), "piece.start", "piece.length",
+        (F.lit(_PART_BASE).cast("long") + F.col("base")).alias("sequence_id"),
+        (F.col("at") - F.col("base")).alias("offset")).alias("place"))
+    # a tail's places, at most one a power of two, meet its contents once
+    found = fitted.unionByName(loose).groupBy("row").agg(F.collect_list("place").alias("places"))
+    whats = rows.select("row", "doc_id", "doc_tokens", F.get(F.filter("pieces", lambda p: p.kind == 1), 0).alias("tail"),
+                        F.filter("pieces", lambda p: p.kind == 2).alias("parts")).where("tail is not null")
+    here, start, length = F.col("tail"), F.col("place.start"), F.col("place.length")
+    if isinstance(cut.schema["pieces"].dataType.elementType["value"].dataType, T.ArrayType):
+        part = F.slice(here["value"], (start - here["start"] + 1).cast("int"), length.cast("int"))
+    else:
+        part = F.get(F.filter("parts", lambda p: p.start == start), 0)["value"]
+    held = whats.join(found, "row").withColumn("place", F.explode("places")).select(
+        "doc_id", start.alias("start"), length.alias("length"),
+        F.when(F.col("place.kind") == 1, here["value"]).otherwise(part).alias("value"), "doc_tokens",
+        "place.sequence_id", "place.offset")
+    return whole.unionByName(held)
