@@ -150,8 +150,9 @@ def budget_alerts(status: DataFrame) -> DataFrame:
     )
 
 
-def anomaly_alerts(anomalies: DataFrame) -> DataFrame:
-    """One alert per anomaly; an ``*_amount`` that is missing *or 0* falls back to ``*_cost``."""
+def anomaly_alerts(anomalies: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One alert per anomaly, with the columns of ``keep``; an ``*_amount`` that is missing *or 0* falls back to
+    ``*_cost``."""
     def figure(name: str) -> Column:
         parts = [F.nullif(F.col(f"{name}_amount").cast("double"), F.lit(0.0))
                  if f"{name}_amount" in anomalies.columns else F.lit(None).cast("double"),
@@ -175,7 +176,7 @@ def anomaly_alerts(anomalies: DataFrame) -> DataFrame:
             ("Expected Cost", _dollars(figure("expected"))),
             ("Deviation", F.format_string("%+.1f%%", F.round(F.coalesce("deviation_percent", F.lit(0.0)), 1))),
             ("Severity", F.initcap(severity)),
-        ).alias("fields"),
+        ).alias("fields"), *keep,
     )
 
 
@@ -277,8 +278,10 @@ def _footer(sent_at: Column) -> Column:
                     F.date_format(sent_at, "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
 
 
-def route_alerts(alerts: DataFrame, channels: DataFrame, sent_at: dt.datetime) -> DataFrame:
-    """Messages ready for delivery: channel, type and JSON body."""
+def route_alerts(
+    alerts: DataFrame, channels: DataFrame, sent_at: dt.datetime, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Messages ready for delivery: channel, type and JSON body, and the columns of ``keep``."""
     at = F.lit(sent_at).cast("timestamp")
     body = (
         F.when(F.col("channel_type") == "slack", slack_body(at))
@@ -286,5 +289,26 @@ def route_alerts(alerts: DataFrame, channels: DataFrame, sent_at: dt.datetime) -
         .otherwise(webhook_body(at))
     )
     return subscribed(alerts, channels).select(
-        "channel_id", "channel_type", "organization_id", "event", "severity", body.alias("body")
+        "channel_id", "channel_type", "organization_id", "event", "severity", body.alias("body"), *keep
     )
+
+
+def outbox(routed: DataFrame, alert_key: Sequence[str]) -> DataFrame:
+    """Routed messages with ``delivery_id``: a stable key of the alert (its ``alert_key`` columns) and the channel.
+
+    A receiver or a table keyed by it can take a message twice and hold it once.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in alert_key]
+    return routed.withColumn("delivery_id", F.sha2(F.to_json(F.array(*parts, F.col("channel_id"))), 256))
+
+
+def stream_outbox(
+    alerts: DataFrame, channels: DataFrame, alert_key: Sequence[str], ts: str, sent_at: dt.datetime,
+    lateness: str = "1 day",
+) -> DataFrame:
+    """Messages of a stream of alerts, one per alert and channel while ``lateness`` lasts.
+
+    The dedup state is part of the stream's checkpoint: a restart neither repeats nor loses a message.
+    """
+    routed = route_alerts(alerts, channels, sent_at, keep=[*alert_key, ts])
+    return outbox(routed, alert_key).withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["delivery_id"])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from costlake.schemas import COST_RECORDS
+from costlake.sources import versions
 from costlake.sources.billing import SUPPORTED_PROVIDERS
 from costlake.session import scratch_path
 from costlake.sources.tables import day_files, read_costs
@@ -101,6 +103,76 @@ def import_window(
     return rows
 
 
+def write_charges(records: DataFrame, path: str) -> int:
+    """Charges as a new table of versioned days (``sources.versions``)."""
+    version = versions.new_version()
+    shaped = records.select([f.name for f in COST_RECORDS]).withColumn("usage_date", F.to_date("date"))
+    days = versions.write_days(shaped, path, version)
+    return versions.publish(records.sparkSession, path, dict.fromkeys(days, version), 0)
+
+
+def read_charges(spark: SparkSession, path: str, days: Iterable[dt.date] | None = None) -> DataFrame:
+    return versions.read_days(spark, path, COST_RECORDS, days)
+
+
+def import_charges(
+    spark: SparkSession, path: str, incoming: DataFrame, account_id: str, start: dt.datetime,
+    end: dt.datetime,
+) -> int:
+    """:func:`import_window` on versioned days: all of them change in one step, or none; rows imported.
+
+    Only the days of the window and of the incoming rows are read and written.
+    """
+    landed = scratch_path(spark, "pull")
+    incoming.write.parquet(landed)
+    incoming = spark.read.schema(incoming.schema).parquet(landed)
+    rows = incoming.count()
+    if rows == 0:
+        return 0
+    number, days = versions.current(spark, path)
+    window = {start.date() + dt.timedelta(days=i) for i in range((end.date() - start.date()).days + 1)}
+    touched = window | _days(incoming)
+    affected = versions.read_days(spark, path, COST_RECORDS, touched, number or None)
+    after = replace_window(affected, incoming, account_id, start, end).withColumn("usage_date", F.to_date("date"))
+    version = versions.new_version()
+    filled = versions.write_days(after, path, version)
+    kept = {day: v for day, v in days.items() if day not in touched}  # a touched day without rows is no more
+    versions.publish(spark, path, kept | dict.fromkeys(filled, version), number)
+    return rows
+
+
+#: What a day's charges are summed by.
+ROLLUP_KEYS = ("cloud_account_id", "granularity", "service", "region", "currency")
+ROLLUP = T.StructType([
+    *[f for f in COST_RECORDS if f.name in ROLLUP_KEYS], T.StructField("amount", T.DecimalType(38, 8)),
+    T.StructField("records", T.LongType())])
+
+
+def refresh_rollup(spark: SparkSession, charges: str, rollup: str) -> set[dt.date]:
+    """Bring the daily rollup of a table of versioned days up to date; the days that were read for it.
+
+    A day of the rollup bears the version of the charges it was summed from, so those that changed are known
+    without reading any, and the change is published at once like any other.
+    """
+    _, source = versions.current(spark, charges)
+    number, have = versions.current(spark, rollup)
+    stale = {day for day, version in source.items() if have.get(day) != version}
+    if not stale and set(have) == set(source):
+        return set()
+    for version in sorted({source[day] for day in stale}):
+        days = [day for day in stale if source[day] == version]
+        summed = versions.read_days(spark, charges, COST_RECORDS, days).groupBy("usage_date", *ROLLUP_KEYS).agg(
+            F.sum("amount").cast("decimal(38,8)").alias("amount"), F.count("*").alias("records"))
+        versions.write_days(summed.select(*ROLLUP.fieldNames(), "usage_date"), rollup, version)
+    versions.publish(spark, rollup, source, number)
+    return stale
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """(``usage_date``, keys, ``amount``, ``records``)."""
+    return versions.read_days(spark, path, ROLLUP)
+
+
 def _days(records: DataFrame) -> set[dt.date]:
     return {row[0] for row in records.select(F.to_date("date")).distinct().collect()}
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from costlake.operators import anomaly, logs, scenario, sync
 from costlake.plans.catalog import query
+from costlake.plans.live import closed, stream_of
 from costlake.plans.views import one_of
 from costlake.session import scratch_path
 from costlake.sources import billing, retail, tables
@@ -175,6 +176,43 @@ def import_window(spark, sf):
         F.count("*").alias("records"), F.sum("amount").alias("amount"))
 
 
+_IMPORTED = f"""
+  SELECT cloud_account_id, ds, service, CAST(amount AS DOUBLE) AS amount FROM cost_records
+  WHERE NOT (granularity = 'daily' AND cloud_account_id = '3'
+    AND date BETWEEN TIMESTAMP '1999-12-01 00:00:00' AND TIMESTAMP '1999-12-31 23:59:59')
+  UNION ALL SELECT cloud_account_id, date, service, amount FROM ({_AWS})
+  WHERE cloud_account_id = '3' AND date BETWEEN DATE '1999-12-01' AND DATE '1999-12-31'"""
+
+
+def _imported(spark, sf):
+    """The charges as versioned days, their rollup, and then one month of an account replaced in one step."""
+    start, end = dt.datetime(1999, 12, 1), dt.datetime(1999, 12, 31, 23, 59, 59)
+    records, pulled, _, _ = _replaced(spark, sf, "3")
+    charges, rollup = scratch_path(spark, "charges"), scratch_path(spark, "rollup")
+    sync.write_charges(records, charges)
+    sync.refresh_rollup(spark, charges, rollup)
+    sync.import_charges(spark, charges, pulled.filter(F.col("date") >= F.lit(start)), "3", start, end)
+    return charges, rollup
+
+
+@query("cloud_account_id:s ds:d records:n amount:c", f"""
+SELECT cloud_account_id, ds, count(*) AS records, sum(amount) AS amount FROM ({_IMPORTED}) GROUP BY ALL""", "cost_records")
+def import_charges(spark, sf):
+    charges, _ = _imported(spark, sf)
+    return sync.read_charges(spark, charges).groupBy("cloud_account_id", F.col("usage_date").alias("ds")).agg(
+        F.count("*").alias("records"), F.sum("amount").alias("amount"))
+
+
+@query("ds:d service:s records:n amount:c", f"""
+SELECT ds, service, count(*) AS records, sum(amount) AS amount FROM ({_IMPORTED}) GROUP BY ALL""", "cost_records")
+def rollup_by_service(spark, sf):
+    """Daily spend by service from the rollup, of which only the days of the import were summed again."""
+    charges, rollup = _imported(spark, sf)
+    sync.refresh_rollup(spark, charges, rollup)
+    return sync.read_rollup(spark, rollup).groupBy(F.col("usage_date").alias("ds"), "service").agg(
+        F.sum("records").alias("records"), F.sum("amount").alias("amount"))
+
+
 @query("account_id:s last_sync_status:s last_sync_completed_at:t records:s last_sync_error:s", """
 SELECT a.id AS account_id, coalesce(r.status, 'never_synced') AS last_sync_status,
   CASE WHEN r.status IN ('ready', 'error') THEN r.finished_at END AS last_sync_completed_at,
@@ -301,7 +339,7 @@ def duplicate_accounts(spark, sf):
 # ---- tasks, bursts, streams ------------------------------------------------------------------
 
 
-def _messages(spark, sf):
+def task_messages(spark, sf):
     """A task message per event."""
     user = F.col("user_id").cast("string")
     kind = F.col("event_type")
@@ -311,10 +349,10 @@ def _messages(spark, sf):
         F.lit("sync_all").alias("type"), (F.col("user_id") % 5).cast("string").alias("organization_id"))))
     body = body.when(kind == "error", F.lit("not json")).otherwise(F.to_json(F.struct(
         F.lit("cleanup").alias("type"), user.alias("account_id"))))
-    return retail.table(spark, sf, "events").select("event_id", body.alias("value"))
+    return retail.table(spark, sf, "events").select("event_id", "ts", body.alias("value"))
 
 
-_TASKS = """
+TASKS = """
 SELECT event_id, CASE event_type WHEN 'click' THEN 'sync_account' WHEN 'view' THEN 'sync_all' WHEN 'error' THEN 'unknown'
     ELSE 'cleanup' END AS type,
   CASE event_type WHEN 'click' THEN 'sync_account' WHEN 'view' THEN 'sync_all' ELSE 'dropped' END AS route,
@@ -323,21 +361,21 @@ SELECT event_id, CASE event_type WHEN 'click' THEN 'sync_account' WHEN 'view' TH
   CASE WHEN event_type = 'click' THEN CAST(floor(value) AS INTEGER) ELSE 30 END AS days FROM events"""
 
 
-@query("event_id:n type:s route:s account_id:s organization_id:s days:n", _TASKS)
+@query("event_id:n type:s route:s account_id:s organization_id:s days:n", TASKS)
 def sync_tasks(spark, sf):
-    return ingest.sync_tasks(_messages(spark, sf))
+    return ingest.sync_tasks(task_messages(spark, sf))
 
 
 @query("id:s organization_id:s provider:s days:n", f"""
 SELECT id, organization_id, provider, max(days) AS days FROM (
   SELECT a.id, a.organization_id, a.provider, t.days FROM cloud_accounts a
-  JOIN ({_TASKS}) t ON t.route = 'sync_account' AND t.account_id = a.id
+  JOIN ({TASKS}) t ON t.route = 'sync_account' AND t.account_id = a.id
   UNION ALL
   SELECT a.id, a.organization_id, a.provider, t.days FROM cloud_accounts a
-  JOIN ({_TASKS}) t ON t.route = 'sync_all' AND t.organization_id = a.organization_id WHERE a.is_active) GROUP BY ALL""",
+  JOIN ({TASKS}) t ON t.route = 'sync_all' AND t.organization_id = a.organization_id WHERE a.is_active) GROUP BY ALL""",
        "cloud_accounts")
 def accounts_to_sync(spark, sf):
-    return ingest.accounts_to_sync(ingest.sync_tasks(_messages(spark, sf)), retail.cloud_accounts(spark, sf))
+    return ingest.accounts_to_sync(ingest.sync_tasks(task_messages(spark, sf)), retail.cloud_accounts(spark, sf))
 
 
 @query("organization_id:s action:s events:n first:t last:t", """
@@ -391,23 +429,17 @@ def burst_counter(spark, sf):
     return limits.burst_counter(_hits(spark, sf), **BURST)
 
 
-def _stream(spark, sf, name):
-    """A table as a file stream."""
-    schema = retail.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-
-
 @query("organization_id:s service:s ds:d amount:m records:n", """
 SELECT organization_id, service, ds, sum(amount) AS amount, count(*) AS records FROM costs GROUP BY ALL""", "costs")
 def stream_costs(spark, sf):
-    records = retail.cost_records(spark, sf, _stream(spark, sf, "lineitem"))
+    records = retail.cost_records(spark, sf, stream_of(spark, sf, "lineitem"))
     totals = ingest.stream_costs(records, retail.cloud_accounts(spark, sf))
     return ingest.run_to_table(totals, ["organization_id", "service", "ds"])
 
 
 @query("provider:s window_start:t window_end:t error_ratio:m firing:b", "SELECT * FROM error_windows", "error_windows")
 def stream_error_ratio(spark, sf):
-    requests = retail.requests(spark, sf, _stream(spark, sf, "events"))
+    requests = retail.requests(spark, sf, stream_of(spark, sf, "events"))
     return ingest.run_to_table(alerting.error_ratio(requests, ["provider"]), ["provider", "window_start", "window_end"])
 
 
@@ -422,14 +454,15 @@ def stream_zscore(spark, sf):
         return requests.select("event_id", "key", F.col("seconds").alias("amount"))
 
     baseline = anomaly.baseline_stats(amounts(retail.requests(spark, sf)), ["key"], exact=False)
-    arriving = amounts(retail.requests(spark, sf, _stream(spark, sf, "events")))
+    arriving = amounts(retail.requests(spark, sf, stream_of(spark, sf, "events")))
     return ingest.run_to_table(ingest.stream_zscore(arriving, baseline, ["key"]), mode="append")
 
 
 @query("key:s ts:t accepted:b", _SLIDING + " SELECT key, ts, accepted FROM run")
 def stream_bursts(spark, sf):
-    hits = retail.requests(spark, sf, _stream(spark, sf, "events")).select("key", "ts")
-    return ingest.run_to_table(limits.stream_burst_windows(hits, **BURST), mode="append")
+    hits = closed(retail.requests(spark, sf, stream_of(spark, sf, "events")).select("key", "ts"), "ts")
+    live = limits.stream_burst_windows(hits, slice_seconds=3600, **BURST)
+    return ingest.run_to_table(live, mode="append").where("key is not null")
 
 
 @query("key:s ts:t accepted:b", f"""
@@ -444,8 +477,9 @@ run AS (
   FROM run r JOIN hits h ON h.key = r.key AND h.rk = r.rk + 1)
 SELECT key, ts, hits <= {BURST['limit']} AS accepted FROM run)""")
 def stream_burst_counter(spark, sf):
-    hits = retail.requests(spark, sf, _stream(spark, sf, "events")).select("key", "ts")
-    return ingest.run_to_table(limits.stream_burst_counter(hits, **BURST), mode="append")
+    hits = closed(retail.requests(spark, sf, stream_of(spark, sf, "events")).select("key", "ts"), "ts")
+    live = limits.stream_burst_counter(hits, slice_seconds=3600, **BURST)
+    return ingest.run_to_table(live, mode="append").where("key is not null")
 
 
 @query("provider:s window_start:t window_end:t p95:m firing:b", """
@@ -455,5 +489,5 @@ SELECT provider, window_end - INTERVAL 10 MINUTE AS window_start, window_end, p9
     FROM requests CROSS JOIN (SELECT unnest(range(1, 11)) AS k)) GROUP BY ALL)""", "requests")
 def stream_latency_p95(spark, sf):
     """The sketch of a window with fewer values than its accuracy is exact: the value at the rank itself."""
-    requests = retail.requests(spark, sf, _stream(spark, sf, "events"))
+    requests = retail.requests(spark, sf, stream_of(spark, sf, "events"))
     return ingest.run_to_table(alerting.latency_p95(requests, ["provider"]), ["provider", "window_start", "window_end"])

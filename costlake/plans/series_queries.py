@@ -259,7 +259,7 @@ def budget_alerts(spark, sf):
     return _flat(alerts.budget_alerts(status(spark, sf)))
 
 
-_ANOMALY_ALERTS = """
+ANOMALY_ALERTS = """
 SELECT 'anomaly' AS event, organization_id, 'Cost Anomaly Detected — ' || upper(severity) AS title,
   'Unusual spending detected on *' || service || '* in account *' || organization_id || '*.' AS message, severity,
   'Service=' || service || '; Account=' || organization_id
@@ -270,14 +270,19 @@ SELECT 'anomaly' AS event, organization_id, 'Cost Anomaly Detected — ' || uppe
 FROM anomalies"""
 
 
-def _anomaly_alerts(spark, sf):
+def _anomaly_alerts(spark, sf, keep=()):
     found = anomaly.anomaly_report(flagged(spark, sf), SERIES)
     return alerts.anomaly_alerts(
         found.withColumns({"account_name": F.col("organization_id"),
-                           "actual_cost": F.round("actual_cost", 2), "expected_cost": F.round("expected_cost", 2)}))
+                           "actual_cost": F.round("actual_cost", 2), "expected_cost": F.round("expected_cost", 2)}), keep)
 
 
-@query("event:s organization_id:s title:s message:s severity:s details:s", _ANOMALY_ALERTS, "anomalies")
+def anomaly_events(spark, sf):
+    """Anomaly alerts with what tells them apart and their time."""
+    return _anomaly_alerts(spark, sf, ["service", "ds"]).withColumn("at", F.col("ds").cast("timestamp"))
+
+
+@query("event:s organization_id:s title:s message:s severity:s details:s", ANOMALY_ALERTS, "anomalies")
 def anomaly_alerts(spark, sf):
     return _flat(_anomaly_alerts(spark, sf))
 
@@ -330,7 +335,7 @@ SELECT c.id AS channel_id, c.channel_type, x.organization_id, x.event, x.severit
     || '{{"type":"TextBlock","text":"Costlake • ' || event || ' • 2024-01-31 12:00 UTC","size":"Small","isSubtle":true}}]}}}}]}}'
   ELSE '{{"event":"' || event || '","timestamp":"2024-01-31T12:00:00+00:00","title":"' || title || '","message":"' || message
     || '","severity":"' || severity || '","fields":{{"' || replace(replace(details, '=', '":"'), '; ', '","') || '"}}}}' END AS body
-FROM ({_ANOMALY_ALERTS}) x JOIN channels c ON c.organization_id = x.organization_id AND list_contains(c.events, x.event)""",
+FROM ({ANOMALY_ALERTS}) x JOIN channels c ON c.organization_id = x.organization_id AND list_contains(c.events, x.event)""",
        "anomalies channels")
 def route_alerts(spark, sf):
     return alerts.route_alerts(_anomaly_alerts(spark, sf), retail.channels(spark, sf), SENT_AT)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from costlake.operators.quantiles import windowed_quantile
+from costlake.streaming import ordered
 
 #: Alert limits and floors.
 ERROR_LIMIT, RATE_FLOOR = 0.05, 0.001
@@ -93,3 +94,14 @@ def sustained(
     ).filter(
         F.unix_seconds("firing_to") - F.unix_seconds("firing_from") >= minutes * 60
     ).drop("_run")
+
+
+def stream_sustained(
+    windows: DataFrame, by: Sequence[str] = (), minutes: int = 5, slide: int = 1
+) -> DataFrame:
+    """:func:`sustained` over a stream of :func:`error_ratio` or :func:`latency_p95`, in append mode.
+
+    Evaluations become final when the watermark passes their window; a state machine per key then follows its
+    run, and a timer closes the run of a key that falls silent.
+    """
+    return ordered.sustained(windows, by, minutes, slide)

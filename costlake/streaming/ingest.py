@@ -16,6 +16,9 @@ from costlake.session import scratch_path
 TASK_TYPES = ("sync_account", "sync_all")
 DEFAULT_SYNC_DAYS = 30
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def sync_tasks(messages: DataFrame, body: str = "value") -> DataFrame:
     """Parse JSON task messages (batch or stream); unknown types are routed to ``dropped``."""
@@ -31,6 +34,15 @@ def sync_tasks(messages: DataFrame, body: str = "value") -> DataFrame:
     )
 
 
+def once(messages: DataFrame, key: str, ts: str, lateness: str = "1 hour") -> DataFrame:
+    """Each message of a stream once, however often its queue delivers it.
+
+    A key is remembered until the watermark is ``lateness`` past the message's own time; what is delivered
+    again after that is behind the watermark and dropped as late, so nothing passes twice at any time.
+    """
+    return messages.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+
+
 def accounts_to_sync(tasks: DataFrame, accounts: DataFrame) -> DataFrame:
     """The accounts each routed task asks for: one by id, or all active ones of a tenant.
 
@@ -88,9 +100,13 @@ def stream_zscore(records: DataFrame, baseline: DataFrame, on: list[str]) -> Dat
     return zscore_check(records, baseline, on)
 
 
-def run_to_table(result: DataFrame, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
+def run_to_table(
+    result: DataFrame, keys: list[str] | None = None, mode: str = "update", again: Callable[[], None] | None = None,
+) -> DataFrame:
     """Run a stream over all available input and return what it wrote.
 
+    With ``again``, which adds input, the stream is then started once more from its checkpoint.
+
     Every micro-batch is one folder, named by its id and overwritten if the batch is run again, so
     a restart cannot write twice.  With ``keys``, the last update of each key wins.
     """
@@ -101,13 +117,22 @@ def run_to_table(result: DataFrame, keys: list[str] | None = None, mode: str = "
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{data}/batch_id={batch_id}")
 
+    # large state lives off the heap, and timers and state variables need this store
+    previous = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
     # an input without rows runs no batch: the table exists all the same
     spark.createDataFrame([], result.schema).write.parquet(f"{data}/batch_id=-1")
-    query = (
-        result.writeStream.outputMode(mode).foreachBatch(store)
-        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    try:
+        for more in ([None, again] if again else [None]):
+            if more:
+                more()
+            query = (
+                result.writeStream.outputMode(mode).foreachBatch(store)
+                .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+            )
+            query.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, previous) if previous else spark.conf.unset(_STORE)
     schema = T.StructType(result.schema.fields + [T.StructField("batch_id", T.LongType())])
     written = spark.read.schema(schema).parquet(data)
     if keys is None:

@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from costlake.streaming.ordered import limited
 
 #: Fixed values: (hits, seconds) of the default and the sign-in policy.
 DEFAULT_POLICY, AUTH_POLICY = (100, 60), (10, 300)
@@ -146,52 +147,17 @@ def burst_counter(
     return _run(hits, key, limit, seconds, FixedCounter)
 
 
-def _stream(hits: DataFrame, key: str, limit: int, seconds: int, machine, lateness: str) -> DataFrame:
-    """Limiter on a stream; the state of a key expires once the watermark leaves its window.
-
-    Hits of a micro-batch are served in time order.  A hit that arrives after a later one was served
-    is judged by the state at that time, so late rows can differ from the batch result.
-    """
-    micros = seconds * 1_000_000
-    key_type = hits.schema[key].dataType
-    schema = T.StructType([
-        T.StructField(key, key_type), T.StructField("ts", T.TimestampType()),
-        T.StructField("accepted", T.BooleanType()),
-    ])
-    state_schema = T.StructType([T.StructField("saved", T.ArrayType(T.LongType()))])
-
-    def serve(who, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        saved = tuple(state.get[0]) if state.exists else ()
-        limiter = machine(limit, micros, saved)
-        # one key's hits of one micro-batch; the trigger's input limit bounds them
-        rows = pd.concat(batches).sort_values("ts", kind="stable")
-        stamps = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        verdicts = [limiter.hit(int(at)) for at in stamps]
-        state.update((limiter.state(),))
-        keep_until = int(stamps.max()) // 1000 + seconds * 1000 + 1
-        state.setTimeoutTimestamp(max(keep_until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: who[0], "ts": rows["ts"].to_numpy(), "accepted": verdicts})
-
-    return (
-        hits.select(key, "ts").withWatermark("ts", lateness).groupBy(key)
-        .applyInPandasWithState(
-            serve, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
-
-
 def stream_burst_windows(
     hits: DataFrame, key: str = "key", limit: int = DEFAULT_POLICY[0],
-    seconds: int = DEFAULT_POLICY[1], lateness: str = "1 minute",
+    seconds: int = DEFAULT_POLICY[1], lateness: str = "1 minute", slice_seconds: int = 600,
 ) -> DataFrame:
-    return _stream(hits, key, limit, seconds, SlidingLog, lateness)
+    """:func:`burst_windows` on a stream: (key, ``ts``, ``accepted``) once the watermark has passed a hit's slice."""
+    return limited(hits, key, SlidingLog, limit, seconds, lateness, slice_seconds)
 
 
 def stream_burst_counter(
     hits: DataFrame, key: str = "key", limit: int = DEFAULT_POLICY[0],
-    seconds: int = DEFAULT_POLICY[1], lateness: str = "1 minute",
+    seconds: int = DEFAULT_POLICY[1], lateness: str = "1 minute", slice_seconds: int = 600,
 ) -> DataFrame:
-    return _stream(hits, key, limit, seconds, FixedCounter, lateness)
+    """:func:`burst_counter` on a stream, in the same way."""
+    return limited(hits, key, FixedCounter, limit, seconds, lateness, slice_seconds)
