@@ -98,7 +98,7 @@ def join_horizon(calendar: DataFrame, profile: DataFrame, by: Sequence[str] = ()
 def bootstrap_paths(
     series: DataFrame, horizon: int, by: Sequence[str] = (), n: int = SAMPLE_PATHS, seed: int = 42
 ) -> DataFrame:
-    """Deterministic sample paths: weekday level plus a residual of the history chosen by hash.
+    """Deterministic sample paths: weekday level plus a residual of the history chosen by MD5, which every engine has.
 
     One pass: the history of a series, one value per calendar day, travels in its weekday rows.
     """
@@ -118,7 +118,8 @@ def bootstrap_paths(
         "level", F.filter("levels", lambda w: w["weekday"] == F.weekday("ds"))
     )
     drawn = steps.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pick = F.pmod(F.xxhash64(*by, "ds", "path", F.lit(seed)), F.size("rs")).cast("int")
+    drawn_by = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, "ds", "path"]], F.lit(str(seed))))
+    pick = (F.conv(F.left(drawn_by, F.lit(15)), 16, 10).cast("long") % F.size("rs")).cast("int")
     return drawn.filter(F.size("level") > 0).select(
         *by, "ds", "path", (F.get("level", F.lit(0))["level"] + F.get("rs", pick)["r"]).alias("value")
     )

@@ -22,7 +22,8 @@ SENSITIVITY = {"low": 0.05, "medium": 0.10, "high": 0.15}
 MIN_TRAINING_ROWS = 14
 
 _HASH_SPACE = 2**31
-_NODE_SCHEMA = "tree int, node int, feature int, threshold double, path_length double"
+_PARTS = ("nodes", "baseline", "meta")
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, path_length double"
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def fit_nodes(
         out.insert(0, "tree", tree)
         return out
 
-    return sampled.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA), total
+    return sampled.groupBy("tree").applyInPandas(grow, NODE_SCHEMA), total
 
 
 def _scorer(nodes: pd.DataFrame, columns: Sequence[str], sample_size: float):
@@ -167,7 +168,7 @@ def iforest_fit(
     nodes, total = fit_nodes(features, key, columns, trees, rows_per_tree, seed)
     if path is not None:
         nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        nodes = features.sparkSession.read.schema(_NODE_SCHEMA).parquet(f"{path}/nodes")
+        nodes = features.sparkSession.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes")
     grown = nodes.filter("node = 0").count()
     if grown != trees:
         raise ValueError(f"only {grown} of {trees} trees drew a row")
@@ -186,15 +187,33 @@ def iforest_fit(
         )
         baseline.coalesce(1).write.mode("overwrite").parquet(f"{path}/baseline")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        _sums(features.sparkSession, path).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
         return load_forest(features.sparkSession, path)
     return Forest(nodes, float(limit), baseline, size, tuple(columns))
 
 
+def _sums(spark: SparkSession, path: str) -> DataFrame:
+    """(``part``, ``rows``, ``checksum``) of what makes up a saved detector, as it can be read now."""
+    found = []
+    for part in _PARTS:
+        rows = spark.read.parquet(f"{path}/{part}")
+        # the order of rows does not matter; a row that comes twice does
+        found.append(rows.agg(F.lit(part).alias("part"), F.count("*").alias("rows"), F.sum(
+            F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).cast("string").alias("checksum")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def load_forest(spark: SparkSession, path: str) -> Forest | None:
-    """A saved detector, or ``None`` (unfitted) if any part of it is missing or unreadable."""
+    """A saved detector, or ``None`` (unfitted) if any part of it is missing, unreadable or not what was saved.
+
+    The manifest is written last, with the rows and the checksum of every part: a save that was cut short has none.
+    """
     try:
+        saved = {tuple(row) for row in spark.read.parquet(f"{path}/manifest").collect()}  # one row a part
+        if len(saved) != len(_PARTS) or saved != {tuple(row) for row in _sums(spark, path).collect()}:
+            return None
         meta = spark.read.parquet(f"{path}/meta").first()
-        nodes = spark.read.schema(_NODE_SCHEMA).parquet(f"{path}/nodes")
+        nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes")
         baseline = spark.read.parquet(f"{path}/baseline")
         if meta is None or nodes.filter("node = 0").count() == 0 or baseline.first() is None:
             return None

@@ -17,6 +17,17 @@ def join_dimension(
     return fact.join(dimension, on, how)
 
 
+def bucketed(rows: DataFrame, name: str, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """``rows`` stored as a table of ``buckets`` buckets of ``key``, sorted by it inside each.
+
+    Two tables with the same number of buckets of one key join without moving either of them; a key that holds much of a table
+    stays in one bucket, so it suits keys like accounts, whose largest share is known.
+    """
+    writer = rows.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def calendar(spark: SparkSession, start, end, column: str = "ds") -> DataFrame:
     """One row per day from ``start`` to ``end``, both included."""
     days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from costlake.functions import dates, tags, text
 from costlake.operators import costs as c, whatif
-from costlake.operators.joins import densify
+from costlake.operators.joins import bucketed, densify, join_dimension
 from costlake.plans.catalog import query
+from costlake.session import scratch_path
 from costlake.sources import retail
 from costlake.sources.retail import ALL_DAYS, AS_OF
 
@@ -136,6 +139,20 @@ def costs_with_accounts(spark, sf):
         F.count("*").alias("records"), F.sum("amount").alias("amount"))
 
 
+@query("cloud_account_id:s organization_id:s records:n amount:m", """
+SELECT cloud_account_id, organization_id, count(*) AS records, sum(amount) AS amount FROM costs GROUP BY ALL""",
+       "costs")
+def costs_with_accounts_bucketed(spark, sf):
+    """Both tables in buckets of the account: neither the join nor the totals move the charges."""
+    tag = uuid.uuid4().hex
+    fact = bucketed(retail.cost_records(spark, sf), f"charges_{tag}", scratch_path(spark, "charges"), "cloud_account_id")
+    side = retail.cloud_accounts(spark, sf).withColumnRenamed("id", "cloud_account_id").select(
+        "cloud_account_id", "organization_id")
+    side = bucketed(side, f"accounts_{tag}", scratch_path(spark, "accounts"), "cloud_account_id")
+    return join_dimension(fact, side, "cloud_account_id").groupBy("cloud_account_id", "organization_id").agg(
+        F.count("*").alias("records"), F.sum("amount").alias("amount"))
+
+
 @query("ds:d amount:m", """
 SELECT c.ds, coalesce(sum(r.amount), 0) AS amount FROM calendar c LEFT JOIN cost_records r ON r.ds = c.ds
 GROUP BY ALL""", "calendar cost_records")

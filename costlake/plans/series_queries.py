@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -120,6 +121,44 @@ def isolation_forest(spark, sf):
     return forest.iforest_score(spark.read.parquet(f"{model}/scores"), detector)
 
 
+#: A small detector with fixed splits, as (tree, node, feature, threshold, path length); the children of node i are
+#: 2 i + 1 and 2 i + 2, features are numbered as in ``FEATURES``, and -1 marks a leaf.
+FIXED_NODES = (
+    (0, 0, 0, 30000.0, 0.0), (0, 1, 8, 1.5, 0.0), (0, 2, -1, 0.0, 2.5), (0, 3, -1, 0.0, 9.25), (0, 4, 5, 5000.0, 0.0),
+    (0, 9, -1, 0.0, 6.0), (0, 10, -1, 0.0, 3.0),
+    (1, 0, 1, 4.5, 0.0), (1, 1, 7, 20000.0, 0.0), (1, 2, -1, 0.0, 4.0), (1, 3, -1, 0.0, 8.5), (1, 4, -1, 0.0, 5.75),
+    (2, 0, 8, -1.0, 0.0), (2, 1, -1, 0.0, 3.5), (2, 2, 2, 15.5, 0.0), (2, 5, -1, 0.0, 7.0), (2, 6, -1, 0.0, 8.0),
+)
+_SPLITS = ", ".join(str(row) for row in FIXED_NODES)
+_VALUE = " ".join(f"WHEN {i} THEN CAST(f.{name} AS DOUBLE)" for i, name in enumerate(anomaly.FEATURES))
+_SCALE = repr(2.0 * (math.log(255) + 0.5772156649015329) - 2.0 * 255 / 256)
+
+
+@query("organization_id:s service:s ds:d raw_score:p", f"""
+WITH RECURSIVE nodes(tree, node, feature, threshold, path_length) AS (VALUES {_SPLITS}),
+walk AS (
+  SELECT f.*, t.tree, 0 AS node FROM features f CROSS JOIN (SELECT DISTINCT tree FROM nodes) t
+  UNION ALL
+  SELECT f.* EXCLUDE (node), 2 * n.node + 1 + CASE WHEN CASE n.feature {_VALUE} END > n.threshold THEN 1 ELSE 0 END
+  FROM walk f JOIN nodes n ON n.tree = f.tree AND n.node = f.node WHERE n.feature >= 0)
+SELECT organization_id, service, ds, -pow(2, -avg(path_length) / {_SCALE}) AS raw_score
+FROM walk JOIN nodes USING (tree, node) WHERE feature < 0 GROUP BY ALL""", "features")
+def forest_score_fixed(spark, sf):
+    """Scoring by a detector whose nodes are fixed."""
+    nodes = spark.createDataFrame(FIXED_NODES, forest.NODE_SCHEMA)
+    return forest.raw_scores(features(spark, sf), nodes, 256.0)
+
+
+@query("organization_id:s service:s ds:d amount:m label:n")
+def saved_forest(spark, sf):
+    """Trained, saved, read back against its manifest, and applied: the labels of ``isolation_forest``."""
+    model, path = scratch_path(spark, "forest"), scratch_path(spark, "features")
+    features(spark, sf).write.parquet(path)
+    rows = spark.read.parquet(path)
+    forest.iforest_fit(rows, [*SERIES, "ds"], "medium", path=model)
+    return forest.iforest_score(rows, forest.load_forest(spark, model))
+
+
 # ---- forecasts -------------------------------------------------------------------------------
 
 
@@ -144,7 +183,24 @@ def horizon_join(spark, sf):
     return fc.join_horizon(days, profile, SERIES)
 
 
-@query("organization_id:s service:s ds:d predicted_cost:m lower_bound:m upper_bound:m")
+_BOOTSTRAP = """
+WITH levels AS (SELECT organization_id, service, isodow(ds) AS dow, quantile_cont(amount, 0.5) AS level FROM series_days GROUP BY ALL),
+rs AS (SELECT d.organization_id, d.service, d.ds, CAST(d.amount AS DOUBLE) - l.level AS r,
+    row_number() OVER (PARTITION BY d.organization_id, d.service ORDER BY d.ds) - 1 AS i,
+    count(*) OVER (PARTITION BY d.organization_id, d.service) AS n
+  FROM series_days d JOIN levels l ON l.organization_id = d.organization_id AND l.service = d.service AND l.dow = isodow(d.ds)),
+steps AS (SELECT organization_id, service, n, last_ds + CAST(unnest(range(1, 31)) AS INTEGER) AS ds FROM (
+  SELECT organization_id, service, max(ds) AS last_ds, max(n) AS n FROM rs GROUP BY ALL HAVING max(n) >= 14)),
+paths AS (SELECT organization_id, service, ds, n, unnest(range(0, 20)) AS path FROM steps),
+drawn AS (SELECT *, CAST('0x' || md5(concat_ws('|', organization_id, service, CAST(ds AS VARCHAR), CAST(path AS VARCHAR), '42'))[:15]
+  AS BIGINT) % n AS i FROM paths)
+SELECT d.organization_id, d.service, d.ds, greatest(0, quantile_cont(level + r, 0.5)) AS predicted_cost,
+  greatest(0, quantile_cont(level + r, 0.1)) AS lower_bound, greatest(0, quantile_cont(level + r, 0.9)) AS upper_bound
+FROM drawn d JOIN levels l ON l.organization_id = d.organization_id AND l.service = d.service AND l.dow = isodow(d.ds)
+JOIN rs ON rs.organization_id = d.organization_id AND rs.service = d.service AND rs.i = d.i GROUP BY ALL"""
+
+
+@query("organization_id:s service:s ds:d predicted_cost:m lower_bound:m upper_bound:m", _BOOTSTRAP, "series_days")
 def bootstrap_bands(spark, sf):
     paths = fc.bootstrap_paths(dense(spark, sf), HORIZON, SERIES)
     return fc.bands_from_samples(paths, SERIES)

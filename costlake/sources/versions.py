@@ -19,6 +19,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 _FOLDER = "_versions"  # readers of plain folders skip such names
 
 
@@ -93,7 +94,13 @@ def read_days(
     if not wanted:
         return spark.createDataFrame([], whole).drop("version")
     folders = [f"{path}/usage_date={day}/version={versions[day]}" for day in wanted]
-    return spark.read.schema(whole).option("basePath", path).parquet(*folders).drop("version")
+    # a listing job of a few dozen tasks instead of one per day
+    before = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, min(int(before), 64))
+    try:
+        return spark.read.schema(whole).option("basePath", path).parquet(*folders).drop("version")
+    finally:
+        spark.conf.set(_LISTING, before)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:

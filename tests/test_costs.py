@@ -234,3 +234,21 @@ def test_audit_log(spark, tmp_path):
     tables.write_audit(event.withColumn("created_at", F.lit(NOW + dt.timedelta(days=1))), path)
     page = logs.audit_page(tables.read_audit(spark, path), "o", "SYNC", limit=1).collect()
     assert len(page) == 1 and page[0].created_at == NOW + dt.timedelta(days=1)
+
+
+def test_bucketed_tables_join_without_moving_the_charges(spark, records, accounts, tmp_path):
+    from costlake.operators.joins import bucketed, join_dimension
+
+    fact = bucketed(records, "charges_in_buckets", str(tmp_path / "c"), "cloud_account_id", 8)
+    side = bucketed(accounts.select(F.col("id").alias("cloud_account_id"), "provider"), "accounts_in_buckets",
+                    str(tmp_path / "a"), "cloud_account_id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        totals = join_dimension(fact, side, "cloud_account_id").groupBy("cloud_account_id", "provider").agg(F.sum("amount"))
+        plan = totals._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert {r[0]: float(r[2]) for r in totals.collect()} == {"a1": 225.0, "a2": 999.0, "a3": 5.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE charges_in_buckets")
+        spark.sql("DROP TABLE accounts_in_buckets")

@@ -111,6 +111,10 @@ def test_forest_needs_data_and_survives_restart(planted, make_series, spark, tmp
     assert loaded.limit == saved.limit
     a, b = (forest.iforest_score(planted, m).orderBy("ds").toPandas() for m in (saved, loaded))
     pd.testing.assert_frame_equal(a, b)
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas()
+    nodes.loc[nodes.index[0], "threshold"] += 1  # readable, but not what was saved
+    spark.createDataFrame(nodes, forest.NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
+    assert forest.load_forest(spark, path) is None
     for part in (tmp_path / "model" / "nodes").glob("*.parquet"):
         part.write_bytes(b"damaged")
     for crc in (tmp_path / "model" / "nodes").glob(".*.crc"):
