@@ -37,7 +37,7 @@ class Rule:
 
 #: The production table.  Ratios are per word or per line.
 RULES = (
-    Rule("n_words", least=50, most=200_000),
+    Rule("n_words", least=50),
     Rule("repeat_share", most=0.5),
     Rule("mean_word", least=2.0, most=14.0),
     Rule("symbol_ratio", most=0.3),
@@ -159,7 +159,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     """``docs`` with ``quality`` (struct of counts), ``failed`` (names of broken bounds) and ``kept``.
 
     A null text is empty, has zero counts and fails the least length.  Columns named like the three new ones are
-    replaced.  Repeated rows are judged alike.
+    replaced.  Repeated rows are judged alike; an empty table stays empty.  Long texts are measured whole and no rule
+    rejects a text for its length.
     """
     base = docs.select("*", text_of(docs, text_col).alias("__text"))
     counted = base.withColumn("__counts", counts(F.col("__text")))
