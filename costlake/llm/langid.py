@@ -73,11 +73,17 @@ def _symbols(codes: np.ndarray, text: str) -> np.ndarray:
     return codes[np.minimum(points, len(codes) - 1)]
 
 
-def phrases(parser: Parser, alphabet: int, blocks: np.ndarray) -> np.ndarray:
-    """Phrases of each column of ``blocks`` [position, block]; symbol -1 is past the end."""
+def phrases(parser: Parser, alphabet: int, blocks: np.ndarray, begins: np.ndarray, carried: int) -> tuple[np.ndarray, int]:
+    """(phrases that end in each column of ``blocks`` [position, block], the last state); symbol -1 is past the end.
+
+    The blocks of a text follow each other, ``begins`` marks its first, and ``carried`` is the state before the first column.
+    All blocks are parsed from the empty state at once; then each is parsed again from the state in which the
+    block before it really ends, until both parses are in the same state, from where they agree.
+    """
     state = np.zeros(blocks.shape[1], np.int32)
-    count = np.zeros(blocks.shape[1], np.int32)
-    for row in blocks:
+    count = np.zeros(blocks.shape[1], np.int64)
+    path = np.empty(blocks.shape, np.int32)
+    for i, row in enumerate(blocks):
         if row.min() < 0:
             live = row >= 0
             moved = parser.table[state * alphabet + np.maximum(row, 0)]
@@ -87,11 +93,44 @@ def phrases(parser: Parser, alphabet: int, blocks: np.ndarray) -> np.ndarray:
             moved = parser.table[state * alphabet + row]
             count += moved & 1
             state = moved >> 1
-    return count + (blocks[0] >= 0)  # the phrase that the end closes
+        path[i] = state
+    ends, change = path[-1].copy(), np.zeros(len(count), np.int64)
+    start = np.append(np.int32(carried), ends[:-1])
+    start[begins] = 0
+    lanes = np.nonzero(start)[0]
+    while len(lanes):
+        change[lanes], last = _again(parser, alphabet, blocks, path, lanes, start[lanes])
+        late = lanes[last != ends[lanes]] + 1  # what follows a block that ends elsewhere than thought
+        ends[lanes] = last
+        lanes = late[late < len(count)]
+        lanes = lanes[~begins[lanes]]
+        start[lanes] = ends[lanes - 1]
+    return count + change, int(ends[-1])
+
+
+def _again(parser: Parser, alphabet: int, blocks: np.ndarray, path: np.ndarray, lanes: np.ndarray,
+           start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrases more than in the parse ``path``, last state) of some columns parsed from ``start``."""
+    change, last = np.zeros(len(lanes), np.int64), path[-1, lanes].copy()
+    state, active = start.copy(), np.arange(len(lanes))
+    for i, row in enumerate(blocks):
+        row = row[lanes[active]]
+        active, row = active[row >= 0], row[row >= 0]
+        if not len(active):
+            return change, last
+        before = path[i - 1, lanes[active]] if i else np.zeros(len(active), np.int32)
+        mine = parser.table[state[active] * alphabet + row]
+        other = parser.table[before * alphabet + row]
+        change[active] += (mine & 1) - (other & 1)
+        state[active] = mine >> 1
+        active = active[mine >> 1 != other >> 1]
+    last[active] = state[active]
+    return change, last
 
 
 def parse_counts(models: Languages, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(phrases [text, language], symbols [text]); texts are parsed in blocks of 256 characters."""
+    """(phrases [text, language], symbols [text]) of whole texts by longest matches; 256 characters of many blocks advance
+    at once."""
     coded = [_symbols(models.codes, t) for t in texts]
     sizes = np.array([len(c) for c in coded])
     per = -(-sizes // _BLOCK)
@@ -101,12 +140,16 @@ def parse_counts(models: Languages, texts: list[str]) -> tuple[np.ndarray, np.nd
     for symbols, k in zip(coded, per.tolist()):
         full[at:at + k].reshape(-1)[:len(symbols)] = symbols
         at += k
+    begins = np.append(True, owner[1:] != owner[:-1])[:len(owner)]
     out = np.zeros((len(texts), len(models.parsers)))
+    carried = [0] * len(models.parsers)
     for begun in range(0, len(full), 16384):
-        blocks = np.ascontiguousarray(full[begun:begun + 16384].T)
+        part = slice(begun, begun + 16384)
+        blocks = np.ascontiguousarray(full[part].T)
         for j, parser in enumerate(models.parsers):
-            out[:, j] += np.bincount(owner[begun:begun + 16384], phrases(parser, models.alphabet, blocks), len(texts))
-    return out, sizes
+            ended, carried[j] = phrases(parser, models.alphabet, blocks, begins[part], carried[j])
+            out[:, j] += np.bincount(owner[part], ended, len(texts))
+    return out + (sizes > 0)[:, None], sizes  # the end of a text closes a phrase
 
 
 def learn(samples: dict[str, list[str]], chars: int = 20_000, alphabet: int = 96) -> Languages:
@@ -174,7 +217,9 @@ def identify(docs: DataFrame, held_out: Column, chars: int = 20_000, texts: int
 
     ``held_out`` is a condition on ``docs``; its true rows and rows without a language teach nothing.  A text
     that is null or has no letter is ``und`` with score 0, and so is every text where nothing was
-    learned.  A null id keeps its row with ``held_out`` false and teaches nothing.
+    learned.  A null id keeps its row with ``held_out`` false and teaches nothing.  Texts of any length are parsed whole;
+    equal costs go to the language that comes first by name; repeated rows are judged alike and teach as often
+    as they are among the ``texts`` drawn; an empty table gives none.
     """
     out = F.coalesce(held_out, F.lit(False))
     samples = training_texts(

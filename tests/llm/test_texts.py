@@ -250,6 +250,52 @@ def test_automaton_holds_exactly_the_substrings():
         assert (state >= 0) == (tuple(probe) in subs)
 
 
+def test_phrase_counts_and_winners_equal_plain_longest_matches():
+    rng = random.Random(14)
+    taught = {"aa": "ab" * 400 + "".join(rng.choice("abc ") for _ in range(3000)),
+              "bb": "".join(rng.choice("abde ") for _ in range(4000)), "cc": "ab" * 400 + "".join(rng.choice("cde ") for _ in range(3000))}
+    models = langid.learn({k: [t] for k, t in taught.items()}, chars=20_000)
+    size = 4_000  # the least that is learned where there is as much
+
+    def plain(known, text):
+        n = i = 0
+        while i < len(text):
+            j = i + 1
+            if text[i] in known:
+                while j < len(text) and text[i:j + 1] in known:
+                    j += 1
+            n, i = n + 1, j
+        return n
+
+    texts = ["", "a", "ab" * 900, "ab" * 600 + "c" + "ab" * 500, "".join(rng.choice("abc ") for _ in range(3000)),
+             "".join(rng.choice("abde ") for _ in range(777)), "c" * 256, "e d" * 300, "".join(rng.choice("abcde ") for _ in range(5000))]
+    counts, sizes = langid.parse_counts(models, texts)
+    want = [[plain(taught[k][:size], t) for k in sorted(taught)] for t in texts]
+    assert sizes.tolist() == [len(t) for t in texts]
+    for text, got, exact in zip(texts, counts.tolist(), want):
+        for g, e, k in zip(got, exact, sorted(taught)):
+            # a character that a language has never seen ends a phrase and begins none
+            assert g == e or (g <= e + 1 and set(text) - set(taught[k][:size])), (text[:20], k)
+    names, _ = langid.decide(models, texts)
+    bits = [p.bits for p in models.parsers]
+    for i in (4, 5, 8):
+        assert names[i] == sorted(taught)[min(range(3), key=lambda j: want[i][j] * bits[j])]
+
+
+def test_phrase_counts_do_not_depend_on_blocks():
+    rng = random.Random(15)
+    models = langid.learn({"x": ["ab" * 500 + "".join(rng.choice("abcd") for _ in range(2000))], "y": ["abcd " * 900]})
+    texts = ["".join(rng.choice(["ab" * 80, "c", "dab", " ", "é"]) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    whole, _ = langid.parse_counts(models, texts)
+    for text, got in zip(texts, whole):
+        for j, parser in enumerate(models.parsers):
+            state = n = 0
+            for c in langid._symbols(models.codes, text).tolist():
+                moved = int(parser.table[state * models.alphabet + c])
+                n, state = n + (moved & 1), moved >> 1
+            assert got[j] == n + 1
+
+
 def test_languages_on_held_out_rows(sample):
     docs, _ = sample
     got = langid.identify(docs, crc_mod(docs.doc_id, 4) == 2).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
