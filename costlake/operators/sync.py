@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from costlake.schemas import COST_RECORDS
 from costlake.sources import versions
@@ -103,25 +103,32 @@ def import_window(
     return rows
 
 
-def write_charges(records: DataFrame, path: str) -> int:
-    """Charges as a new table of versioned days (``sources.versions``)."""
+def write_charges(records: DataFrame, path: str, unit: str = "day") -> int:
+    """Charges as a new table of versioned days (``sources.versions``), or months where days hold little.
+
+    ``usage_date`` is the day, or the first day of the month.
+    """
     version = versions.new_version()
-    shaped = records.select([f.name for f in COST_RECORDS]).withColumn("usage_date", F.to_date("date"))
+    shaped = records.select([f.name for f in COST_RECORDS]).withColumn("usage_date", _folder(unit))
     days = versions.write_days(shaped, path, version)
     return versions.publish(records.sparkSession, path, dict.fromkeys(days, version), 0)
 
 
+def _folder(unit: str) -> Column:
+    return F.to_date("date") if unit == "day" else F.trunc("date", unit)
+
+
 def read_charges(spark: SparkSession, path: str, days: Iterable[dt.date] | None = None) -> DataFrame:
     return versions.read_days(spark, path, COST_RECORDS, days)
 
 
 def import_charges(
     spark: SparkSession, path: str, incoming: DataFrame, account_id: str, start: dt.datetime,
-    end: dt.datetime,
+    end: dt.datetime, unit: str = "day",
 ) -> int:
     """:func:`import_window` on versioned days: all of them change in one step, or none; rows imported.
 
-    Only the days of the window and of the incoming rows are read and written.
+    Only the days (or months, as the table was written) of the window and of the incoming rows are read and written.
     """
     landed = scratch_path(spark, "pull")
     incoming.write.parquet(landed)
@@ -131,9 +138,9 @@ def import_charges(
         return 0
     number, days = versions.current(spark, path)
     window = {start.date() + dt.timedelta(days=i) for i in range((end.date() - start.date()).days + 1)}
-    touched = window | _days(incoming)
+    touched = {day if unit == "day" else day.replace(day=1) for day in window | _days(incoming)}
     affected = versions.read_days(spark, path, COST_RECORDS, touched, number or None)
-    after = replace_window(affected, incoming, account_id, start, end).withColumn("usage_date", F.to_date("date"))
+    after = replace_window(affected, incoming, account_id, start, end).withColumn("usage_date", _folder(unit))
     version = versions.new_version()
     filled = versions.write_days(after, path, version)
     kept = {day: v for day, v in days.items() if day not in touched}  # a touched day without rows is no more
@@ -144,7 +151,7 @@ def import_charges(
 #: What a day's charges are summed by.
 ROLLUP_KEYS = ("cloud_account_id", "granularity", "service", "region", "currency")
 ROLLUP = T.StructType([
-    *[f for f in COST_RECORDS if f.name in ROLLUP_KEYS], T.StructField("amount", T.DecimalType(38, 8)),
+    T.StructField("ds", T.DateType()), *[f for f in COST_RECORDS if f.name in ROLLUP_KEYS], T.StructField("amount", T.DecimalType(38, 8)),
     T.StructField("records", T.LongType())])
 
 
@@ -161,7 +168,8 @@ def refresh_rollup(spark: SparkSession, charges: str, rollup: str) -> set[dt.dat
         return set()
     for version in sorted({source[day] for day in stale}):
         days = [day for day in stale if source[day] == version]
-        summed = versions.read_days(spark, charges, COST_RECORDS, days).groupBy("usage_date", *ROLLUP_KEYS).agg(
+        summed = versions.read_days(spark, charges, COST_RECORDS, days).groupBy(
+            "usage_date", F.to_date("date").alias("ds"), *ROLLUP_KEYS).agg(
             F.sum("amount").cast("decimal(38,8)").alias("amount"), F.count("*").alias("records"))
         versions.write_days(summed.select(*ROLLUP.fieldNames(), "usage_date"), rollup, version)
     versions.publish(spark, rollup, source, number)
@@ -169,7 +177,7 @@ def refresh_rollup(spark: SparkSession, charges: str, rollup: str) -> set[dt.dat
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """(``usage_date``, keys, ``amount``, ``records``)."""
+    """(``ds``, keys, ``amount``, ``records``, ``usage_date``)."""
     return versions.read_days(spark, path, ROLLUP)
 
 

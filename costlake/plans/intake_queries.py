@@ -185,31 +185,31 @@ _IMPORTED = f"""
 
 
 def _imported(spark, sf, rollup=None):
-    """The charges as versioned days, with a rollup, and then one month of an account replaced in one step."""
+    """The charges as versioned months, with a rollup, and then one month of an account replaced in one step."""
     start, end = dt.datetime(1999, 12, 1), dt.datetime(1999, 12, 31, 23, 59, 59)
     records, pulled, _, _ = _replaced(spark, sf, "3")
     charges = scratch_path(spark, "charges")
-    sync.write_charges(records, charges)
+    sync.write_charges(records, charges, "month")
     if rollup:
         sync.refresh_rollup(spark, charges, rollup)
-    sync.import_charges(spark, charges, pulled.filter(F.col("date") >= F.lit(start)), "3", start, end)
+    sync.import_charges(spark, charges, pulled.filter(F.col("date") >= F.lit(start)), "3", start, end, "month")
     return charges
 
 
 @query("cloud_account_id:s ds:d records:n amount:c", f"""
 SELECT cloud_account_id, ds, count(*) AS records, sum(amount) AS amount FROM ({_IMPORTED}) GROUP BY ALL""", "cost_records")
 def import_charges(spark, sf):
-    return sync.read_charges(spark, _imported(spark, sf)).groupBy("cloud_account_id", F.col("usage_date").alias("ds")).agg(
+    return sync.read_charges(spark, _imported(spark, sf)).groupBy("cloud_account_id", F.to_date("date").alias("ds")).agg(
         F.count("*").alias("records"), F.sum("amount").alias("amount"))
 
 
 @query("ds:d service:s records:n amount:c", f"""
 SELECT ds, service, count(*) AS records, sum(amount) AS amount FROM ({_IMPORTED}) GROUP BY ALL""", "cost_records")
 def rollup_by_service(spark, sf):
-    """Daily spend by service from the rollup, of which only the days of the import were summed again."""
+    """Daily spend by service from the rollup, of which only the month of the import was summed again."""
     rollup = scratch_path(spark, "rollup")
     sync.refresh_rollup(spark, _imported(spark, sf, rollup), rollup)
-    return sync.read_rollup(spark, rollup).groupBy(F.col("usage_date").alias("ds"), "service").agg(
+    return sync.read_rollup(spark, rollup).groupBy("ds", "service").agg(
         F.sum("records").alias("records"), F.sum("amount").alias("amount"))
 
 

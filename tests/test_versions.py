@@ -80,6 +80,17 @@ def test_rollup_reads_changed_days_only(spark, charges, tmp_path):
     assert got == {(ago(1), "S3"): 99.0, (ago(1), "VM"): 5.0, (ago(40), "VM"): 7.0}
 
 
+def test_months_instead_of_days(spark, make_costs, tmp_path):
+    path, rollup = str(tmp_path / "months"), str(tmp_path / "rollup")
+    sync.write_charges(make_costs(("a1", 2, "EC2", "r", "10"), ("a1", 0, "S3", "r", "20"), ("a2", 40, "VM", "r", "7")), path, "month")
+    assert sync.refresh_rollup(spark, path, rollup) == {dt.date(2026, 2, 1), dt.date(2026, 3, 1)}
+    sync.import_charges(spark, path, pull(spark, (1, "S3", 99)), "a1", dt.datetime(2026, 3, 14), dt.datetime(2026, 3, 15, 23, 59, 59), "month")
+    assert sync.refresh_rollup(spark, path, rollup) == {dt.date(2026, 3, 1)}
+    got = {(r.ds, r.service): float(r.amount) for r in sync.read_rollup(spark, rollup).collect()}
+    ago = lambda n: DAY - dt.timedelta(days=n)
+    assert got == {(ago(2), "EC2"): 10.0, (ago(1), "S3"): 99.0, (ago(40), "VM"): 7.0}
+
+
 def test_filters_skip_folders(spark, charges):
     plan = sync.read_charges(spark, charges).where(F.col("usage_date") == DAY)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(usage_date" in plan
