@@ -126,8 +126,12 @@ def encode_texts(docs: DataFrame, path: str, finish: Finish, finish_schema: str,
     marks = roles.groupBy("text_key").agg(F.collect_list("role").alias("roles"))
     keepers = texts.select("text_key", "keeper").join(marks, "text_key", "left").withColumnRenamed("text_key", "key")
     small = base.mapInArrow(compress, "id long, text_key binary, text binary")  # as it moves once, whole
-    held = small.join(keepers, (small.text_key == keepers.key) & small.id.eqNullSafe(keepers.keeper))
-    chosen = held.groupBy("text_key").agg(F.first("text").alias("text"), F.first("roles").alias("roles"))  # repeated rows
+    # a text's keeper is one id, so rows that repeat lie where the join put them and need no second move of texts
+    lowest = F.lit(-2**63).cast("long")
+    keepers = keepers.withColumn("keeper", F.coalesce("keeper", lowest))
+    small = small.withColumn("holder", F.coalesce("id", lowest))
+    held = small.join(keepers, (small.text_key == keepers.key) & (small.holder == keepers.keeper))
+    chosen = held.groupBy("text_key", "holder").agg(F.first("text").alias("text"), F.first("roles").alias("roles"))
 
     def encode(batches):
         own = tokens.encoder(path, "dropped")
