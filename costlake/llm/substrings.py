@@ -97,14 +97,19 @@ def runs_of(raws: list[bytes], width: int, step: int = 1 << 18):
         octets = np.frombuffer(b"".join(raws[at:upto]), np.uint8)
         if len(octets) >= width:
             least = minimizers(octets, width)
-            begins = np.cumsum(sizes) - sizes
-            text = np.repeat(np.arange(len(sizes)), sizes)[:len(least)]
-            inside = np.arange(len(least)) + width <= (begins + sizes)[text]
+            ends = np.cumsum(sizes)
+            begins = ends - sizes
+            across = np.zeros(len(octets) + 1, bool)  # windows that reach over the end of their text
+            for less in range(1, width):
+                across[np.maximum(ends - less, begins)] |= less <= sizes
+            inside = ~across[:len(least)]
             edge = np.ones(len(least), bool)
-            edge[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
+            np.not_equal(least[1:], least[:-1], out=edge[1:])
+            edge[begins[begins < len(least)]] = True
             first = np.nonzero(edge & inside)[0]
-            stop = np.nonzero(np.append(edge[1:] | ~inside[1:], True) & inside)[0] + 1
-            of = text[first]
+            edge[1:] |= across[1:len(least)]
+            stop = np.nonzero(np.append(edge[1:], True) & inside)[0] + 1
+            of = np.searchsorted(begins, first, side="right") - 1
             found.append((of + at, first - begins[of], stop - begins[of], least[first]))
         at = upto
     if not found:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 END = 0xFF  # no byte of UTF-8
+_UPTO = np.array([2**64 - 2**(56 - 8 * i) for i in range(8)], np.uint64)  # the first i + 1 bytes; those after an end do not count
 
 
 def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -23,48 +24,44 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     joined = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
     n = len(joined)
-    marks = np.nonzero(joined == END)[0]
-    to_mark = marks[np.searchsorted(marks, np.arange(n))] - np.arange(n)
-    key = np.zeros(n, np.uint64)
-    wide = np.concatenate([joined, np.zeros(8, np.uint8)])
-    for i in range(8):  # bytes after the end mark do not count
-        key = (key << np.uint64(8)) | np.where(i <= to_mark, wide[i:n + i], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")  # equal ends stay in the order of their strings
-    sorted_, ended = key[order], to_mark[order] < 8
-    edge = np.concatenate([[0], (sorted_[1:] != sorted_[:-1]) | ended[1:]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(edge)
-    width = 8
-    while rank[order[-1]] < n - 1:
-        after = np.full(n, n, np.int64)
-        after[:-width] = rank[width:]
-        # only the groups of equal ranks are put in order again
-        ranks = rank[order]
-        twin = np.zeros(n, bool)
-        twin[1:] = ranks[1:] == ranks[:-1]
-        twin[:-1] |= twin[1:]
-        at = np.nonzero(twin)[0]
+    lengths = np.array([len(s) + 1 for s in strings])
+    to_mark = np.repeat(np.cumsum(lengths) - 1, lengths) - np.arange(n)
+    key = np.concatenate([joined, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        key = key[:-k] << np.uint64(8 * k) | key[k:]
+    key = key[:n] & _UPTO[np.minimum(to_mark, 7)]
+    order = np.argsort(key)
+    same = np.append(False, key[order[1:]] == key[order[:-1]])
+    ended = to_mark[order] < 8
+    tied = same & ended
+    tied[:-1] |= tied[1:]
+    at = np.nonzero(tied)[0]  # equal ends go in the order of their strings
+    order[at] = np.sort(np.cumsum(~same)[at] * n + order[at]) % n
+    first = ~same | ended
+    rank = np.empty(n, np.int64)  # the place at which a suffix's group of equals begins
+    rank[order] = np.nonzero(first)[0][np.cumsum(first) - 1]
+    at, width = np.nonzero(~first | np.append(~first[1:], False))[0], 8
+    while len(at):  # the groups of equal ranks only
         some = order[at]
-        pair = rank[some] * (n + 1) + after[some]
-        inner = np.argsort(pair, kind="stable")
-        order[at] = some[inner]
-        pair = pair[inner]
-        edge = np.ones(n, np.int64)
-        edge[0] = 0
-        edge[at[1:]] = (pair[1:] != pair[:-1]) | (np.diff(at) > 1)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(edge)
+        pair = rank[some] * n + rank[some + width]
+        inner = np.argsort(pair)
+        some, pair = some[inner], pair[inner]
+        order[at] = some
+        first = np.append(True, pair[1:] != pair[:-1])
+        rank[some] = at[first][np.cumsum(first) - 1]
+        at = at[~first | np.append(~first[1:], False)]
         width *= 2
     return np.roll(joined, 1)[order], order
 
 
-def repeated(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated(shards: list[tuple[np.ndarray, np.ndarray]], depth: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows, block) of the rows, numbered over all shards in turn, whose first ``depth`` symbols come twice.
 
-    The interleave holds the rows of intervals that are not settled.  An interval of one row is: whatever
-    stands before it stays alone.  A row of a shard leads to the row of the suffix one symbol longer by the
-    shard's own transform, so no suffix is compared with another.  A block that splits at round k has a
-    common prefix of k - 1 symbols in its parts.
+    ``rows`` are the suffixes that ``depth`` symbols of their string stand before: what the rounds make of any other
+    would reach over the start of its string.  The interleave holds those of them that lie in intervals that are not
+    settled.  An interval of one row is: whatever stands before it stays alone.  A row of a shard leads to the row of the
+    suffix one symbol longer by the shard's own transform, so no suffix is compared with another.  A block that splits
+    at round k has a common prefix of k - 1 symbols in its parts.
     """
     chars = np.concatenate([b for b, _ in shards])
     longer, base = [], 0
@@ -74,20 +71,17 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[n
         longer.append(step + base)
         base += len(before)
     longer = np.concatenate(longer).astype(np.int32 if base < 2**31 else np.int64)
-    rows = np.arange(base, dtype=longer.dtype)
-    block = np.zeros(base, np.int32)
+    rows = rows.astype(longer.dtype)
+    block = np.zeros(len(rows), np.int32)
     # two symbols a round, as the distribution of 16-bit keys costs as much as that of 8-bit ones
     twice, pairs = longer[longer], chars.astype(np.uint16) << 8 | chars[longer]
-    whole = (chars != END) & (chars[longer] != END)
     for k in [1] * (depth % 2) + [2] * (depth // 2):
-        read, step, inside = (pairs, twice, whole) if k == 2 else (chars, longer, chars != END)
-        open_ = np.nonzero(inside[rows])[0]
-        read = read[rows[open_]]
-        order = np.argsort(read, kind="stable")
-        read, order = read[order], open_[order]
-        block, rows = block[order], step[rows[order]]
         if not len(rows):
             break
+        read, step = (pairs, twice) if k == 2 else (chars, longer)
+        read = read[rows]
+        order = np.argsort(read, kind="stable")
+        read, block, rows = read[order], block[order], step[rows[order]]
         edge = np.ones(len(rows), bool)
         edge[1:] = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
         twin = ~edge
@@ -113,9 +107,11 @@ def smallest_owner(strings: list[bytes], owners: np.ndarray, depth: int, shard_b
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     shift = np.repeat([begins[a] for a, _ in spans], [len(b) for b, _ in shards])
     least = np.repeat(owners, lengths + 1).astype(np.int64)
-    rows, block = repeated(shards, depth)
+    starts = np.concatenate([o for _, o in shards]) + shift
+    within = np.arange(total) - np.repeat(begins[:-1], lengths + 1)
+    rows, block = repeated(shards, depth, np.nonzero(within[starts] >= depth)[0])
     if len(rows):
-        start = (np.concatenate([o for _, o in shards]) + shift)[rows]
+        start = starts[rows]
         cuts = np.nonzero(np.concatenate([[True], block[1:] != block[:-1]]))[0]
         lowest = np.minimum.reduceat(least[start], cuts)
         least[start] = np.repeat(lowest, np.diff(np.append(cuts, len(block))))
