@@ -82,3 +82,21 @@ def test_merged_transforms_equal_sorted_suffixes():
         for s, least in zip(strings, got):
             want = [min(int(o) for t, o in zip(strings, owners) if s[i:i + 5] in t) for i in range(len(s) - 4)]
             assert least.tolist() == want
+
+
+@pytest.mark.parametrize("width", [16, 20, 50, 64, 90])
+def test_equal_windows_have_equal_minimizers(width):
+    rng = random.Random(width)
+    shared = bytes(rng.randrange(97, 101) for _ in range(3 * width))
+    least = [substrings.minimizers(np.frombuffer(bytes(rng.randrange(256) for _ in range(n)) + shared, np.uint8), width)[n:]
+             for n in (0, 7, 500)]
+    assert len(least[0]) == 2 * width + 1
+    assert all((x == least[0]).all() for x in least)
+
+
+def test_owner_runs():
+    least = np.array([4, 4, 4, 9, 2, 2, 9, 7])
+    lowest, runs = substrings._owner_runs(least, np.array([3, 4, 1]))
+    assert lowest.tolist() == [4, 2, 7]
+    assert [None if r is None else np.frombuffer(r, np.int64).reshape(-1, 2).tolist() for r in runs] == [
+        None, [[0, 9], [1, 2], [3, 9]], None]
