@@ -58,7 +58,9 @@ def replace_windows(existing: DataFrame, incoming: DataFrame, start, end) -> Dat
 
     An account without incoming rows keeps what it has.
     """
-    fresh = _as_daily(incoming, None)
+    landed = scratch_path(incoming.sparkSession, "pulls")  # parsed once, read for its accounts and its rows
+    incoming.write.parquet(landed)
+    fresh = _as_daily(incoming.sparkSession.read.schema(incoming.schema).parquet(landed), None)
     synced = fresh.select("cloud_account_id").distinct().withColumn("_synced", F.lit(True))
     kind = existing.schema["date"].dataType
     replaceable = (F.col("granularity") == "daily") & F.col("date").between(

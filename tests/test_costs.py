@@ -172,6 +172,23 @@ def test_replace_window_keeps_the_rest(make_costs):
     assert sorted(r.service for r in many.collect()) == ["early", "monthly", "new", "other"]
 
 
+def test_replace_windows_works_a_pull_out_once(spark, make_costs):
+    start, end = resolve_window(NOW, 30)
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    pulled = make_costs(("a1", 1, "new", None, "9"), ("a1", 2, "new", None, "8")).select(
+        "cloud_account_id", "date", "service", "amount", "currency")
+    pulled = pulled.mapInPandas(noted, pulled.schema)
+    after = sync.replace_windows(make_costs(("a1", 1, "old", None, "1"), ("a2", 1, "kept", None, "1")), pulled, start, end)
+    assert sorted(r.service for r in after.collect()) == ["kept", "new", "new"]
+    assert seen.value == 2
+
+
 def test_import_window_rewrites_only_its_days(spark, make_costs, tmp_path):
     path = str(tmp_path / "costs")
     tables.write_costs(make_costs(
