@@ -43,13 +43,22 @@ def _step(previous: Column, value: Column) -> Column:
 def series_totals(samples: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Per series (metric, label set and ``extra``): counter increase, gauge average, carried keys.
 
-    ``keys`` are columns of ``samples`` that depend on the series alone.
+    ``keys`` are columns of ``samples`` that depend on the series alone; samples of one metric may come
+    without its name.  A floating-point key is grouped by its 64-bit hash, which is one to one for a single
+    number, and carried beside it: grouped by itself, Spark would normalize it anew in each step, and
+    shuffle and sort all rows once more.  A hash of the label set leads, as texts that begin alike are
+    slow to put in order.
     """
+    every = [*(c for c in ("metric",) if c in samples.columns), *keys, *extra]
+    floats = [k for k in every if samples.schema[k].dataType.typeName() in ("float", "double")]
     slice_ = F.floor(F.unix_seconds("ts") / SLICE_SECONDS)
     rows = samples.select(
-        *keys, *extra, "metric", series_id().alias("_series"), "ts", "value", slice_.alias("_slice")
-    )
-    series = [*keys, *extra, "metric", "_series"]
+        *[c for c in every if c not in floats], *[F.xxhash64(k).alias(f"_{k}_id") for k in floats],
+        *[(F.col(k) + F.lit(0).cast(samples.schema[k].dataType)).alias(k) for k in floats],  # -0.0 is 0.0
+        series_id().alias("_series"), "ts", "value", slice_.alias("_slice"),
+    ).withColumn("_spot", F.xxhash64("_series"))
+    series = ["_spot", *[f"_{k}_id" if k in floats else k for k in every], "_series"]
+    carried = [F.first(k).alias(k) for k in floats]
     inside = Window.partitionBy(*series, "_slice").orderBy("ts", "value")
     order = F.struct("ts", "value")
     slices = (
@@ -57,7 +66,7 @@ def series_totals(samples: DataFrame, keys: Sequence[str], extra: Sequence[str]
         .groupBy(*series, "_slice")
         .agg(
             F.sum("_step").alias("_inc"), F.sum("value").alias("_sum"), F.count("*").alias("_n"),
-            F.min_by("value", order).alias("_first"), F.max_by("value", order).alias("_last"),
+            F.min_by("value", order).alias("_first"), F.max_by("value", order).alias("_last"), *carried,
         )
     )
     across = Window.partitionBy(*series).orderBy("_slice")
@@ -65,7 +74,7 @@ def series_totals(samples: DataFrame, keys: Sequence[str], extra: Sequence[str]
     return (
         slices.withColumn("_inc", F.col("_inc") + seam)
         .groupBy(*series)
-        .agg(F.sum("_inc").alias("increase"), (F.sum("_sum") / F.sum("_n")).alias("average"))
+        .agg(F.sum("_inc").alias("increase"), (F.sum("_sum") / F.sum("_n")).alias("average"), *carried)
     )
 
 
@@ -78,7 +87,7 @@ def counter_rate(
     window's edges.
     """
     rows = keyed(lookback(samples, as_of, hours).filter(F.col("metric") == metric), keys)
-    return series_totals(rows, list(keys)).groupBy(*keys).agg(
+    return series_totals(rows.drop("metric"), list(keys)).groupBy(*keys).agg(
         (F.sum("increase") / F.lit(hours * 3600)).alias("value")
     )
 

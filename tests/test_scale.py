@@ -114,3 +114,17 @@ def test_results_do_not_depend_on_the_number_of_partitions(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", was)
     assert answers[0] == answers[1]
+
+
+def test_a_floating_key_costs_no_shuffle_or_sort_of_its_own(spark):
+    """Series per bound, as the bucket quantile groups them: one shuffle and sort per window, and the same groups."""
+    zero, nan = [("-0.0", "a"), ("0.0", "a")], float("nan")
+    rows = [(T0 + dt.timedelta(minutes=7 * i), "m", {"s": s}, float(i), float(b) if b else None, s)
+            for b, s in [*zero, ("NaN", "a"), ("NaN", "b"), ("inf", "a"), (None, "a")] for i in range(4)]
+    df = spark.createDataFrame(rows, "ts timestamp, metric string, labels map<string,string>, value double, b double, s string")
+    totals = metrics.series_totals(df, ["b", "s"])
+    text = plan(totals)  # before it runs and holds its final plan too
+    got = sorted(((repr(r.b), r.s, r.metric, r.increase, r.average) for r in totals.collect()), key=str)
+    # the zeros are one series of eight samples, each value twice
+    assert got == sorted(((repr(b), s, "m", 3.0, 1.5) for b, s in [(0.0, "a"), (nan, "a"), (nan, "b"), (float("inf"), "a"), (None, "a")]), key=str)
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("- Sort [") == 2
