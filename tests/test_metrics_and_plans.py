@@ -190,6 +190,20 @@ def test_replacement(price):
     assert delta.net_monthly_delta == round(7.59 - 60.74, 2)
 
 
+def test_actions_are_searched_once_per_change(spark, price):
+    df = spark.createDataFrame([("p", "{}")], "plan_id string, document string")
+    text = infra.plan_summary(df, infra.rate_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count(", create)") + text.count(", delete)") + text.count(", update)") == 3
+    # deletes and creates in either order, with nulls among them, cost what they did
+    for mode, gone in (("create", 0.0), ("delta", 60.74)):
+        for actions in (["delete", "create"], ["create", "delete"], ["create", "update", "delete"]):
+            assert price(change("aws_instance", actions, LARGE, MICRO), replace_mode=mode)[1].net_monthly_delta == round(7.59 - gone, 2)
+    assert price(change("aws_instance", ["create", None], LARGE, MICRO))[1].net_monthly_delta == 7.59
+    assert price(change("aws_instance", [None], LARGE, MICRO))[1].net_monthly_delta == 0
+    with pytest.raises(ValueError):
+        infra.plan_summary(df, infra.rate_table(spark), replace_mode="other")
+
+
 def test_sizes(spark):
     rows = [("aws_instance", MICRO), ("aws_instance", {"instance_type": "huge"}), ("aws_instance", {}),
             ("google_compute_instance", {"machine_type": "zones/us/machineTypes/e2-micro"}), ("aws_iam_role", {})]
